@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwright.llm import langid, simhash, toxicity
+from gapwright.llm import langid, simhash, substrings, toxicity
 from gapwright.llm.common import held_out
 
 
@@ -38,13 +38,40 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_passages(_table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+with d as (
+  select row_number() over () as rid, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+  from documents
+), win as (
+  select rid, doc_id, p, array_to_string(w[p:p + 49], ' ') as s
+  from (select rid, doc_id, w, unnest(range(1, len(w) - 48)) as p from d where doc_id is not null)
+), lost as (
+  select rid, p from (select rid, doc_id, p, min(doc_id) over (partition by s) as first from win) where doc_id > first
+), gone as (
+  select distinct rid, unnest(range(p, p + 50)) as i from lost
+), per as (
+  select rid, list(i) as gone from gone group by rid
+)
+select d.doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+       sha256(coalesce(array_to_string(case when gone is null then w else
+         list_transform(list_filter(range(1, len(w) + 1), i -> not list_contains(gone, i)), i -> w[i]) end, ' '), '')) as kept_sha256
+from d left join per using (rid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_language_id": op6_language_id,
+        "op9_substring_dedup": op9_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_substring_dedup": OP9_SQL}
