@@ -45,7 +45,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 with d as (
   select row_number() over () as rid, doc_id,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from documents
 ), win as (
   select rid, doc_id, p, array_to_string(w[p:p + 49], ' ') as s
@@ -59,7 +59,7 @@ with d as (
 )
 select d.doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
        sha256(coalesce(array_to_string(case when gone is null then w else
-         list_transform(list_filter(range(1, len(w) + 1), i -> not list_contains(gone, i)), i -> w[i]) end, ' '), '')) as kept_sha256
+         list_transform(list_filter(range(1, len(w) + 1), lambda i: not list_contains(gone, i)), lambda i: w[i]) end, ' '), '')) as kept_sha256
 from d left join per using (rid)
 """
 
