@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwright.llm import langid, simhash, substrings, toxicity
+from gapwright.llm import decontam, langid, licenses, pieces, pii, simhash, substrings, toxicity
 from gapwright.llm.common import held_out
 
 
@@ -15,10 +15,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The key of the registered PII query; a deployment passes its own.
+PII_KEY = "registered-query"
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.pseudonymise(docs, PII_KEY, counts_col="found")
+    total = F.aggregate(F.map_values("found"), F.lit(0), lambda a, b: a + b)
+    return found.select("doc_id", "text", F.coalesce(total, F.lit(0)).alias("n_found"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -42,6 +61,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_passages(_table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(_table(spark, sf_dir, "documents"), pieces.load())
+
+
 OP9_SQL = r"""
 with d as (
   select row_number() over () as rid, doc_id,
@@ -66,10 +89,14 @@ from d left join per using (rid)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
+        "op2_decontamination": op2_decontamination,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op4_pii_pseudonyms": op4_pii_pseudonyms,
         "op5_toxicity": op5_toxicity,
         "op6_language_id": op6_language_id,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
