@@ -28,7 +28,7 @@ MAX_PIECES = 2_000_000
 class Vocabulary:
     """Pieces (spaces as spaces) with id and cost; byte pieces; bytes of each id.
 
-    A cost is the negative score in millionths, shifted, plus one a piece: sums
+    A cost is the negative score in thousandths, shifted, plus one a piece: sums
     are exact, and equal scores go to fewer pieces.
     """
 
@@ -76,12 +76,12 @@ def load(path: str = MODEL_PATH) -> Vocabulary:
 
 
 def _cost(score: float) -> int:
-    return (round(-score * 1_000_000) << 20) + 1
+    return (round(-score * 1000) << 16) + 1
 
 
 def score_of(cost: int) -> float:
     """The score of a path from its cost."""
-    return -(cost >> 20) / 1_000_000
+    return -(cost >> 16) / 1000
 
 
 Edge = tuple[int, int, tuple[int, ...] | int, int]
@@ -195,12 +195,115 @@ def combine(parts: list[list[int]], n: int) -> list[tuple[int, list[int]]]:
     return found
 
 
+class SideBySide:
+    """``best_and_gap`` of many short words at once, over a dense trie of the pieces.
+
+    The trie holds the pieces whose characters are among the 255 most frequent
+    in the vocabulary; ``fits`` tells which words need no others.
+    """
+
+    LONGEST = 24
+    AT_ONCE = 20_000
+
+    def __init__(self, v: Vocabulary):
+        often: dict[str, int] = {}
+        for piece in v.cost:
+            for c in piece:
+                often[c] = often.get(c, 0) + 1
+        chars = sorted((c for c in often if c in v.cost), key=lambda c: (-often[c], c))[:255]
+        self.cls = np.zeros(0x110000, dtype=np.uint8)
+        for k, c in enumerate(chars):
+            self.cls[ord(c)] = k + 1
+        rank = {c: k + 1 for k, c in enumerate(chars)}
+        nodes: dict[str, int] = {"": 0}
+        links = []
+        for piece in v.cost:
+            if not all(c in rank for c in piece):
+                continue
+            for n in range(1, len(piece) + 1):
+                if piece[:n] not in nodes:
+                    nodes[piece[:n]] = len(nodes)
+                    links.append((nodes[piece[: n - 1]], rank[piece[n - 1]], nodes[piece[:n]]))
+        self.next = np.zeros((len(nodes), 256), dtype=np.int32)
+        if links:
+            at, cls, to = np.array(links).T
+            self.next[at, cls] = to
+        self.cost = np.full(len(nodes), -1, dtype=np.int64)
+        self.id = np.zeros(len(nodes), dtype=np.int32)
+        for text, node in nodes.items():
+            if text in v.cost:
+                self.id[node], self.cost[node] = v.cost[text]
+
+    def fits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which words, their lengths, their characters' classes as a padded matrix)."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        cls = self.cls[np.minimum(points, 0x10FFFF)]
+        starts = np.cumsum(lengths) - lengths
+        ok = (lengths > 0) & (lengths <= self.LONGEST)
+        ok &= np.minimum.reduceat(np.append(cls, 1), np.minimum(starts, len(cls))) > 0 if len(words) else ok
+        which = np.flatnonzero(ok)
+        which = which[np.argsort(-lengths[which], kind="stable")]
+        size = lengths[which]
+        grid = np.zeros((len(which), self.LONGEST + 1), dtype=np.uint8)
+        row = np.repeat(np.arange(len(which)), size)
+        col = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        grid[row, col] = cls[starts[which][row] + col]
+        return which, size, grid
+
+    def solve(self, size: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(cost, gap, ids flat, ids a word) of words, longest first."""
+        m, longest = len(size), int(size[0])
+        far = np.int64(1) << 62
+        best = np.full((m, longest + 1), far)
+        best[:, 0] = 0
+        edges = []
+        for s in range(longest):
+            at = np.arange(np.searchsorted(-size, -s, side="left"))
+            node, e = self.next[0, grid[at, s]], s
+            while len(at):
+                e += 1
+                alive = node > 0
+                at, node = at[alive], node[alive]
+                cost = self.cost[node]
+                here = np.flatnonzero(cost >= 0)
+                if len(here):
+                    i, c = at[here], cost[here]
+                    best[i, e] = np.minimum(best[i, e], best[i, s] + c)
+                    edges.append((s, e, i, c, node[here]))
+                more = size[at] > e
+                at, node = at[more], node[more]
+                node = self.next[node, grid[at, e]]
+        back = np.full((m, longest + 1), far)
+        back[np.arange(m), size] = 0
+        to = np.zeros((m, longest + 1), dtype=np.int8)
+        by = np.zeros((m, longest + 1), dtype=np.int32)
+        for s, e, i, c, node in reversed(edges):
+            through = c + back[i, e]
+            better = through < back[i, s]
+            j = i[better]
+            back[j, s], to[j, s], by[j, s] = through[better], e, self.id[node[better]]
+        seen = np.zeros((m, longest + 1), dtype=bool)
+        at, rows = np.zeros(m, dtype=np.int64), np.arange(m)
+        while len(rows):
+            seen[rows, at[rows]] = True
+            at[rows] = to[rows, at[rows]]
+            rows = rows[at[rows] < size[rows]]
+        other = np.full(m, far)
+        for s, e, i, c, _ in edges:
+            off = ~(seen[i, s] & (to[i, s] == e))
+            i = i[off]
+            other[i] = np.minimum(other[i], best[i, s] + c[off] + back[i, e])
+        return back[:, 0], np.where(other < far, other - back[:, 0], -1), by[seen], seen.sum(axis=1)
+
+
 class Segmenter:
     """Segments whole texts, remembering the parts between cuts."""
 
     def __init__(self, v: Vocabulary, n: int):
         self.v, self.n = v, n
         self.known: dict[str, int] = {}
+        self.many = SideBySide(v)
         self.clear()
 
     def clear(self) -> None:
@@ -210,19 +313,38 @@ class Segmenter:
         self.cost: list[int] = []
         self.gap: list[int] = []
 
-    def _part(self, text: str) -> int:
-        at = self.known[text] = len(self.texts)
-        cost, ids, gap = best_and_gap(text, self.v)
+    def _learn(self, text: str, cost: int, gap: int, ids: bytes) -> None:
+        self.known[text] = len(self.texts)
         self.texts.append(text)
-        self.spelt.append(array("i", ids).tobytes())
+        self.spelt.append(ids)
         self.cost.append(cost)
         self.gap.append(gap if gap >= 0 else 1 << 200)
-        return at
 
-    def best(self, text: str) -> tuple[bytes, list[int], list[int]]:
-        """Ids of the best segmentation (int32 bytes), the n best costs, and the parts used."""
+    def _part(self, text: str) -> int:
+        cost, ids, gap = best_and_gap(text, self.v)
+        self._learn(text, cost, gap, array("i", ids).tobytes())
+        return self.known[text]
+
+    def prepare(self, texts: list[str | None]) -> None:
+        """Learns the parts of many texts side by side."""
         if len(self.known) > MEMORY:
             self.clear()
+        fresh: set[str] = set()
+        for text in texts:
+            if text:
+                fresh.update(self.v.cutter.findall(" " + text))
+        words = list(fresh.difference(self.known))
+        which, size, grid = self.many.fits(words)
+        for a in range(0, len(which), SideBySide.AT_ONCE):
+            part = slice(a, a + SideBySide.AT_ONCE)
+            cost, gap, ids, count = self.many.solve(size[part], grid[part])
+            spelt, ends = ids.astype("<i4").tobytes(), (np.cumsum(count) * 4).tolist()
+            starts = [0, *ends[:-1]]
+            for k, c, g, x, y in zip(which[part].tolist(), cost.tolist(), gap.tolist(), starts, ends, strict=True):
+                self._learn(words[k], c, g, spelt[x:y])
+
+    def best(self, text: str) -> tuple[bytes, list[int], list[int]]:
+        """Ids of the best segmentation (int32 bytes), the n best costs, and the parts used."""
         known = self.known
         found = self.v.cutter.findall(" " + text) if text else []
         parts = [known[p] if p in known else self._part(p) for p in found]
@@ -289,6 +411,7 @@ def encode(docs: DataFrame, v: Vocabulary, n: int = 1, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = _segmenter(sent.value, n)
         for part in slices(batches, "text", 2 << 20):
+            s.prepare(part.column("text").to_pylist())
             out = [None if t is None else [{"score": score_of(c), "ids": ids} for c, ids in s.all(t)] for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, struct)], ["doc_id", "segmentations"])
 
@@ -321,7 +444,9 @@ def digest(docs: DataFrame, v: Vocabulary, n: int = 3, id_col: str = "doc_id", t
         s = _segmenter(sent.value, n)
         for part in slices(batches, "text", 2 << 20):
             count, sha, scores, same = [], [], [], []
-            for text in part.column("text").to_pylist():
+            texts = part.column("text").to_pylist()
+            s.prepare(texts)
+            for text in texts:
                 ids, costs, _ = s.best(text or "")
                 found = np.frombuffer(ids, dtype="<i4")
                 count.append(len(found))
