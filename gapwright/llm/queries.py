@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwright.llm import decontam, langid, licenses, pieces, pii, simhash, substrings, toxicity
+from gapwright.llm import decontam, langid, licenses, pieces, pii, simhash, substrings, toxicity, warczip
 from gapwright.llm.common import held_out
 
 
@@ -57,6 +57,28 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warczip.round_trip(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+with p as (
+  select page_id, encode(coalesce(html, '')) as payload from pages
+), h as (
+  select page_id, octet_length(payload)::bigint as payload_bytes, lower(sha1(payload)) as hex from p
+), f as (
+  select *, min(page_id) over (partition by hex) as first from h
+)
+select page_id, payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::int, 5))::int >> (15 - 5 * (i % 4)::int)) & 31), 1)), 'string_agg', '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id = first then null else first end as refers_to
+from f
+"""
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_passages(_table(spark, sf_dir, "documents"))
 
@@ -95,10 +117,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii_pseudonyms": op4_pii_pseudonyms,
         "op5_toxicity": op5_toxicity,
         "op6_language_id": op6_language_id,
+        "op7_warc_zip": op7_warc_zip,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substring_dedup": OP9_SQL}
+    return {"op7_warc_zip": OP7_SQL, "op9_substring_dedup": OP9_SQL}
