@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwright.llm import decontam, langid, licenses, pieces, pii, simhash, substrings, toxicity, warczip
+from gapwright.llm import decontam, langid, licenses, pieces, pii, simhash, substrings, topk, toxicity, warczip
 from gapwright.llm.common import held_out
 
 
@@ -79,6 +79,24 @@ from f
 """
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.x, c.x)::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+), r as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s
+)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_passages(_table(spark, sf_dir, "documents"))
 
@@ -118,10 +136,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_language_id": op6_language_id,
         "op7_warc_zip": op7_warc_zip,
+        "op8_exact_topk": op8_exact_topk,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc_zip": OP7_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op7_warc_zip": OP7_SQL, "op8_exact_topk": OP8_SQL, "op9_substring_dedup": OP9_SQL}
