@@ -171,3 +171,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = TILE, co
     for block in range(1, blocks):
         out = out.unionByName(match(block))
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, shortest: int = TILE, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item; rows with a null text stay.
+
+    Each block of the benchmark is one more pass over the rows that are left;
+    nothing is joined or shuffled.
+    """
+    items = benchmark.select("item_id", "text").where("text is not null")
+    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
+
+    def keep(rows: DataFrame, block: int) -> DataFrame:
+        table = items.where(F.expr(f"pmod(xxhash64(text), {blocks}) = {block}")).toArrow()
+        sent = docs.sparkSession.sparkContext.broadcast(table["text"].to_pylist())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(list(range(len(sent.value))), sent.value, shortest)
+            for part in slices(batches, "text"):
+                numbered = pa.RecordBatch.from_arrays([pa.array(range(part.num_rows)), part.column("text")], ["doc_id", "text"])
+                found = _matches(numbered, index, shortest, coverage)
+                kept = np.ones(part.num_rows, dtype=bool)
+                if found is not None:
+                    kept[np.asarray(found.column("doc_id"))] = False
+                yield part.filter(pa.array(kept))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    for block in range(blocks):
+        docs = keep(docs, block)
+    return docs

@@ -224,3 +224,20 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     schema = f"doc_id {kind}, lang_pred string, score double, spans array<struct<first int, words int, lang string>>"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def filter_known(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 12.0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has letters of a learned language.
+
+    The label is taken beside the row in one pass, so nothing is joined or
+    shuffled.  Under a model that learned no language every row goes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            words, _, lettered = _labelled(part.column(text_col), model, penalty)
+            row = np.repeat(np.arange(part.num_rows), words.lengths)
+            known = np.bincount(row[lettered], minlength=part.num_rows) > 0
+            yield part.filter(pa.array(known))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,6 +9,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from gapwright.llm.common import slices, written
 from gapwright.llm.components import connected
@@ -58,6 +60,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
+def with_fingerprints(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """All columns of ``docs`` and the fingerprint in hex as column ``name``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            found = [f"{simhash(t):016x}" for t in part.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], [*part.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
+
+
 def _segment(i: int) -> np.uint64:
     low, high = RING[i % len(RING)]
     return np.uint64(((1 << high) - 1) ^ ((1 << low) - 1))
@@ -213,3 +226,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4) -> DataFrame:
+    """One row of each group of near copies, all columns: that of the smallest
+    id (a null id only if the group has no other); of several rows with that id
+    the one of the least fingerprint, and of those with equal ids and
+    fingerprints one, the least text first.
+    """
+    found = written(near_duplicates(docs, id_col, text_col, budget), "classes")
+    first = found.groupBy("component_id", F.expr("if(component_id is null, fingerprint, null)").alias("lone"))
+    first = first.agg(F.min(F.expr("if(doc_id <=> component_id, fingerprint, null)")).alias("fingerprint"))
+    first = first.select(F.col("component_id").alias("__id"), F.col("fingerprint").alias("__fp"))
+    marked = with_fingerprints(docs, text_col, "__own")
+    on = marked[id_col].eqNullSafe(first["__id"]) & (F.col("__own") == F.col("__fp"))
+    kept = marked.join(first, on, "left_semi")
+    order = Window.partitionBy(id_col, "__own").orderBy(text_col)
+    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
