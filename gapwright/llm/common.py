@@ -38,12 +38,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/gapwright/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there,
-    and an executor lost later costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    and an executor lost later costs no recomputation.
+
+    ``batch_rows`` bounds the rows of an Arrow batch while it is written, for
+    plans that hand whole texts to Python beside a join's own memory.
+    """
+    spark, path, key = df.sparkSession, scratch(df.sparkSession, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if batch_rows:
+        spark.conf.set(key, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

@@ -25,7 +25,9 @@ from gapwright.llm.common import hash_words, mix, slices, split_words, written
 WINDOW = 50
 LEVELS = 6
 #: Words rewritten at once; longer texts are cut into pieces that overlap by a window.
-PIECE = 1 << 18
+PIECE = 1 << 17
+#: Texts that a worker gets at once.
+BATCH_ROWS = 1000
 
 Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
@@ -104,14 +106,15 @@ def recompress(words: np.ndarray, piece: np.ndarray, levels: int = LEVELS) -> li
     return found
 
 
-def leaders(levels: list[Level], window: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window (its first word): level, symbol and name of its leader.
+def leaders(levels: list[Level], window: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window (its first word): level, symbol, first word and name of its leader.
 
     The leader is the interior symbol of the highest level that has one: the
     longest (up to 15 words), then the greatest hash, then the leftmost.
     """
     level_of = np.full(len(window), -1, dtype=np.int64)
     symbol = np.zeros(len(window), dtype=np.int64)
+    start_of = np.zeros(len(window), dtype=np.int64)
     name_of = np.zeros(len(window), dtype=np.uint64)
     words = len(levels[0][0])
     for k in range(len(levels) - 1, -1, -1):
@@ -143,8 +146,9 @@ def leaders(levels: list[Level], window: np.ndarray, size: int) -> tuple[np.ndar
             best[at] = np.where(rank[a] >= rank[b], a, b)
         chosen = best[group]
         level_of[open_], symbol[open_] = k, chosen
+        start_of[open_] = start[chosen]
         name_of[open_] = mix(name[chosen] + _salted(k, 3))
-    return level_of, symbol, name_of
+    return level_of, symbol, start_of, name_of
 
 
 class Rolling:
@@ -192,8 +196,14 @@ def _pieces(lengths: np.ndarray, offsets: np.ndarray, window: int) -> Iterator[t
 
 
 def _anchors(docs: DataFrame, kind: str, window: int) -> DataFrame:
-    """(sym, h1, h2, doc_id, dkey, p, n): windows p .. p + n - 1 led by one symbol;
-    the hashes are of all their words and of the symbol's place among them."""
+    """(sym, h1, h2, doc_id, dkey, p, n): windows p .. p + n - 1 led by one symbol.
+
+    They start at most ``near`` words before the symbol, or all start further
+    before it; sym hashes the symbol and the words that all of these hold (the
+    symbol's first and those after it, or those before it).  The other hashes
+    are of all their words and of the symbol's place among them.
+    """
+    near = window * 5 // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 4 << 20):
@@ -205,22 +215,21 @@ def _anchors(docs: DataFrame, kind: str, window: int) -> DataFrame:
                 at = np.arange(len(codes))
                 starts = at[at + window <= ends[piece]]
                 levels = recompress(one[codes], piece)
-                level, symbol, name = leaders(levels, starts, window)
+                level, symbol, start, name = leaders(levels, starts, window)
+                far = start - starts > near
                 new = np.ones(len(starts), dtype=bool)
-                new[1:] = (level[1:] != level[:-1]) | (symbol[1:] != symbol[:-1]) | (starts[1:] != starts[:-1] + 1)
+                new[1:] = (level[1:] != level[:-1]) | (symbol[1:] != symbol[:-1]) | (starts[1:] != starts[:-1] + 1) | (far[1:] != far[:-1])
                 first = np.flatnonzero(new)
                 count = np.diff(np.append(first, len(starts)))
-                p = starts[first]
-                place = np.empty(len(first), dtype=np.int64)
-                for k in np.unique(level[first]).tolist():
-                    of = level[first] == k
-                    place[of] = levels[k][1][symbol[first[of]]] - p[of]
-                h1, h2 = Rolling((one, two), codes).of(p, p + count - 1 + window, place)
+                p, a, far = starts[first], start[first], far[first]
+                rolling = Rolling((one, two), codes)
+                h1, h2 = rolling.of(p, p + count - 1 + window, a - p)
+                sym = rolling.of(np.where(far, a - near - 1, a), np.where(far, a, a + window - near), name[first])[0]
                 owner = pa.array(rows[piece[p]])
                 begin = np.cumsum(np.bincount(piece)) - np.bincount(piece)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(name[first].view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                        pa.array(sym.view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
                         part.column("doc_id").take(owner), part.column("dkey").take(owner),
                         pa.array((p - begin[piece[p]] + firsts[piece[p]]).astype(np.int32)), pa.array(count.astype(np.int32)),
                     ],
@@ -255,13 +264,17 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("dkey", F.xxhash64("text"))
-    anchors = written(_anchors(docs, kind, window), "anchors")
+    anchors = written(_anchors(docs, kind, window), "anchors", BATCH_ROWS)
+
+    # a symbol of one document only is dropped: most are
+    spread = anchors.groupBy("sym").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    anchors = written(anchors.join(spread.select("sym"), "sym", "left_semi"), "shared_anchors")
 
     # equal surroundings: the smallest id keeps its windows, all others lose theirs
     context = ["sym", "h1", "h2"]
     firsts = anchors.groupBy(*context).agg(F.min("doc_id").alias("first"))
-    shared = firsts.groupBy("sym").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select("sym")
-    firsts = firsts.join(shared.withColumn("ask", F.lit(True)), "sym", "left")
+    several = firsts.groupBy("sym").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select("sym")
+    firsts = firsts.join(several.withColumn("ask", F.lit(True)), "sym", "left")
     flagged = anchors.join(firsts, context).where("doc_id > first or ask")
     flagged = flagged.select("doc_id", "dkey", F.struct("p", "n", (F.col("doc_id") > F.col("first")).alias("gone")).alias("x"))
     # repeated rows give the same windows more than once
@@ -269,7 +282,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("p", pa.int32()), ("n", pa.int32())]))
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 2 << 20):
             out: dict[str, list] = {x: [] for x in ("n_words", "n_removed", "kept_sha256", "text", "gone", "ask")}
             for text, found in zip(part.column("text").to_pylist(), part.column("flags").to_pylist(), strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -289,7 +302,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     spans = "array<struct<p int, n int>>"
     schema = f"doc_id {kind}, dkey bigint, n_words bigint, n_removed bigint, kept_sha256 string, text string, gone {spans}, ask {spans}"
-    settled = written(docs.join(flags, ["doc_id", "dkey"], "left").select("doc_id", "dkey", "text", "flags").mapInArrow(settle, schema), "settled")
+    settled = written(docs.join(flags, ["doc_id", "dkey"], "left").select("doc_id", "dkey", "text", "flags").mapInArrow(settle, schema), "settled", BATCH_ROWS)
 
     # the others share a symbol but not its whole surroundings: compare window by window
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,12 +325,12 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     open_ = settled.where("text is not null")
     asked = open_.select("doc_id", "dkey", "text", "ask").mapInArrow(windows, f"h1 bigint, h2 bigint, doc_id {kind}, dkey bigint, p int")
-    asked = written(asked, "windows")
+    asked = written(asked, "windows", BATCH_ROWS)
     least = asked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
     lost = asked.join(least, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id", "dkey").agg(F.collect_set("p").alias("lost"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 2 << 20):
             removed, digests = [], []
             for text, gone, lost in zip(*(part.column(c).to_pylist() for c in ("text", "gone", "lost")), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
