@@ -44,7 +44,7 @@ def gram_columns(values: list[Column]) -> list[Column]:
 def sql_moments(df: DataFrame, encoding: Encoding, selected: Column | None = None) -> DataFrame:
     """(mask, rows, selected, g_i_j…) by partial and final hash aggregation."""
     chosen = F.lit(1) if selected is None else F.when(selected, 1).otherwise(0)
-    rows = df.select(masks.mask(df.schema, encoding.sources).alias("mask"), chosen.alias("sel"), *(v.alias(f"z{i}") for i, v in enumerate(encoding.values())))
+    rows = df.select(masks.mask(encoding.schema, encoding.sources).alias("mask"), chosen.alias("sel"), *(v.alias(f"z{i}") for i, v in enumerate(encoding.values())))
     z = [F.col(f"z{i}") for i in range(len(encoding.features))]
     return rows.groupBy("mask").agg(F.count("*").alias("rows"), F.sum("sel").alias("selected"), *gram_columns(z))
 
@@ -53,7 +53,7 @@ def arrow_moments(df: DataFrame, encoding: Encoding, selected: Column | None = N
     """(mask, rows, selected, gram): each task sums its own batches by mask, then masks are summed."""
     e = len(encoding.features)
     chosen = F.lit(1) if selected is None else F.when(selected, 1).otherwise(0)
-    rows = df.select(masks.mask(df.schema, encoding.sources).alias("mask"), chosen.alias("sel"), F.array(*(F.coalesce(v, F.lit(0.0)) for v in encoding.values())).alias("z"))
+    rows = df.select(masks.mask(encoding.schema, encoding.sources).alias("mask"), chosen.alias("sel"), F.array(*(F.coalesce(v, F.lit(0.0)) for v in encoding.values())).alias("z"))
     kind = rows.schema["mask"].dataType.simpleString()
     top = np.triu_indices(e + 1)
 

@@ -61,14 +61,18 @@ class Fitted:
         return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
     def apply(self, df: DataFrame, selected: Column | None = None) -> DataFrame:
+        """As ``apply_beside``, for a table of just the fitted columns."""
+        if df.schema.simpleString() != self.encoding.schema.simpleString():
+            raise GapValueError("the table has other columns or types than the one that was fitted")
+        return self.apply_beside(df, selected)
+
+    def apply_beside(self, df: DataFrame, selected: Column | None = None) -> DataFrame:
         """``df`` with missing, selected cells of the targets filled; also for a stream.
 
         Rows meet their models in a join on the mask; observed cells and all
         other columns are returned as they are.  A mask without a model, as a
         stream may bring, is filled by the mean or the mode.
         """
-        if df.schema.simpleString() != self.encoding.schema.simpleString():
-            raise GapValueError("the table has other columns or types than the one that was fitted")
         order, chosen = df.columns, F.lit(True) if selected is None else selected
         marked = df.withColumn("__sel", chosen).withColumn("__mask", masks.mask(df.schema, self.encoding.sources))
         plain = [t for t in self.targets if t not in self.objects]
@@ -199,18 +203,20 @@ class TableImputer(Transformer):
 
     # -- fitting
 
-    def fit_table(self, df: DataFrame, rows: Column | dict | None = None, cols: object = None, n_nearest_features: int | float | None = None, normalize: bool = True) -> Fitted:
-        """Models for a table; see ``transform``."""
+    def fit_table(self, df: DataFrame, rows: Column | dict | None = None, cols: object = None, n_nearest_features: int | float | None = None, normalize: bool = True, beside: Iterable[str] = ()) -> Fitted:
+        """Models for a table; see ``impute``.  Columns named in ``beside`` are no
+        part of it, but ``rows`` may speak of them."""
+        all_columns, df = df, df.drop(*beside)
         check_schema(df)
         targets = self._targets(df, cols)
-        df, selected = self._rows(df, rows)
+        all_columns, selected = self._rows(all_columns, rows)
         if self.verbose:
             df.sparkSession.sparkContext.setJobDescription("profile the columns")
         profiles = profile(df)
         e = encode(df, profiles, normalize, self.fit_intercept, self.categories)
         if self.verbose:
             df.sparkSession.sparkContext.setJobDescription("sum products by missingness mask")
-        m = collect(df, e, selected)
+        m = collect(all_columns, e, selected)
         targets = [t for t in targets if t in e.sources]
         active = [t for t in targets if profiles[t].count and any(mask & e.bit(e.target(t)) and n for mask, n in zip(m.masks, m.selected, strict=True))]
         k = how_many(n_nearest_features, len(e.features))
