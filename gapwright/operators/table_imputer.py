@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,7 +117,7 @@ class Fitted:
         """Adds predictions of estimator objects, batch by batch."""
         schema = T.StructType([*marked.schema.fields, *(T.StructField(f"__p_{i}", T.DoubleType()) for i, t in enumerate(self.targets) if t in self.objects)])
         names, targets, where = marked.columns, self.targets, {self.keys[m]: m for m in self.keys}
-        sent = marked.sparkSession.sparkContext.broadcast(pickle.dumps({t: (x, {m: f[t][0] for m, f in self.models.items() if t in f}) for t, x in self.objects.items()}))
+        sent = marked.sparkSession.sparkContext.broadcast(cloudpickle.dumps({t: (x, {m: f[t][0] for m, f in self.models.items() if t in f}) for t, x in self.objects.items()}))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fitted = pickle.loads(sent.value)
@@ -315,7 +316,7 @@ class TableImputer(Transformer):
 
     def _one(self, X: np.ndarray, y: np.ndarray, use: tuple[int, ...], numeric: bool, width: int) -> object:
         if numeric:
-            model = pickle.loads(pickle.dumps(self.regressor))
+            model = pickle.loads(cloudpickle.dumps(self.regressor))
             model.fit(X, y)
             return model
         if self.classifier == "tree":
@@ -324,7 +325,7 @@ class TableImputer(Transformer):
         classes = np.unique(y)
         if len(classes) == 1:
             return _Constant(float(classes[0]))
-        model = pickle.loads(pickle.dumps(self.classifier))
+        model = pickle.loads(cloudpickle.dumps(self.classifier))
         model.fit(X, y.astype(np.int64))
         return model
 
