@@ -19,12 +19,13 @@ from gapwright.functions.cells import is_numeric, missing, restore
 from gapwright.operators import masks
 from gapwright.operators.columns import Encoding, encode, label
 from gapwright.operators.elm import RandomLayerRidge
-from gapwright.operators.moments import Moments, collect
+from gapwright.operators.moments import DRIVER_BYTES, SQL_FEATURES, Moments, collect
 from gapwright.operators.profile import ColumnProfile, check_schema, profile
 from gapwright.operators.rectangle import largest
 from gapwright.operators.relevance import how_many, nearest, relevance
 from gapwright.operators.ridge import Ridge, from_gram, roll_up
 from gapwright.operators.tree import GiniTree, walk
+from gapwright.operators.wide import Target, WideModel, matrix_relevance, predict, training_matrix
 
 #: A model table up to this size is broadcast to the join on masks; a larger one is shuffled.
 BROADCAST_BYTES = 64 << 20
@@ -45,6 +46,7 @@ class Fitted:
     features: dict[str, list[str]]
     objects: dict[str, list] = field(default_factory=dict)
     depth: int = 4
+    wide: WideModel | None = None
 
     def features_table(self, spark) -> DataFrame:
         """(target, features): which features each target's models may use."""
@@ -82,13 +84,20 @@ class Fitted:
         else:
             plain = []
         values = [F.coalesce(v, F.lit(0.0)) for v in self.encoding.values()]
+        guessed: dict[str, str] = {}
+        if self.wide and self.wide.targets:
+            places = {self.encoding.target(t): t for t in self.targets}
+            guessed = {places[x.place]: f"__w_{x.place}" for x in self.wide.targets}
+            marked = predict(marked, self.encoding, self.wide, {x.place: f"__w_{x.place}" for x in self.wide.targets})
         if any(t in self.objects for t in self.targets):
             marked = self._predict_objects(marked.withColumn("__z", F.array(*values)))
         out = {}
         for t in self.targets:
             kind = df.schema[t].dataType
             found: list[Column] = []
-            if t in self.objects:
+            if t in guessed:
+                found.append(self._back(F.col(guessed[t]), t, kind))
+            elif t in self.objects:
                 found.append(self._back(F.col(f"__p_{self.targets.index(t)}"), t, kind))
             elif t in plain:
                 m = F.col(f"__m{plain.index(t)}")
@@ -215,6 +224,8 @@ class TableImputer(Transformer):
             df.sparkSession.sparkContext.setJobDescription("profile the columns")
         profiles = profile(df)
         e = encode(df, profiles, normalize, self.fit_intercept, self.categories)
+        if self._is_wide(df, e, n_nearest_features):
+            return self._fit_wide(df, e, profiles, targets, n_nearest_features)
         if self.verbose:
             df.sparkSession.sparkContext.setJobDescription("sum products by missingness mask")
         m = collect(all_columns, e, selected)
@@ -243,6 +254,35 @@ class TableImputer(Transformer):
         self.imputation_features_ = features
         return Fitted(e, profiles, targets, models, dict(zip(m.masks, m.keys, strict=True)), fills, features, objects)
 
+    def _is_wide(self, df: DataFrame, e: Encoding, n_nearest: int | float | None) -> bool:
+        """Whether sums by mask would not fit the driver: then rows are solved where they are.
+
+        Estimator objects and scoring callables always take the way by masks.
+        """
+        if self.regressor != "ridge" or self.classifier != "tree" or self.scoring != "default" or len(e.features) <= SQL_FEATURES:
+            return False
+        found = df.agg(F.approx_count_distinct(masks.mask(e.schema, e.sources), 0.05)).first()[0]
+        return 1.2 * found * 8 * (len(e.features) + 1) ** 2 > DRIVER_BYTES // 4
+
+    def _fit_wide(self, df: DataFrame, e: Encoding, profiles: dict[str, ColumnProfile], targets: list[str], n_nearest: int | float | None) -> Fitted:
+        """As ``fit_table`` for wide tables.  Features that are missing nowhere the
+        target is, or everywhere, are handled by the patterns of each row."""
+        z = training_matrix(df, e)
+        k = how_many(n_nearest, len(e.features))
+        active = [t for t in targets if t in e.sources and profiles[t].count]
+        places = [e.target(t) for t in active]
+        score = matrix_relevance(z, places) if k is not None else None
+        features, models = {}, []
+        for i, t in enumerate(active):
+            own = [j for j, f in enumerate(e.features) if f.source != t]
+            own = own if k is None else nearest(score[i], places[i], own, k)
+            features[t] = [e.features[j].name for j in own]
+            models.append(Target(places[i], np.array(own, dtype=int), is_numeric(df.schema[t].dataType)))
+        self.imputation_features_ = features
+        wide = WideModel(z, models, self.alpha, self.fit_intercept, self.min_samples)
+        fills = self._fills(df, targets, profiles) if self.fallback else {}
+        return Fitted(e, profiles, [t for t in targets if t in e.sources], {}, {}, fills, features, wide=wide)
+
     def _plans(self, m: Moments, e: Encoding, target: str, own: list[int]) -> list[tuple[int, tuple[int, ...], int]]:
         """(mask, features, needed bits) of each pattern of selected rows that a model can serve."""
         bit = e.bit(e.target(target))
