@@ -9,7 +9,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gapwright.llm.common import slices, written
@@ -49,26 +48,17 @@ def simhash(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed bigint, one row per input row."""
+    """(doc_id, tkey, fp) per input row: a hash that tells texts of one id apart,
+    and the fingerprint as a signed bigint."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             found = np.fromiter((simhash(t, width) for t in part.column("text").to_pylist()), np.uint64, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tkey"), pa.array(found.view(np.int64))], ["doc_id", "tkey", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
-
-
-def with_fingerprints(docs: DataFrame, text_col: str, name: str) -> DataFrame:
-    """All columns of ``docs`` and the fingerprint in hex as column ``name``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
-            found = [f"{simhash(t):016x}" for t in part.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], [*part.schema.names, name])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, tkey bigint, fp bigint")
 
 
 def _segment(i: int) -> np.uint64:
@@ -206,6 +196,19 @@ def near_links(prints: DataFrame, budget: int = 4, block: int = BLOCK) -> DataFr
     return rows.mapInArrow(_links(budget), "a bigint, b bigint").distinct()
 
 
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4) -> DataFrame:
+    """(doc_id, tkey, fp, root, component_id) per input row; root is the least
+    fingerprint of the class, component_id its least id."""
+    prints = written(fingerprints(docs, id_col, text_col), "prints")
+    roots = connected(near_links(prints, budget))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    known = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    known = written(known, "print_roots")
+    class_id = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = known.join(class_id, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4) -> DataFrame:
     """One row (doc_id, fingerprint, component_id) per input row.
 
@@ -216,30 +219,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows come back as often as they went in.  Other columns, whatever
     their names, are not looked at.
     """
-    prints = written(fingerprints(docs, id_col, text_col), "prints")
-    roots = connected(near_links(prints, budget))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    known = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    known = written(known, "print_roots")
-    class_id = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.join(class_id, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    found = classes(docs, id_col, text_col, budget)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4) -> DataFrame:
     """One row of each group of near copies, all columns: that of the smallest
-    id (a null id only if the group has no other); of several rows with that id
-    the one of the least fingerprint, and of those with equal ids and
-    fingerprints one, the least text first.
+    id (a null id only if the group has no other); of several texts with that
+    id the one of the least fingerprint, then the least hash; of equal rows one.
+
+    Texts are not sent to Python again: the rows to keep are found by id and
+    hash of the text in a semi-join.
     """
-    found = written(near_duplicates(docs, id_col, text_col, budget), "classes")
-    first = found.groupBy("component_id", F.expr("if(component_id is null, fingerprint, null)").alias("lone"))
-    first = first.agg(F.min(F.expr("if(doc_id <=> component_id, fingerprint, null)")).alias("fingerprint"))
-    first = first.select(F.col("component_id").alias("__id"), F.col("fingerprint").alias("__fp"))
-    marked = with_fingerprints(docs, text_col, "__own")
-    on = marked[id_col].eqNullSafe(first["__id"]) & (F.col("__own") == F.col("__fp"))
-    kept = marked.join(first, on, "left_semi")
-    order = Window.partitionBy(id_col, "__own").orderBy(text_col)
-    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
+    found = written(classes(docs, id_col, text_col, budget).select("doc_id", "tkey", "fp", "root"), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "tkey")
+    first = found.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.tkey").alias("__key"))
+    repeated = not found.groupBy("doc_id", "tkey").count().where("count > 1").isEmpty()
+    marked = docs.withColumn("__own", F.xxhash64(text_col))
+    kept = marked.join(first, marked[id_col].eqNullSafe(first["__id"]) & (F.col("__own") == F.col("__key")), "left_semi")
+    if repeated:
+        each = Window.partitionBy(id_col, "__own").orderBy(text_col)
+        kept = kept.withColumn("__n", F.row_number().over(each)).where("__n = 1")
+    return kept.select(*docs.columns)
