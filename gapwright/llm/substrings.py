@@ -268,13 +268,17 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # a symbol of one document only is dropped: most are
     spread = anchors.groupBy("sym").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    anchors = written(anchors.join(spread.select("sym"), "sym", "left_semi"), "shared_anchors")
+    # sums that a join on their own key needs are written first: over an exchange of
+    # its own, Spark can split a symbol that a third of all rows hold
+    spread = written(spread.select("sym"), "shared_symbols")
+    anchors = written(anchors.join(spread, "sym", "left_semi"), "shared_anchors")
 
     # equal surroundings: the smallest id keeps its windows, all others lose theirs
     context = ["sym", "h1", "h2"]
     firsts = anchors.groupBy(*context).agg(F.min("doc_id").alias("first"))
     several = firsts.groupBy("sym").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select("sym")
-    firsts = firsts.join(several.withColumn("ask", F.lit(True)), "sym", "left")
+    several = written(several, "several_contexts")
+    firsts = written(firsts.join(several.withColumn("ask", F.lit(True)), "sym", "left"), "contexts")
     flagged = anchors.join(firsts, context).where("doc_id > first or ask")
     flagged = flagged.select("doc_id", "dkey", F.struct("p", "n", (F.col("doc_id") > F.col("first")).alias("gone")).alias("x"))
     # repeated rows give the same windows more than once
@@ -326,7 +330,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_ = settled.where("text is not null")
     asked = open_.select("doc_id", "dkey", "text", "ask").mapInArrow(windows, f"h1 bigint, h2 bigint, doc_id {kind}, dkey bigint, p int")
     asked = written(asked, "windows", BATCH_ROWS)
-    least = asked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
+    least = written(asked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")), "first_windows")
     lost = asked.join(least, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id", "dkey").agg(F.collect_set("p").alias("lost"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
