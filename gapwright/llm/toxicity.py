@@ -12,7 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwright.llm.common import bare_words, hash_words, learnable, slices, split_words, written
+from gapwright.llm.common import bare_words, hash_words, learnable, mix, slices, split_words, written
+from gapwright.llm.decontam import karp_rabin
 
 #: Hashed vocabulary of each feature kind: the model's size whatever the corpus.
 BUCKETS = 1 << 17
@@ -42,10 +43,14 @@ class Model:
 
 
 def _buckets(vocab: pa.Array) -> np.ndarray:
-    """(kinds, words): the hashed features of each word."""
-    bare = bare_words(vocab)
-    kinds = [bare if not n else pc.utf8_slice_codeunits(bare, 0, n) for n in PREFIXES]
-    return np.stack([(hash_words(k, n) >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1) for n, k in zip(PREFIXES, kinds, strict=True)])
+    """(kinds, words): the hashed features of each word; each distinct one is hashed once."""
+    bare = bare_words(vocab).dictionary_encode()
+    out = []
+    for n in PREFIXES:
+        part = (pc.utf8_slice_codeunits(bare.dictionary, 0, n) if n else bare.dictionary).dictionary_encode()
+        hashed = (hash_words(part.dictionary, n) >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1)
+        out.append(hashed[np.asarray(part.indices)][np.asarray(bare.indices)])
+    return np.stack(out)
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -83,11 +88,12 @@ def _evidence(found: list[tuple[int, int, float]], n: int, model: Model, level:
     return sum(x[2] for x in good), good
 
 
-def _counts(rows: DataFrame) -> np.ndarray:
+def _counts(rows: DataFrame, exact: bool) -> np.ndarray:
     """Texts that hold each feature, over whole texts; (2, kinds, BUCKETS) by the column ``toxic``.
 
-    A text counts once for a feature, so that one that repeats a word a
-    thousand times says no more than one that says it once.
+    A text counts once for a word, so that one that repeats it a thousand
+    times says no more than one that says it once; if ``exact`` also once for
+    a prefix that several of its words have.
     """
     size = len(PREFIXES) * BUCKETS
 
@@ -102,7 +108,8 @@ def _counts(rows: DataFrame) -> np.ndarray:
             once = np.unique(row * len(words.vocab) + words.codes)
             row, code = once // len(words.vocab), once % len(words.vocab)
             for kind, which in enumerate(_buckets(words.vocab)):
-                at = np.unique(row * BUCKETS + which[code]) if kind else row * BUCKETS + which[code]
+                at = row * BUCKETS + which[code]
+                at = np.unique(at) if exact else at
                 sums += np.bincount(toxic[at // BUCKETS] * size + kind * BUCKETS + at % BUCKETS, minlength=2 * size)
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[some])], ["cell", "n"])
@@ -113,19 +120,43 @@ def _counts(rows: DataFrame) -> np.ndarray:
     return out.reshape(2, len(PREFIXES), BUCKETS)
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, corpus: np.ndarray, prior: float = 2000.0, z: float = 3.0) -> np.ndarray:
+def log_odds(toxic: np.ndarray, clean: np.ndarray, corpus: np.ndarray, texts: tuple[int, int], prior: float = 2000.0, level: float = 1e-5) -> np.ndarray:
     """Odds of a feature in toxic against clean texts under an informative Dirichlet prior.
 
-    The prior spreads ``prior`` pseudo-counts as the whole corpus does.  Odds
-    that are not ``z`` standard errors above none count as none.
+    The prior spreads ``prior`` pseudo-counts as the whole corpus does.  A
+    feature counts only if so many of its texts are toxic by chance with a
+    probability under ``level`` (Chernoff's bound on the binomial tail).
     """
     alpha = prior * (corpus + 0.5) / (corpus + 0.5).sum()
     a, b = toxic + alpha, clean + alpha
     odds = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
-    odds[(odds < z * np.sqrt(1 / a + 1 / b)) | (toxic < 2)] = 0
+    base = min(max(texts[1] / max(1, sum(texts)), 1e-6), 1 - 1e-6)
+    n = toxic + clean
+    share = np.divide(toxic, n, out=np.zeros_like(n), where=n > 0)
+    gain = np.where(share > 0, share * np.log(np.maximum(share, 1e-12) / base), 0) + np.where(share < 1, (1 - share) * np.log(np.maximum(1 - share, 1e-12) / (1 - base)), 0)
+    odds[(share <= base) | (n * gain < -math.log(level)) | (odds < 0)] = 0
     return odds
 
 
+def _one_of_copies(sample: DataFrame) -> DataFrame:
+    """One text of each label and least shingle hash: near copies would pass for
+    independent evidence.  ``sample`` is bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            words = split_words(part.column("text"))
+            hashed = hash_words(words.vocab)[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
+            shingles = karp_rabin(hashed, 5)
+            least = [
+                int(shingles[a : b - 4].min()) if b - a >= 5 else int(mix(hashed[a:b].sum(keepdims=True))[0]) if b > a else 0
+                for a, b in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("text"), pa.array(np.array(least, dtype=np.uint64).view(np.int64))], ["toxic", "text", "least"])
+
+    marked = sample.mapInArrow(run, "toxic int, text string, least bigint")
+    return marked.groupBy("toxic", "least").agg(F.min("text").alias("text")).select("toxic", "text")
+
+
 def _rate(model: Model, clean: np.ndarray) -> float:
     """The positive root of sum p exp(rate * score) = 1 for clean text (the Gumbel's scale)."""
     p = (clean + 1e-3) / (clean + 1e-3).sum()
@@ -190,7 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     Labelled, learnable rows (id and label not null; a document labelled twice
     is toxic if any label says so) give a sample of at most ``fit_rows`` texts
-    of each label, chosen by hash of the id.  The prior counts every document.
+    of each label, chosen by hash of the id; near copies among them count once.
+    The prior counts every document.
     With one label only or none, every score is the share of toxic labels
     (a half without labels).
     """
@@ -198,10 +230,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     pick = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for y in (0, 1)]
     chosen = F.broadcast(pick[0].unionByName(pick[1]))  # at most 2 * fit_rows ids
     sample = docs.where(learnable(F.col("doc_id"))).select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text")
-    sample = written(sample, "toxicity_sample")
-    clean, toxic = _counts(sample)
-    corpus = _counts(docs.select(F.lit(0).alias("toxic"), "text"))[0]
-    odds = np.stack([log_odds(toxic[k], clean[k], corpus[k]) for k in range(len(PREFIXES))])
+    sample = written(_one_of_copies(written(sample, "toxicity_labelled")), "toxicity_sample")
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    clean, toxic = _counts(sample, exact=True)
+    corpus = _counts(docs.select(F.lit(0).alias("toxic"), "text"), exact=False)[0]
+    odds = np.stack([log_odds(toxic[k], clean[k], corpus[k], (sizes.get(0, 0), sizes.get(1, 0))) for k in range(len(PREFIXES))])
     model = Model(odds, 1.0, 0.0, 0.0, 0.0)
     model.rate = _rate(model, clean[0])
     table = scan(sample, model).select("toxic", "tokens", "best").toArrow()
