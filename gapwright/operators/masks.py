@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,16 @@ def as_int(value: int | str) -> int:
     return int(value, 2) if isinstance(value, str) else int(value)
 
 
+def vector(values: Iterable[int], columns: int) -> np.ndarray:
+    """Masks as an array that & works on: words if they fit, else Python ints."""
+    return np.array(list(values), dtype=np.int64 if columns <= WORD else object)
+
+
+def admitted(values: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """[needs, masks]: which masks lack none of the needed bits."""
+    return np.equal(values[None, :] & need[:, None], 0).astype(bool)
+
+
 def bits(columns: list[str], of: Iterable[str]) -> int:
     return sum(1 << columns.index(c) for c in of)
 

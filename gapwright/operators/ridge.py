@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from gapwright.errors import GapValueError
+from gapwright.operators import masks
 
 #: Patterns that are solved side by side.
 BATCH = 512
@@ -39,14 +40,13 @@ def from_gram(gram: np.ndarray, target: int, features: np.ndarray, alpha: float
     return coef, intercept
 
 
-def roll_up(masks: np.ndarray, need: np.ndarray, gram: np.ndarray) -> np.ndarray:
+def roll_up(values: np.ndarray, need: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """Of each pattern: the sums over the mask groups that lack none of its needed bits."""
     out = np.zeros((len(need), *gram.shape[1:]))
     flat = gram.reshape(len(gram), -1)
     for at in range(0, len(need), BATCH):
-        part = need[at : at + BATCH]
-        admitted = np.array([[not (m & n) for m in masks] for n in part], dtype=float).reshape(len(part), len(masks))
-        out[at : at + BATCH] = (admitted @ flat).reshape(-1, *gram.shape[1:])
+        part = masks.admitted(values, need[at : at + BATCH]).astype(float)
+        out[at : at + BATCH] = (part @ flat).reshape(-1, *gram.shape[1:])
     return out
 
 

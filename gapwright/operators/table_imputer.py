@@ -104,7 +104,7 @@ class Fitted:
                 if is_numeric(kind):
                     value = m["intercept"]
                     for j, v in enumerate(values):
-                        if any(t in x and x[t][1][j] for x in self.models.values()):
+                        if self.encoding.features[j].name in self.features.get(t, ()):
                             value = value + m["coef"][j] * v
                     found.append(self._back(value, t, kind))
                 else:
@@ -286,36 +286,34 @@ class TableImputer(Transformer):
     def _plans(self, m: Moments, e: Encoding, target: str, own: list[int]) -> list[tuple[int, tuple[int, ...], int]]:
         """(mask, features, needed bits) of each pattern of selected rows that a model can serve."""
         bit = e.bit(e.target(target))
-        array = np.array(m.masks, dtype=object)
-        with_target = np.array([not x & bit for x in m.masks], dtype=bool)
+        values = masks.vector(m.masks, len(e.sources))
         sources = sorted({e.features[j].source for j in own}, key=e.sources.index)
+        if not sources or not len(values):
+            return []
+        source_bits = masks.vector([1 << e.sources.index(s) for s in sources], len(e.sources))
+        lacks = ~masks.admitted(values, source_bits).T
+        with_target = masks.admitted(values, masks.vector([bit], len(e.sources)))[0]
         width = np.array([sum(e.features[j].source == s for j in own) for s in sources], dtype=float)
-        source_bits = [1 << e.sources.index(s) for s in sources]
-        lacks = np.array([[bool(x & b) for b in source_bits] for x in m.masks], dtype=bool).reshape(len(m.masks), len(sources))
-        found, known = [], {}
-        for x, n in zip(m.masks, m.selected, strict=True):
-            if not (x & bit and n):
-                continue
-            usable = tuple(s for s, b in zip(sources, source_bits, strict=True) if not x & b)
-            if not usable:
-                continue
-            if usable not in known:
-                keep = [s in usable for s in sources]
-                need = bit | sum(b for b, y in zip(source_bits, keep, strict=True) if y)
-                rows = int(m.rows[[not y & need for y in array]].sum())
-                if rows < self.min_samples:
-                    at = np.flatnonzero(keep)
-                    kept = largest(lacks[with_target][:, at], m.rows[with_target], width[at], self.min_samples)
-                    chosen = [sources[at[j]] for j in np.flatnonzero(kept)]
-                    need = bit | sum(1 << e.sources.index(s) for s in chosen)
-                    rows = int(m.rows[[not y & need for y in array]].sum()) if chosen else 0
-                    keep = [s in chosen for s in sources]
-                use = tuple(j for j in own if keep[sources.index(e.features[j].source)]) if rows else ()
-                known[usable] = (use, need)
-            use, need = known[usable]
-            if use:
-                found.append((x, use, need))
-        return found
+        wanted = np.flatnonzero(~with_target & (m.selected > 0) & (~lacks).any(axis=1))
+        if not len(wanted):
+            return []
+        usable, which = np.unique(~lacks[wanted], axis=0, return_inverse=True)
+        whole = [int(b) for b in source_bits]
+        need = [bit | sum(b for b, y in zip(whole, row, strict=True) if y) for row in usable.tolist()]
+        complete = np.concatenate([masks.admitted(values, masks.vector(need[a : a + 1024], len(e.sources))) @ m.rows for a in range(0, len(need), 1024)])
+        by_source = [[j for j in own if e.features[j].source == s] for s in sources]
+        plans: list[tuple[tuple[int, ...], int]] = []
+        for keep, bits, rows in zip(usable, need, complete, strict=True):
+            if rows < self.min_samples:
+                at = np.flatnonzero(keep)
+                kept = largest(lacks[with_target][:, at], m.rows[with_target], width[at], self.min_samples)
+                keep = np.zeros(len(sources), dtype=bool)
+                keep[at[kept]] = True
+                bits = bit | sum(b for b, y in zip(whole, keep.tolist(), strict=True) if y)
+                rows = m.rows[masks.admitted(values, masks.vector([bits], len(e.sources)))[0]].sum() if keep.any() else 0
+            use = sorted(j for columns, y in zip(by_source, keep.tolist(), strict=True) if y for j in columns) if rows else []
+            plans.append((tuple(use), bits))
+        return [(m.masks[i], *plans[k]) for i, k in zip(wanted.tolist(), which.ravel().tolist(), strict=True) if plans[k][0]]
 
     def _ridge(self, m: Moments, e: Encoding, target: str, plans: list, models: dict) -> None:
         """One solve for all distinct (features, rows) of a target."""
@@ -326,7 +324,7 @@ class TableImputer(Transformer):
         use = np.zeros((len(distinct), len(e.features)), dtype=bool)
         for r, (columns, _) in enumerate(distinct):
             use[r, list(columns)] = True
-        gram = roll_up(np.array(m.masks, dtype=object), np.array([n for _, n in distinct], dtype=object), m.gram)
+        gram = roll_up(masks.vector(m.masks, len(e.sources)), masks.vector([n for _, n in distinct], len(e.sources)), m.gram)
         coef, intercept = from_gram(gram, place, use, self.alpha, self.fit_intercept)
         where = {key: r for r, key in enumerate(distinct)}
         for mask, columns, need in plans:

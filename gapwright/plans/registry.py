@@ -215,7 +215,7 @@ def ridge_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = lineitem_gaps(spark, sf_dir).select(*MEASURES[:2])
     e = encode(df, profile(df), True, True)
     m = collect(df, e)
-    gram = roll_up(np.array(m.masks, dtype=object), np.array([3], dtype=object), m.gram)
+    gram = roll_up(masks.vector(m.masks, 2), masks.vector([3], 2), m.gram)
     coef, intercept = from_gram(gram, 0, np.array([[False, True]]))
     return rounded(spark.createDataFrame([(float(intercept[0]), float(coef[0, 1]))], "intercept double, slope double"), {"intercept": 6, "slope": 6})
 
