@@ -6,7 +6,7 @@ from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapwright.errors import GapTypeError
+from gapwright.errors import GapTypeError, GapValueError
 from gapwright.functions.cells import is_numeric
 from gapwright.operators.gaps import check_gap, interpolate
 from gapwright.operators.profile import all_missing, check_schema
@@ -31,6 +31,18 @@ class SeriesImputer(Transformer):
         self.time_col, self.lags, self.step, self.calendar = time_col, check_lags(lags), step, add_time_features
         self.longest = None if interpolate_gaps_less_than is None else check_gap(interpolate_gaps_less_than)
         self.table = TableImputer(**table)
+        self._given = {"time_col": time_col, "lags": lags, "step": step, "add_time_features": add_time_features, "interpolate_gaps_less_than": interpolate_gaps_less_than}
+
+    def get_params(self) -> dict[str, object]:
+        return self._given | self.table.get_params()
+
+    def set_params(self, **params: object) -> SeriesImputer:
+        """Changes parameters; the inner table imputer is built anew."""
+        unknown = sorted(set(params) - set(self.get_params()))
+        if unknown:
+            raise GapValueError(f"unknown parameters: {unknown}")
+        self.__init__(**(self.get_params() | params))
+        return self
 
     @property
     def imputation_features_(self) -> dict[str, list[str]]:

@@ -181,6 +181,21 @@ class TableImputer(Transformer):
         self.min_samples = 20 if min_samples_train is None else min_samples_train
         self.alpha, self.fit_intercept, self.categories, self.fit_rows, self.verbose = alpha, fit_intercept, categories or {}, fit_rows, verbose
         self.imputation_features_: dict[str, list[str]] = {}
+        self._given = {
+            "regressor": regressor, "classifier": classifier, "min_samples_train": min_samples_train, "fallback": fallback, "scoring": scoring,
+            "alpha": alpha, "fit_intercept": fit_intercept, "categories": categories, "fit_rows": fit_rows, "verbose": verbose,
+        }
+
+    def get_params(self) -> dict[str, object]:
+        return dict(self._given)
+
+    def set_params(self, **params: object) -> TableImputer:
+        """Changes parameters; all that follows from them is checked and derived again."""
+        unknown = sorted(set(params) - set(self._given))
+        if unknown:
+            raise GapValueError(f"unknown parameters: {unknown}")
+        self.__init__(**(self._given | params))
+        return self
 
     # -- selectors
 

@@ -154,3 +154,29 @@ def test_stream(spark, tmp_path):
         TableImputer().fit_table(stream)
     with pytest.raises(GapTypeError):
         impute_stream(fitted, df)
+
+
+def test_evaluation(spark):
+    from gapwright.plans.evaluation import run_series, run_suite
+
+    rows = run_suite(spark).collect()
+    assert {r["pattern"] for r in rows} == {"MAR_0.10", "Blocks_0.20x0.30"}
+    for r in rows:
+        assert r["coverage"] == 1.0 and r["masked"] == r["filled"] > 0 and r["seconds"] > 0
+    assert rows[0]["r2"] > 0.5 and rows[0]["accuracy"] > 0.5
+    t = np.arange(300)
+    df = hours(spark, [(int(i), float(np.sin(i / 5)), float(np.cos(i / 5))) for i in t], "ts timestamp_ntz, v double, w double")
+    r = run_series(df, "ts", None, "MAR_0.10").first()
+    assert r["coverage"] == 1.0 and r["r2"] > 0.9
+    with pytest.raises(GapValueError):
+        run_series(df, "ts", None, "nope")
+
+
+def test_parameters(spark):
+    t = TableImputer(alpha=2.0)
+    assert t.get_params()["alpha"] == 2.0 and t.set_params(fallback=None).fallback is None and t.alpha == 2.0
+    s = SeriesImputer("ts").set_params(lags=(1, 2), min_samples_train=5)
+    assert s.lags == [1, 2] and s.table.min_samples == 5
+    for bad in (t, s):
+        with pytest.raises(GapValueError):
+            bad.set_params(nope=1)
