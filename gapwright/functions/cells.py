@@ -19,16 +19,28 @@ def is_label(kind: T.DataType) -> bool:
     return isinstance(kind, LABELS)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def missing_sql(name: str, kind: T.DataType) -> str:
+    c = quoted(name)
+    return f"({c} is null or isnan({c}))" if isinstance(kind, FLOATS) else f"({c} is null)"
+
+
+def number_sql(name: str, kind: T.DataType) -> str:
+    c = quoted(name)
+    return f"if(isnan({c}), null, cast({c} as double))" if isinstance(kind, FLOATS) else f"cast({c} as double)"
+
+
 def missing(name: str, kind: T.DataType) -> Column:
     """NULL, and NaN in floating columns."""
-    c = F.col(f"`{name}`")
-    return c.isNull() | F.isnan(c) if isinstance(kind, FLOATS) else c.isNull()
+    return F.expr(missing_sql(name, kind))
 
 
 def number(name: str, kind: T.DataType) -> Column:
     """The cell as a double, NULL where missing."""
-    c = F.col(f"`{name}`")
-    return F.when(~F.isnan(c), c.cast("double")) if isinstance(kind, FLOATS) else c.cast("double")
+    return F.expr(number_sql(name, kind))
 
 
 def restore(value: Column, kind: T.DataType) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapwright.errors import GapValueError
-from gapwright.functions.cells import is_label, is_numeric, missing, number
+from gapwright.functions.cells import is_label, is_numeric, missing, number, number_sql
 from gapwright.operators.profile import ColumnProfile
 
 #: A label column of more distinct values is refused: each becomes a feature.
@@ -46,7 +46,13 @@ class Encoding:
         return code(c, self.categories[f.source]).cast("double")
 
     def values(self) -> list[Column]:
-        return [(self.raw(f) - self.shift[i]) / self.scale[i] if self.shift[i] or self.scale[i] != 1.0 else self.raw(f) for i, f in enumerate(self.features)]
+        """All features, shifted and scaled, NULL where missing."""
+        return [self._value(i, f) for i, f in enumerate(self.features)]
+
+    def _value(self, i: int, f: Feature) -> Column:
+        if f.kind != "number" or (not self.shift[i] and self.scale[i] == 1.0):
+            return self.raw(f)
+        return F.expr(f"({number_sql(f.source, self.schema[f.source].dataType)} - double({self.shift[i]!r})) / double({self.scale[i]!r})")
 
     def target(self, source: str) -> int:
         return next(i for i, f in enumerate(self.features) if f.source == source and f.kind != "dummy")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapwright.errors import GapValueError
-from gapwright.functions.cells import missing
+from gapwright.functions.cells import missing_sql
 
 #: Bits of a BIGINT mask; wider tables use a text of 0 and 1.
 WORD = 62
@@ -18,12 +18,10 @@ WORD = 62
 
 def mask(schema: T.StructType, columns: list[str]) -> Column:
     """Bit i is set where ``columns[i]`` is missing."""
+    lacks = [missing_sql(c, schema[c].dataType) for c in columns]
     if len(columns) > WORD:
-        return F.concat(*(F.when(missing(c, schema[c].dataType), F.lit("1")).otherwise(F.lit("0")) for c in reversed(columns)))
-    out = F.lit(0).cast("bigint")
-    for i, c in enumerate(columns):
-        out = out.bitwiseOR(F.when(missing(c, schema[c].dataType), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return out
+        return F.expr("concat(" + ", ".join(f"if({x}, '1', '0')" for x in reversed(lacks)) + ")")
+    return F.expr(" | ".join(["0L", *(f"if({x}, {1 << i}L, 0L)" for i, x in enumerate(lacks))]))
 
 
 def as_int(value: int | str) -> int:

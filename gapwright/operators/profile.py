@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapwright.errors import GapTypeError, GapValueError
-from gapwright.functions.cells import FLOATS, is_label, is_numeric, missing, number
+from gapwright.functions.cells import FLOATS, is_label, is_numeric, missing_sql, number, number_sql, quoted
+from gapwright.operators.masks import mask
 
 
 @dataclass
@@ -33,39 +34,56 @@ def check_schema(df: DataFrame) -> None:
             raise GapValueError(f"column {f.name} has the unsupported type {f.dataType.simpleString()}")
 
 
-def profile_row(df: DataFrame) -> DataFrame:
+@dataclass
+class TableProfile:
+    """Profiles by column, the rows, and about how many distinct masks there are (if asked for)."""
+
+    columns: dict[str, ColumnProfile]
+    rows: int
+    masks: int | None = None
+
+
+def profile_row(df: DataFrame, with_masks: bool = False) -> DataFrame:
     """One row: for every column count, and for numbers mean, population std and infinities.
 
     All in one aggregate, so a table is read once; Spark's central moments are
     stable and merge between tasks.
     """
-    out = []
+    out = [F.count("*").alias(":rows")]
+    if with_masks:
+        known = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.NullType)]
+        out.append(F.approx_count_distinct(mask(df.schema, known), 0.05).alias(":masks"))
     for f in df.schema.fields:
         name, kind = f.name, f.dataType
-        out.append(F.count(F.when(~missing(name, kind), 1)).alias(f"{name}:n"))
+        out.append(F.expr(f"count_if(not {missing_sql(name, kind)}) as {quoted(name + ':n')}"))
         if is_numeric(kind):
-            x = number(name, kind)
-            out += [F.avg(x).alias(f"{name}:mean"), F.stddev_pop(x).alias(f"{name}:std")]
+            x = number_sql(name, kind)
+            out += [F.expr(f"avg({x}) as {quoted(name + ':mean')}"), F.expr(f"stddev_pop({x}) as {quoted(name + ':std')}")]
             if isinstance(kind, FLOATS):
-                out.append(F.max(F.abs(x) == float("inf")).alias(f"{name}:inf"))
+                out.append(F.expr(f"max(abs({x}) = double('infinity')) as {quoted(name + ':inf')}"))
     return df.agg(*out)
 
 
-def profile(df: DataFrame) -> dict[str, ColumnProfile]:
+def profile_all(df: DataFrame, with_masks: bool = False) -> TableProfile:
     """The profile of every column; infinities are refused."""
-    row = profile_row(df).first().asDict()
+    row = profile_row(df, with_masks).first().asDict()
     found = {}
     for name in df.columns:
         if row.get(f"{name}:inf"):
             raise GapValueError(f"column {name} holds infinite values")
         found[name] = ColumnProfile(row[f"{name}:n"], row.get(f"{name}:mean") or 0.0, row.get(f"{name}:std") or 0.0)
-    return found
+    return TableProfile(found, row[":rows"], row.get(":masks"))
+
+
+def profile(df: DataFrame) -> dict[str, ColumnProfile]:
+    """The profile of every column, by name."""
+    return profile_all(df).columns
 
 
 def profile_table(df: DataFrame) -> DataFrame:
     """(column, observed, missing, mean, std) of the numeric columns, as a table."""
     names = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-    wide = profile_row(df.select(*names)).crossJoin(df.agg(F.count("*").alias("rows")))  # one row by one row
+    wide = profile_row(df.select(*names)).withColumnRenamed(":rows", "rows")
     parts = [
         F.struct(F.lit(n).alias("column"), F.col(f"`{n}:n`").alias("observed"), (F.col("rows") - F.col(f"`{n}:n`")).alias("missing"),
                  F.col(f"`{n}:mean`").alias("mean"), F.col(f"`{n}:std`").alias("std"))

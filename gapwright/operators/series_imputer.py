@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gapwright.errors import GapTypeError, GapValueError
 from gapwright.functions.cells import is_numeric
 from gapwright.operators.gaps import check_gap, interpolate
-from gapwright.operators.profile import all_missing, check_schema
+from gapwright.operators.profile import check_schema
 from gapwright.operators.table_imputer import TableImputer
 from gapwright.operators.timefeatures import add_calendar, add_lags, check_lags, lag_names
 from gapwright.operators.timegrid import check_time, regularise
@@ -71,11 +71,9 @@ class SeriesImputer(Transformer):
         if self.calendar:
             features, extra = add_calendar(features, self.time_col)
             made += extra
-        empty = set(all_missing(features.select(*made))) if made else set()
-        features = features.drop(*empty)
         targets = TableImputer._targets(df.select(*names), cols) if cols is not None else names
         chosen, beside = self._selected(rows, before, after), (self.time_col, "__ord")
-        fitted = self.table.fit_table(features, chosen, targets, n_nearest_features, normalize, beside)
+        fitted = self.table.fit_table(features, chosen, targets, n_nearest_features, normalize, beside, made)
         return fitted.apply_beside(features, chosen).select(*df.columns)
 
     def _selected(self, rows: object, before: object, after: object) -> Column | None:

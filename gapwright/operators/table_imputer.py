@@ -20,7 +20,7 @@ from gapwright.operators import masks
 from gapwright.operators.columns import Encoding, encode, label
 from gapwright.operators.elm import RandomLayerRidge
 from gapwright.operators.moments import DRIVER_BYTES, SQL_FEATURES, Moments, collect
-from gapwright.operators.profile import ColumnProfile, check_schema, profile
+from gapwright.operators.profile import ColumnProfile, TableProfile, check_schema, profile_all
 from gapwright.operators.rectangle import largest
 from gapwright.operators.relevance import how_many, nearest, relevance
 from gapwright.operators.ridge import Ridge, from_gram, roll_up
@@ -228,19 +228,22 @@ class TableImputer(Transformer):
 
     # -- fitting
 
-    def fit_table(self, df: DataFrame, rows: Column | dict | None = None, cols: object = None, n_nearest_features: int | float | None = None, normalize: bool = True, beside: Iterable[str] = ()) -> Fitted:
+    def fit_table(self, df: DataFrame, rows: Column | dict | None = None, cols: object = None, n_nearest_features: int | float | None = None, normalize: bool = True, beside: Iterable[str] = (), droppable: Iterable[str] = ()) -> Fitted:
         """Models for a table; see ``impute``.  Columns named in ``beside`` are no
-        part of it, but ``rows`` may speak of them."""
+        part of it, but ``rows`` may speak of them; those in ``droppable`` are
+        left out if they hold no value at all."""
         all_columns, df = df, df.drop(*beside)
         check_schema(df)
         targets = self._targets(df, cols)
         all_columns, selected = self._rows(all_columns, rows)
         if self.verbose:
             df.sparkSession.sparkContext.setJobDescription("profile the columns")
-        profiles = profile(df)
+        found = profile_all(df, with_masks=len(df.columns) > SQL_FEATURES)
+        profiles = found.columns
+        df = df.drop(*(c for c in droppable if not profiles[c].count))
         e = encode(df, profiles, normalize, self.fit_intercept, self.categories)
-        if self._is_wide(df, e, n_nearest_features):
-            return self._fit_wide(df, e, profiles, targets, n_nearest_features)
+        if self._is_wide(df, e, found):
+            return self._fit_wide(df, e, found, targets, n_nearest_features)
         if self.verbose:
             df.sparkSession.sparkContext.setJobDescription("sum products by missingness mask")
         m = collect(all_columns, e, selected)
@@ -269,20 +272,23 @@ class TableImputer(Transformer):
         self.imputation_features_ = features
         return Fitted(e, profiles, targets, models, dict(zip(m.masks, m.keys, strict=True)), fills, features, objects)
 
-    def _is_wide(self, df: DataFrame, e: Encoding, n_nearest: int | float | None) -> bool:
+    def _is_wide(self, df: DataFrame, e: Encoding, found: TableProfile) -> bool:
         """Whether sums by mask would not fit the driver: then rows are solved where they are.
 
         Estimator objects and scoring callables always take the way by masks.
         """
         if self.regressor != "ridge" or self.classifier != "tree" or self.scoring != "default" or len(e.features) <= SQL_FEATURES:
             return False
-        found = df.agg(F.approx_count_distinct(masks.mask(e.schema, e.sources), 0.05)).first()[0]
-        return 1.2 * found * 8 * (len(e.features) + 1) ** 2 > DRIVER_BYTES // 4
+        distinct = found.masks
+        if distinct is None:
+            distinct = df.agg(F.approx_count_distinct(masks.mask(e.schema, e.sources), 0.05)).first()[0]
+        return 1.2 * distinct * 8 * (len(e.features) + 1) ** 2 > DRIVER_BYTES // 4
 
-    def _fit_wide(self, df: DataFrame, e: Encoding, profiles: dict[str, ColumnProfile], targets: list[str], n_nearest: int | float | None) -> Fitted:
+    def _fit_wide(self, df: DataFrame, e: Encoding, found: TableProfile, targets: list[str], n_nearest: int | float | None) -> Fitted:
         """As ``fit_table`` for wide tables.  Features that are missing nowhere the
         target is, or everywhere, are handled by the patterns of each row."""
-        z = training_matrix(df, e)
+        profiles = found.columns
+        z = training_matrix(df, e, found.rows)
         k = how_many(n_nearest, len(e.features))
         active = [t for t in targets if t in e.sources and profiles[t].count]
         places = [e.target(t) for t in active]

@@ -25,12 +25,12 @@ MATRIX_BYTES = 192 << 20
 TREE_ROWS = 2000
 
 
-def training_matrix(df: DataFrame, encoding: Encoding, limit_bytes: int = MATRIX_BYTES) -> np.ndarray:
-    """Encoded rows, NaN where missing: all of them, or as many as fit by hash of the row."""
+def training_matrix(df: DataFrame, encoding: Encoding, total: int, limit_bytes: int = MATRIX_BYTES) -> np.ndarray:
+    """Encoded rows, NaN where missing: all of the ``total``, or as many as fit by hash of the row."""
     e = len(encoding.features)
     rows = max(1, limit_bytes // (8 * e))
     values = df.select(F.array(*(F.coalesce(v, F.lit(float("nan"))) for v in encoding.values())).alias("z"))
-    if values.count() > rows:
+    if total > rows:
         values = values.orderBy(F.xxhash64("z")).limit(rows)
     table = values.toArrow()["z"].combine_chunks()
     return np.asarray(table.flatten(), dtype=float).reshape(-1, e)
