@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +16,9 @@ from gapwright.errors import GapTypeError, GapValueError
 from gapwright.functions.cells import FLOATS, is_label, is_numeric, missing_sql, number, number_sql, quoted
 from gapwright.operators.masks import mask
 
+#: Up to so many columns the profile is one SQL aggregate; beyond, code for thousands of sums costs more than it saves.
+SQL_COLUMNS = 64
+
 
 @dataclass
 class ColumnProfile:
@@ -64,8 +71,58 @@ def profile_row(df: DataFrame, with_masks: bool = False) -> DataFrame:
     return df.agg(*out)
 
 
+def _wide_profile(df: DataFrame) -> TableProfile:
+    """As ``profile_all`` for many columns: tasks sum whole batches of numbers.
+
+    Each task gives count, sum and squared deviations from its own mean of
+    every column; these merge by the parallel variance formula.
+    """
+    numbers = [f for f in df.schema.fields if is_numeric(f.dataType)]
+    others = [f for f in df.schema.fields if not is_numeric(f.dataType)]
+    counted = others and df.agg(*(F.expr(f"count_if(not {missing_sql(f.name, f.dataType)}) as {quoted(f.name)}") for f in others)).first()
+    cells = ", ".join(f"coalesce({number_sql(f.name, f.dataType)}, double('nan'))" for f in numbers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n, total, m2, odd = 0, np.zeros(len(numbers)), np.zeros(len(numbers)), np.zeros(len(numbers)), np.zeros(len(numbers), bool)
+        for batch in batches:
+            x = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, len(numbers))
+            seen = ~np.isnan(x)
+            odd |= np.isinf(x).any(axis=0)
+            x = np.where(seen & np.isfinite(x), x, 0)
+            k, s = seen.sum(axis=0), x.sum(axis=0)
+            mean = s / np.maximum(k, 1)
+            d2 = (np.where(seen, x - mean, 0) ** 2).sum(axis=0)
+            gap = mean - total / np.maximum(n, 1)
+            m2 += d2 + np.where((n > 0) & (k > 0), gap**2 * n * k / np.maximum(n + k, 1), 0)
+            rows, n, total = rows + batch.num_rows, n + k, total + s
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(numbers)), pa.int32()), pa.array(np.full(len(numbers), rows)), pa.array(n), pa.array(total), pa.array(m2), pa.array(odd)],
+            ["i", "rows", "n", "s", "m2", "odd"],
+        )
+
+    parts = df.select(F.expr(f"array({cells})")).mapInArrow(run, "i int, rows bigint, n double, s double, m2 double, odd boolean")
+    merged = parts.groupBy("i").agg(
+        F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("odd").alias("odd"),
+        F.sum(F.expr("m2 + if(n > 0, s * s / n, 0)")).alias("q"),
+    )
+    found, rows = {}, 0
+    for r in merged.collect():  # one row a column
+        name, n, rows = numbers[r["i"]].name, r["n"], r["rows"]
+        if r["odd"]:
+            raise GapValueError(f"column {name} holds infinite values")
+        mean = r["s"] / n if n else 0.0
+        spread = max(r["q"] - n * mean * mean, 0.0) if n else 0.0
+        # what cancellation leaves of a constant column is no spread
+        found[name] = ColumnProfile(int(n), mean, math.sqrt(spread / n) if n and spread > 1e-14 * r["q"] else 0.0)
+    for f in others:
+        found[f.name] = ColumnProfile(counted[f.name], 0.0, 0.0)
+    return TableProfile({c: found.get(c, ColumnProfile(0, 0.0, 0.0)) for c in df.columns}, rows)
+
+
 def profile_all(df: DataFrame, with_masks: bool = False) -> TableProfile:
     """The profile of every column; infinities are refused."""
+    if len(df.columns) > SQL_COLUMNS:
+        return _wide_profile(df)
     row = profile_row(df, with_masks).first().asDict()
     found = {}
     for name in df.columns:

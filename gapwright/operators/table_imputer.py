@@ -279,6 +279,8 @@ class TableImputer(Transformer):
         """
         if self.regressor != "ridge" or self.classifier != "tree" or self.scoring != "default" or len(e.features) <= SQL_FEATURES:
             return False
+        if len(e.sources) > masks.WORD:
+            return True
         distinct = found.masks
         if distinct is None:
             distinct = df.agg(F.approx_count_distinct(masks.mask(e.schema, e.sources), 0.05)).first()[0]

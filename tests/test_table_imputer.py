@@ -70,6 +70,32 @@ def test_wide_table_takes_the_arrow_path(spark):
     assert np.sqrt(((out - full)[hole] ** 2).mean()) < 0.5
 
 
+def test_wide_profile_equals_the_sql_one(spark, monkeypatch):
+    import gapwright.operators.profile as module
+
+    x, _ = holes(300, 5, 0.2, 12, 1e4, 3)
+    df = frame(spark, x).withColumn("k", F.when(F.col("row") % 3 == 0, "s")).withColumn("dead", F.lit(None).cast("double")).withColumn("same", F.lit(7.5)).repartition(5)
+    want = module.profile_all(df)
+    monkeypatch.setattr(module, "SQL_COLUMNS", 1)
+    got = module.profile_all(df)
+    assert got.rows == want.rows == 300
+    for c in df.columns:
+        a, b = got.columns[c], want.columns[c]
+        assert a.count == b.count and abs(a.mean - b.mean) < 1e-8 and abs(a.std - b.std) < 1e-6 and (c != "same" or a.scale == 1)
+
+
+def test_many_columns_are_solved_where_the_rows_are(spark):
+    x, full = holes(300, 70, 0.05, 13)
+    names = [f"c{i}" for i in range(70)]
+    df = frame(spark, x, names)
+    fitted = TableImputer().fit_table(df, beside=["row"], n_nearest_features=10)
+    assert fitted.wide is not None
+    out = values(fitted.apply_beside(df), names)
+    hole = np.isnan(x)
+    assert not np.isnan(out).any() and (out[~hole] == x[~hole]).all()
+    assert np.sqrt(((out - full)[hole] ** 2).mean()) < 0.6
+
+
 def test_selectors(spark):
     x, _ = holes(100, 4, 0.2, 6)
     df = frame(spark, x)
