@@ -53,7 +53,18 @@ def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFram
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no later plan reads.  What a returned result
+    still reads stays in the shared folder, for its owner to empty."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

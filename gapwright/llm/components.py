@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwright.llm.common import written
+from gapwright.llm.common import discard, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def connected(edges: DataFrame) -> DataFrame:
         low = hung.groupBy("u").agg(F.min("v").alias("m"))
         near = hung.join(low, "u")
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        past, now = now, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(past)
         after = _seal(now)
         if after == seal:
             break

@@ -16,7 +16,7 @@ from gapwright.llm.common import bare_words, hash_words, mix, slices, split_word
 #: Shortest tile, in words: also the length of a seed.
 TILE = 5
 #: Share of an item's words that tiles must cover.
-COVERAGE = 0.6
+COVERAGE = 0.5
 #: Bytes of benchmark text matched in one pass; more items make more passes.
 BLOCK_BYTES = 32 << 20
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwright.llm.common import hash_words, mix, slices, split_words, written
+from gapwright.llm.common import discard, hash_words, mix, slices, split_words, written
 
 WINDOW = 50
 LEVELS = 6
@@ -271,7 +271,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # sums that a join on their own key needs are written first: over an exchange of
     # its own, Spark can split a symbol that a third of all rows hold
     spread = written(spread.select("sym"), "shared_symbols")
-    anchors = written(anchors.join(spread, "sym", "left_semi"), "shared_anchors")
+    every, anchors = anchors, written(anchors.join(spread, "sym", "left_semi"), "shared_anchors")
+    discard(every, spread)
 
     # equal surroundings: the smallest id keeps its windows, all others lose theirs
     context = ["sym", "h1", "h2"]
@@ -279,6 +280,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     several = firsts.groupBy("sym").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select("sym")
     several = written(several, "several_contexts")
     firsts = written(firsts.join(several.withColumn("ask", F.lit(True)), "sym", "left"), "contexts")
+    discard(several)
     flagged = anchors.join(firsts, context).where("doc_id > first or ask")
     flagged = flagged.select("doc_id", "dkey", F.struct("p", "n", (F.col("doc_id") > F.col("first")).alias("gone")).alias("x"))
     # repeated rows give the same windows more than once
@@ -307,6 +309,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = "array<struct<p int, n int>>"
     schema = f"doc_id {kind}, dkey bigint, n_words bigint, n_removed bigint, kept_sha256 string, text string, gone {spans}, ask {spans}"
     settled = written(docs.join(flags, ["doc_id", "dkey"], "left").select("doc_id", "dkey", "text", "flags").mapInArrow(settle, schema), "settled", BATCH_ROWS)
+    discard(anchors, firsts)
 
     # the others share a symbol but not its whole surroundings: compare window by window
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

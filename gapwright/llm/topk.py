@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gapwright.llm.common import written
+from gapwright.llm.common import discard, written
 
 #: Pivots, and the most vectors (by hash of the id) that they are fitted on; every row is indexed.
 PIVOTS, FIT_ROWS = 64, 4096
@@ -178,6 +178,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     # a ring beyond the block size is dealt into shares by hash
     share = F.expr(f"cast(pmod(xxhash64(vec_id), greatest(1, cast(ceil(n / cuts / {BLOCK}) as int))) as int)")
     data = written(cut.withColumn("block", F.concat_ws("-", "pivot", "ring", share)).select("block", "pivot", "dist", "vec_id", "v"), "blocks")
+    discard(placed)
     bounds = data.groupBy("block", "pivot").agg(F.min("dist").alias("low"), F.max("dist").alias("high"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

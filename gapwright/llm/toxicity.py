@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwright.llm.common import bare_words, hash_words, learnable, mix, slices, split_words, written
+from gapwright.llm.common import bare_words, discard, hash_words, learnable, mix, slices, split_words, written
 from gapwright.llm.decontam import karp_rabin
 
 #: Hashed vocabulary of each feature kind: the model's size whatever the corpus.
@@ -230,7 +230,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     pick = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for y in (0, 1)]
     chosen = F.broadcast(pick[0].unionByName(pick[1]))  # at most 2 * fit_rows ids
     sample = docs.where(learnable(F.col("doc_id"))).select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text")
-    sample = written(_one_of_copies(written(sample, "toxicity_labelled")), "toxicity_sample")
+    labelled = written(sample, "toxicity_labelled")
+    sample = written(_one_of_copies(labelled), "toxicity_sample")
+    discard(labelled)
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     clean, toxic = _counts(sample, exact=True)
     corpus = _counts(docs.select(F.lit(0).alias("toxic"), "text"), exact=False)[0]
