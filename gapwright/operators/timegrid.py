@@ -59,16 +59,50 @@ def infer_step(df: DataFrame, time_col: str) -> int:
     return f["base"]
 
 
+def calendar_order(df: DataFrame, time_col: str) -> Column | None:
+    """Ordinals of a series on every month (or k-th month) or on every weekday, else None.
+
+    Such a series of three points at least has no fixed step but is complete
+    as it is: months have one day of the month, or all are month ends, and one
+    time of day; weekdays cross a weekend.  One aggregate tells.
+    """
+    t = F.col(time_col)
+    day = F.datediff(t.cast("date"), F.lit("1970-01-05").cast("date"))  # a Monday
+    month = F.year(t) * 12 + F.month(t)
+    work = F.floor(day / 7) * 5 + F.weekday(t)
+    clock = F.pmod(micros(t), F.lit(86_400_000_000))
+    f = df.agg(
+        F.count("*").alias("rows"), F.countDistinct(t).alias("points"), F.min(clock).alias("c0"), F.max(clock).alias("c1"),
+        F.min(month).alias("m0"), F.max(month).alias("m1"), F.countDistinct(month).alias("months"), F.min(F.day(t)).alias("d0"), F.max(F.day(t)).alias("d1"),
+        F.min(F.last_day(t) == t.cast("date")).alias("ends"), F.max(F.weekday(t)).alias("late"), F.min(work).alias("w0"), F.max(work).alias("w1"),
+        F.min(day).alias("day0"), F.max(day).alias("day1"),
+    ).first()
+    n = f["rows"]
+    if n < 3 or f["points"] != n or f["c0"] != f["c1"]:
+        return None
+    if f["months"] == n and (f["d0"] == f["d1"] or f["ends"]) and (f["m1"] - f["m0"]) % (n - 1) == 0:
+        k = (f["m1"] - f["m0"]) // (n - 1)
+        if df.where(F.pmod(month - f["m0"], F.lit(k)) != 0).isEmpty():
+            return ((month - f["m0"]) / k).cast("bigint")
+    if f["late"] <= 4 and f["w1"] - f["w0"] + 1 == n and f["day1"] - f["day0"] + 1 > n:
+        return (work - f["w0"]).cast("bigint")
+    return None
+
+
 def regularise(df: DataFrame, time_col: str, step: int | str | None = None) -> DataFrame:
     """``df`` on the complete grid from its first to its last time, with ``__ord`` from 0.
 
     ``step`` is in microseconds, or a calendar interval such as "1 month" (the
-    grid starts at the first time), or None to infer it.  Rows off the grid of
+    grid starts at the first time), or None to infer it; a complete series of
+    months or weekdays is its own grid.  Rows off the grid of
     an explicit step are dropped, as a reindexed frame drops them.
     """
     check_time(df, time_col)
     kind = df.schema[time_col].dataType
     if step is None:
+        order = calendar_order(df, time_col)
+        if order is not None:
+            return df.withColumn("__ord", order)
         step = infer_step(df, time_col)
     first, last = df.agg(F.min(time_col), F.max(time_col)).first()
     if first is None:

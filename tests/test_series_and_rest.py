@@ -40,6 +40,19 @@ def test_grid_dates_and_months(spark):
     assert [r["d"].month for r in regularise(months, "d", "1 month").orderBy("d").collect()] == [1, 2, 3, 4]
 
 
+def test_calendar_series_are_their_own_grid(spark):
+    make = lambda days: spark.createDataFrame([(d.to_pydatetime(), float(i)) for i, d in enumerate(days)], "d timestamp_ntz, v double")
+    for freq in ("MS", "ME", "QS", "YS", "B"):
+        days = pd.date_range("2023-01-02", periods=12, freq=freq)
+        got = regularise(make(days), "d").orderBy("d").collect()
+        assert [r["__ord"] for r in got] == list(range(12)), freq
+    gappy = [d for i, d in enumerate(pd.date_range("2023-01-01", periods=12, freq="MS")) if i != 4]
+    with pytest.raises(GapValueError, match="irregular"):
+        regularise(make(gappy), "d")
+    week = pd.date_range("2023-01-02", periods=4, freq="D")
+    assert regularise(make(week), "d").count() == 4
+
+
 def test_lags_over_buckets_equal_shifts(spark, monkeypatch):
     import gapwright.operators.timegrid as timegrid
 
