@@ -31,6 +31,8 @@ from gapwright.operators.wide import Target, WideModel, matrix_relevance, predic
 BROADCAST_BYTES = 64 << 20
 #: Trees and custom estimators are fitted on at most so many rows with the target observed, by hash of the row.
 FIT_ROWS = 100_000
+#: Up to so many of them are fitted by the driver itself.
+FEW_FITS = 4
 
 
 @dataclass
@@ -363,26 +365,51 @@ class TableImputer(Transformer):
         rows = rows.select(masks.mask(df.schema, e.sources).alias("mask"), *(v.alias(f"z{i}") for i, v in enumerate(e.values())))
         table = rows.orderBy(F.xxhash64(*rows.columns)).limit(self.fit_rows).toArrow()
         z = np.stack([np.asarray(table[f"z{i}"].fill_null(0.0), dtype=float) for i in range(len(e.features))], axis=1)
-        seen = np.array([masks.as_int(x) for x in table["mask"].to_pylist()], dtype=object)
+        seen = masks.vector([masks.as_int(x) for x in table["mask"].to_pylist()], len(e.sources))
+        distinct = list(dict.fromkeys((use, need) for _, use, need in plans))
+        fitted = self._fit_all(df, z, seen, place, distinct, numeric, len(e.sources))
         known: dict[tuple, object] = {}
+        for key, model in zip(distinct, fitted, strict=True):
+            if model is not None and not isinstance(model, tuple):
+                objects.setdefault(target, []).append((model, list(key[0])))
+                model = (len(objects[target]) - 1,)
+            known[key] = model
         for mask, use, need in plans:
-            if (use, need) not in known:
-                at = np.array([not x & need for x in seen], dtype=bool)
-                known[use, need] = self._one(z[at][:, list(use)], z[at, place], use, numeric, len(e.features)) if at.any() else None
-                if known[use, need] is not None and not isinstance(known[use, need], tuple):
-                    objects.setdefault(target, []).append((known[use, need], list(use)))
-                    known[use, need] = (len(objects[target]) - 1,)
             if known[use, need] is not None:
                 models.setdefault(mask, {})[target] = known[use, need]
 
-    def _one(self, X: np.ndarray, y: np.ndarray, use: tuple[int, ...], numeric: bool, width: int) -> object:
+    def _fit_all(self, df: DataFrame, z: np.ndarray, seen: np.ndarray, place: int, distinct: list, numeric: bool, columns: int) -> list:
+        """A model (or None) for each (features, needed bits); many are fitted by the tasks of a job."""
+
+        def fit(use: tuple[int, ...], need: int, z: np.ndarray, seen: np.ndarray) -> object:
+            at = masks.admitted(seen, masks.vector([need], columns))[0]
+            return self._one(z[at][:, list(use)], z[at, place], use, numeric) if at.any() else None
+
+        if len(distinct) <= FEW_FITS:
+            return [fit(use, need, z, seen) for use, need in distinct]
+        spark = df.sparkSession
+        sent = spark.sparkContext.broadcast((z, seen))
+        packed = cloudpickle.dumps(fit)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one, (z, seen) = pickle.loads(packed), sent.value
+            for batch in batches:
+                made = [cloudpickle.dumps(one(*distinct[i], z, seen)) for i in batch.column("i").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(made, pa.binary())], ["i", "model"])
+
+        tasks = min(len(distinct), 4 * spark.sparkContext.defaultParallelism)
+        found = spark.range(len(distinct)).select(F.col("id").cast("int").alias("i")).repartition(tasks).mapInArrow(run, "i int, model binary").toArrow()
+        by_place = dict(zip(found["i"].to_pylist(), found["model"].to_pylist(), strict=True))
+        return [pickle.loads(by_place[i]) for i in range(len(distinct))]
+
+    def _one(self, X: np.ndarray, y: np.ndarray, use: tuple[int, ...], numeric: bool) -> object:
         if numeric:
             model = pickle.loads(cloudpickle.dumps(self.regressor))
             model.fit(X, y)
             return model
         if self.classifier == "tree":
             tree = GiniTree().fit(X, y)
-            return [int(use[f]) if f >= 0 else -1 for f in tree.feature], tree.threshold.tolist(), tree.leaf.tolist()
+            return [int(use[f]) if f >= 0 else -1 for f in tree.feature.tolist()], tree.threshold.tolist(), tree.leaf.tolist()
         classes = np.unique(y)
         if len(classes) == 1:
             return _Constant(float(classes[0]))

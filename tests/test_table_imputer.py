@@ -284,3 +284,19 @@ def test_masks(spark):
     df = spark.createDataFrame([(1.0, None), (float("nan"), None), (None, 2)], "a double, b int")
     got = {r["mask"]: (r["n_missing"], r["rows"]) for r in masks.groups(df, ["a", "b"]).collect()}
     assert got == {2: (1, 1), 3: (2, 1), 1: (1, 1)}
+
+
+def test_fits_by_tasks_equal_those_of_the_driver(spark, monkeypatch):
+    import gapwright.operators.table_imputer as module
+
+    draw = np.random.default_rng(3)
+    x = draw.random((200, 3))
+    gone = draw.random((200, 4)) < 0.2
+    rows = [(i, *(None if gone[i, j] else float(x[i, j]) for j in range(3)), None if gone[i, 3] else ("lo" if x[i, 0] + x[i, 1] < 1 else "hi")) for i in range(200)]
+    df = spark.createDataFrame(rows, "row int, a double, b double, c double, k string")
+    for imputer in (TableImputer(), TableImputer(regressor=_Own(), classifier=_Majority())):
+        monkeypatch.setattr(module, "FEW_FITS", 1000)
+        want = impute(df, imputer).orderBy("row").collect()
+        monkeypatch.setattr(module, "FEW_FITS", 0)
+        got = impute(df, imputer).orderBy("row").collect()
+        assert all(a["k"] == b["k"] and np.allclose(a[1:4], b[1:4]) for a, b in zip(got, want, strict=True))
