@@ -107,11 +107,12 @@ def _matches(part: pa.RecordBatch, index: Index, shortest: int, coverage: float)
     inside = hit + shortest <= words.offsets[row + 1]
     hit, row = hit[inside], row[inside]
     found = []
-    for r in np.unique(row).tolist():
+    for group in np.split(hit, np.flatnonzero(np.diff(row)) + 1) if len(hit) else []:
+        r = int(np.searchsorted(words.offsets, group[0], side="right") - 1)
         begin = int(words.offsets[r])
         text = tokens[begin : int(words.offsets[r + 1])]
         pairs: dict[int, list[tuple[int, int]]] = {}
-        for g in hit[row == r].tolist():
+        for g in group.tolist():
             first, last = np.searchsorted(index.hashes, seeds[g], "left"), np.searchsorted(index.hashes, seeds[g], "right")
             for e in range(first, last):
                 pairs.setdefault(int(index.owner[e]), []).append((g - begin, int(index.place[e])))
