@@ -56,14 +56,18 @@ class Fitted:
 
     def _model_table(self, df: DataFrame, keep: Callable[[str], bool]) -> DataFrame:
         names = [t for t in self.targets if keep(t)]
-        kind = masks.mask(df.schema, self.encoding.sources)
-        mask_type = df.select(kind.alias("m")).schema["m"].dataType.simpleString()
-        parts = {t: "struct<intercept double, coef array<double>>" if is_numeric(self.encoding.schema[t].dataType) else "struct<feature array<int>, threshold array<double>, leaf array<int>>" for t in names}
-        rows = [(self.keys[m], *(found.get(t) for t in names)) for m, found in self.models.items() if any(t in found for t in names)]
-        schema = ", ".join([f"__mask {mask_type}", *(f"__m{i} {parts[t]}" for i, t in enumerate(names))])
-        table = df.sparkSession.createDataFrame(rows, schema)
-        size = sum(8 * (2 + sum(np.size(x) for part in found.values() for x in part)) for found in self.models.values())
-        return F.broadcast(table) if size <= BROADCAST_BYTES else table
+        ridge = pa.struct([("intercept", pa.float64()), ("coef", pa.list_(pa.float64()))])
+        tree = pa.struct([("feature", pa.list_(pa.int32())), ("threshold", pa.list_(pa.float64())), ("leaf", pa.list_(pa.int32()))])
+        shown = [m for m, found in self.models.items() if any(t in found for t in names)]
+        columns, fields = [pa.array([self.keys[m] for m in shown], pa.string() if len(self.encoding.sources) > masks.WORD else pa.int64())], ["__mask"]
+        for i, t in enumerate(names):
+            kind = ridge if is_numeric(self.encoding.schema[t].dataType) else tree
+            parts = [f.name for f in kind]
+            found = [self.models[m].get(t) for m in shown]
+            columns.append(pa.array([None if x is None else dict(zip(parts, x, strict=True)) for x in found], kind))
+            fields.append(f"__m{i}")
+        table = df.sparkSession.createDataFrame(pa.table(columns, names=fields))
+        return F.broadcast(table) if sum(c.nbytes for c in columns) <= BROADCAST_BYTES else table
 
     def apply(self, df: DataFrame, selected: Column | None = None) -> DataFrame:
         """As ``apply_beside``, for a table of just the fitted columns."""
