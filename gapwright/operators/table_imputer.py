@@ -85,11 +85,13 @@ class Fitted:
         order, chosen = df.columns, F.lit(True) if selected is None else selected
         marked = df.withColumn("__sel", chosen).withColumn("__mask", masks.mask(df.schema, self.encoding.sources))
         plain = [t for t in self.targets if t not in self.objects]
+        values = [F.coalesce(v, F.lit(0.0)) for v in self.encoding.values()]
         if any(t in found for found in self.models.values() for t in plain):
             marked = marked.join(self._model_table(df, lambda t: t not in self.objects), "__mask", "left")
+            # each feature is computed once a row, whatever the number of targets
+            marked = marked.select("*", *(v.alias(f"__z{j}") for j, v in enumerate(values)))
         else:
             plain = []
-        values = [F.coalesce(v, F.lit(0.0)) for v in self.encoding.values()]
         guessed: dict[str, str] = {}
         if self.wide and self.wide.targets:
             places = {self.encoding.target(t): t for t in self.targets}
@@ -108,13 +110,12 @@ class Fitted:
             elif t in plain:
                 m = F.col(f"__m{plain.index(t)}")
                 if is_numeric(kind):
-                    value = m["intercept"]
-                    for j, v in enumerate(values):
-                        if self.encoding.features[j].name in self.features.get(t, ()):
-                            value = value + m["coef"][j] * v
-                    found.append(self._back(value, t, kind))
+                    name, use = f"__m{plain.index(t)}", set(self.features.get(t, ()))
+                    terms = [f"get({name}.coef, {j}) * __z{j}" for j, f in enumerate(self.encoding.features) if f.name in use]
+                    found.append(self._back(F.expr(" + ".join([f"{name}.intercept", *terms])), t, kind))
                 else:
-                    found.append(self._back(walk(F.array(*values), m["feature"], m["threshold"], m["leaf"], self.depth), t, kind))
+                    zs = F.array(*(F.col(f"__z{j}") for j in range(len(values))))
+                    found.append(self._back(walk(zs, m["feature"], m["threshold"], m["leaf"], self.depth), t, kind))
             if self.fills.get(t) is not None:
                 fill = F.lit(self.fills[t])
                 found.append(restore(fill, kind) if is_numeric(kind) else fill.cast(kind))
