@@ -325,31 +325,34 @@ class Segmenter:
         self._learn(text, cost, gap, array("i", ids).tobytes())
         return self.known[text]
 
-    def prepare(self, texts: list[str | None]) -> None:
-        """Learns the parts of many texts side by side."""
+    def prepare(self, texts: list[str | None]) -> list[list[str]]:
+        """The parts of many texts; new ones are learned side by side."""
         if len(self.known) > MEMORY:
             self.clear()
-        fresh: set[str] = set()
-        for text in texts:
-            if text:
-                fresh.update(self.v.cutter.findall(" " + text))
-        words = list(fresh.difference(self.known))
+        cut = self.v.cutter.findall
+        parts = [cut(" " + text) if text else [] for text in texts]
+        words = list(set().union(*parts).difference(self.known))
         which, size, grid = self.many.fits(words)
         for a in range(0, len(which), SideBySide.AT_ONCE):
             part = slice(a, a + SideBySide.AT_ONCE)
             cost, gap, ids, count = self.many.solve(size[part], grid[part])
             spelt, ends = ids.astype("<i4").tobytes(), (np.cumsum(count) * 4).tolist()
-            starts = [0, *ends[:-1]]
-            for k, c, g, x, y in zip(which[part].tolist(), cost.tolist(), gap.tolist(), starts, ends, strict=True):
-                self._learn(words[k], c, g, spelt[x:y])
-
-    def best(self, text: str) -> tuple[bytes, list[int], list[int]]:
-        """Ids of the best segmentation (int32 bytes), the n best costs, and the parts used."""
-        known = self.known
-        found = self.v.cutter.findall(" " + text) if text else []
-        parts = [known[p] if p in known else self._part(p) for p in found]
-        ids = b"".join([self.spelt[i] for i in parts])
-        base = sum([self.cost[i] for i in parts])
+            first = len(self.texts)
+            chosen = [words[k] for k in which[part].tolist()]
+            self.known.update(zip(chosen, range(first, first + len(chosen)), strict=True))
+            self.texts += chosen
+            self.spelt += [spelt[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+            self.cost += cost.tolist()
+            self.gap += [g if g >= 0 else 1 << 200 for g in gap.tolist()]
+        for k in np.setdiff1d(np.arange(len(words)), which).tolist():
+            self._part(words[k])
+        return parts
+
+    def best(self, found: list[str]) -> tuple[bytes, list[int], list[int]]:
+        """Of prepared parts: ids of the best segmentation (int32 bytes), the n best costs, and the parts' places."""
+        parts = list(map(self.known.__getitem__, found))
+        ids = b"".join(map(self.spelt.__getitem__, parts))
+        base = sum(map(self.cost.__getitem__, parts))
         if self.n == 1 or not parts:
             return ids, [base], parts
         return ids, [base + x for x, _ in self._others(parts)], parts
@@ -360,18 +363,17 @@ class Segmenter:
         Only the n - 1 parts with the least second-best gaps can matter: any
         other change has that many cheaper ones ahead of it.
         """
-        gap = self.gap
-        gaps = [gap[i] for i in parts]
-        bound = heapq.nsmallest(self.n - 1, gaps)[-1]
-        few = [k for k, g in enumerate(gaps) if g < bound]
-        few += [k for k, g in enumerate(gaps) if g == bound][: self.n - 1 - len(few)]
+        gaps = list(map(self.gap.__getitem__, parts))
+        few: list[int] = []
+        for g in heapq.nsmallest(self.n - 1, gaps):
+            few.append(gaps.index(g, few[-1] + 1 if few and gaps[few[-1]] == g else 0))
         paths = [nbest(self.texts[parts[k]], self.n, self.v) for k in few]
         values = [[c - p[0][0] for c, _ in p] for p in paths]
         return [(total, {few[j]: paths[j][x][1] for j, x in enumerate(chosen) if x}) for total, chosen in combine(values, self.n)]
 
     def all(self, text: str) -> list[tuple[int, list[int]]]:
         """The n best segmentations (cost, ids) of a whole text; an empty text has one of no pieces."""
-        _, _, parts = self.best(text)
+        _, _, parts = self.best(self.prepare([text])[0])
         base = sum(self.cost[i] for i in parts)
         if not parts:
             return [(0, [])]
@@ -411,7 +413,6 @@ def encode(docs: DataFrame, v: Vocabulary, n: int = 1, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = _segmenter(sent.value, n)
         for part in slices(batches, "text", 2 << 20):
-            s.prepare(part.column("text").to_pylist())
             out = [None if t is None else [{"score": score_of(c), "ids": ids} for c, ids in s.all(t)] for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, struct)], ["doc_id", "segmentations"])
 
@@ -445,9 +446,8 @@ def digest(docs: DataFrame, v: Vocabulary, n: int = 3, id_col: str = "doc_id", t
         for part in slices(batches, "text", 2 << 20):
             count, sha, scores, same = [], [], [], []
             texts = part.column("text").to_pylist()
-            s.prepare(texts)
-            for text in texts:
-                ids, costs, _ = s.best(text or "")
+            for text, parts in zip(texts, s.prepare(texts), strict=True):
+                ids, costs, _ = s.best(parts)
                 found = np.frombuffer(ids, dtype="<i4")
                 count.append(len(found))
                 sha.append(hashlib.sha256(ids).hexdigest())

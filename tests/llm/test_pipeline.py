@@ -47,7 +47,7 @@ def test_run_equals_plain_stages(spark, folder):
     want = []
     for i, t in clean:
         new, _ = pii.pseudonyms(t, pipeline.PII_KEY.encode())
-        ids, costs, _ = segmenter.best(new)
+        ids, costs, _ = segmenter.best(segmenter.prepare([new])[0])
         want.append((str(i), len(ids) // 4, [pieces.score_of(c) for c in costs], True))
     got = sorted((str(r["doc_id"]), r["n_pieces"], r["scores"], r["round_trip"]) for r in pipeline.run(spark, folder).collect())
     assert got == sorted(want)
