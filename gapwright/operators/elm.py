@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,27 +64,51 @@ class RandomLayerRidge:
         """Fits on a whole table: every task sums the Gram matrix of its own
         hidden rows, and only these sums (one matrix) come together."""
         rows = df.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)), F.col(target).cast("double").alias("y")).na.drop("any")
-        self.units_ = self.width(rows.count())
         self.layer(len(features))
-        k, hidden = self.units_, self.hidden
-        top = np.triu_indices(k + 2)
+        z = rows.select(F.array(*(f"x{i}" for i in range(len(features))), "y").alias("z"))
+        use = [(tuple(range(len(features))), self.width(rows.count()))]
+        return self.solve(self.sums(z, len(features), use, lambda batch: [None])[0])
+
+    def sums(self, rows: DataFrame, target: int, plans: list[tuple[tuple[int, ...], int]], which: Callable[[pa.RecordBatch], list]) -> np.ndarray:
+        """[plan, k, k]: of each (inputs, units), the Gram matrix of [hidden, y, 1] over all of its rows.
+
+        ``rows`` have an array ``z`` that holds y at ``target``; ``which`` says of
+        a batch which rows each plan takes (None for all).
+        """
+        size = max((units for _, units in plans), default=0) + 2
+        top = np.triu_indices(size)
+        hidden = self.hidden
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((k + 2, k + 2))
+            total: dict[int, np.ndarray] = {}
             for batch in batches:
-                x = np.stack([np.asarray(batch.column(i)) for i in range(len(features))], axis=1)
-                z = np.concatenate([hidden(x, k), np.asarray(batch.column("y"))[:, None], np.ones((len(x), 1))], axis=1)
-                total += z.T @ z
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(top[0])), pa.int32()), pa.array(total[top])], ["at", "x"])
-
-        found = rows.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
-        gram = np.zeros((k + 2, k + 2))
+                if not batch.num_rows:
+                    continue
+                values = np.asarray(batch.column("z").flatten(), dtype=float).reshape(batch.num_rows, -1)
+                for i, ((use, units), at) in enumerate(zip(plans, which(batch), strict=True)):
+                    x = values if at is None else values[at]
+                    if not len(x):
+                        continue
+                    z = np.zeros((len(x), size))
+                    z[:, :units], z[:, -2], z[:, -1] = hidden(x[:, list(use)], units), x[:, target], 1
+                    total[i] = total.get(i, 0) + z.T @ z
+            for i, gram in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top[0]), i), pa.int32()), pa.array(np.arange(len(top[0])), pa.int32()), pa.array(gram[top])], ["plan", "at", "x"])
+
+        found = rows.mapInArrow(run, "plan int, at int, x double").groupBy("plan", "at").agg(F.sum("x").alias("x")).toArrow()
+        gram = np.zeros((len(plans), size, size))
         if found.num_rows:
-            at = np.asarray(found["at"])
-            gram[top[0][at], top[1][at]] = gram[top[1][at], top[0][at]] = np.asarray(found["x"])
-        use = np.ones((1, k + 1), dtype=bool)
-        use[0, k] = False
+            i, at = np.asarray(found["plan"]), np.asarray(found["at"])
+            gram[i, top[0][at], top[1][at]] = gram[i, top[1][at], top[0][at]] = np.asarray(found["x"])
+        return gram
+
+    def solve(self, gram: np.ndarray) -> RandomLayerRidge:
+        """Takes the sums over some rows as its training."""
+        k = len(gram) - 2
+        self.units_ = min(k, self.width(int(round(gram[-1, -1]))))
+        use = np.zeros((1, k + 1), dtype=bool)
+        use[0, : self.units_] = True
         coef, intercept = from_gram(gram[None], k, use, self.alpha)
         self.ridge_ = Ridge(self.alpha)
-        self.ridge_.coef_, self.ridge_.intercept_ = coef[0, :k], float(intercept[0])
+        self.ridge_.coef_, self.ridge_.intercept_ = coef[0, : self.units_], float(intercept[0])
         return self

@@ -29,8 +29,10 @@ from gapwright.operators.wide import Target, WideModel, matrix_relevance, predic
 
 #: A model table up to this size is broadcast to the join on masks; a larger one is shuffled.
 BROADCAST_BYTES = 64 << 20
-#: Trees and custom estimators are fitted on at most so many rows with the target observed, by hash of the row.
+#: Trees and custom classifiers are fitted on at most so many rows with the target observed, by hash of the row.
 FIT_ROWS = 100_000
+#: Bytes of hidden units' sums that one pass over the table gathers.
+PASS_BYTES = 64 << 20
 #: Up to so many of them are fitted by the driver itself.
 FEW_FITS = 4
 
@@ -274,7 +276,7 @@ class TableImputer(Transformer):
             if numeric and self.regressor == "ridge":
                 self._ridge(m, e, t, plans, models)
             else:
-                self._objects(df, e, t, plans, models, objects, numeric)
+                self._objects(df, m, e, t, plans, models, objects, numeric)
         fills = self._fills(df, targets, profiles) if self.fallback else {}
         self.imputation_features_ = features
         return Fitted(e, profiles, targets, models, dict(zip(m.masks, m.keys, strict=True)), fills, features, objects)
@@ -361,18 +363,21 @@ class TableImputer(Transformer):
             r = where[columns, need]
             models.setdefault(mask, {})[target] = (float(intercept[r]), [float(x) for x in coef[r]])
 
-    def _objects(self, df: DataFrame, e: Encoding, target: str, plans: list, models: dict, objects: dict, numeric: bool) -> None:
+    def _objects(self, df: DataFrame, m: Moments, e: Encoding, target: str, plans: list, models: dict, objects: dict, numeric: bool) -> None:
         """Trees and custom estimators, one for each distinct (features, rows) of a target."""
         if not plans:
             return
         place = e.target(target)
         rows = df.where(~missing(target, df.schema[target].dataType))
-        rows = rows.select(masks.mask(df.schema, e.sources).alias("mask"), *(v.alias(f"z{i}") for i, v in enumerate(e.values())))
-        table = rows.orderBy(F.xxhash64(*rows.columns)).limit(self.fit_rows).toArrow()
-        z = np.stack([np.asarray(table[f"z{i}"].fill_null(0.0), dtype=float) for i in range(len(e.features))], axis=1)
-        seen = masks.vector([masks.as_int(x) for x in table["mask"].to_pylist()], len(e.sources))
         distinct = list(dict.fromkeys((use, need) for _, use, need in plans))
-        fitted = self._fit_all(df, z, seen, place, distinct, numeric, len(e.sources))
+        if numeric:
+            fitted = self._regressors(rows, m, e, place, distinct)
+        else:
+            rows = rows.select(masks.mask(df.schema, e.sources).alias("mask"), *(v.alias(f"z{i}") for i, v in enumerate(e.values())))
+            table = rows.orderBy(F.xxhash64(*rows.columns)).limit(self.fit_rows).toArrow()
+            z = np.stack([np.asarray(table[f"z{i}"].fill_null(0.0), dtype=float) for i in range(len(e.features))], axis=1)
+            seen = masks.vector([masks.as_int(x) for x in table["mask"].to_pylist()], len(e.sources))
+            fitted = self._fit_all(df, z, seen, place, distinct, len(e.sources))
         known: dict[tuple, object] = {}
         for key, model in zip(distinct, fitted, strict=True):
             if model is not None and not isinstance(model, tuple):
@@ -383,12 +388,92 @@ class TableImputer(Transformer):
             if known[use, need] is not None:
                 models.setdefault(mask, {})[target] = known[use, need]
 
-    def _fit_all(self, df: DataFrame, z: np.ndarray, seen: np.ndarray, place: int, distinct: list, numeric: bool, columns: int) -> list:
+    def _regressors(self, rows: DataFrame, m: Moments, e: Encoding, place: int, distinct: list) -> list:
+        """A regressor for each (features, needed bits), fitted on every row that lacks none of them.
+
+        Ridge and the random layer need sums only; any other object gets its rows.
+        """
+        columns = len(e.sources)
+        values, need = masks.vector(m.masks, columns), masks.vector([n for _, n in distinct], columns)
+        way = getattr(self.regressor.fit, "__func__", None)
+        if way is Ridge.fit:
+            return self._ridge_objects(values, need, m, place, distinct)
+        z = F.array(*(F.coalesce(v, F.lit(0.0)) for v in e.values())).alias("z")
+        rows = rows.select(masks.mask(e.schema, e.sources).alias("mask"), z)
+        if way is RandomLayerRidge.fit:
+            return self._layer_objects(rows, values, need, m, place, distinct, columns)
+        return self._own_objects(rows, values, need, m, place, distinct)
+
+    def _new(self) -> object:
+        return pickle.loads(cloudpickle.dumps(self.regressor))
+
+    def _ridge_objects(self, values: np.ndarray, need: np.ndarray, m: Moments, place: int, distinct: list) -> list:
+        use = np.zeros((len(distinct), m.gram.shape[1] - 1), dtype=bool)
+        for r, (columns, _) in enumerate(distinct):
+            use[r, list(columns)] = True
+        coef, intercept = from_gram(roll_up(values, need, m.gram), place, use, self.regressor.alpha, self.regressor.fit_intercept)
+        made = [self._new() for _ in distinct]
+        for model, row, start, (columns, _) in zip(made, coef, intercept, distinct, strict=True):
+            model.coef_, model.intercept_ = row[list(columns)], float(start)
+        return made
+
+    def _layer_objects(self, rows: DataFrame, values: np.ndarray, need: np.ndarray, m: Moments, place: int, distinct: list, columns: int) -> list:
+        """As many (features, needed bits) in one pass over the rows as their sums allow."""
+        step = max(1, PASS_BYTES // (8 * (self.regressor.n_features + 2) ** 2))
+        made: list = []
+        for a in range(0, len(distinct), step):
+            part = need[a : a + step]
+            complete = masks.admitted(values, part) @ m.rows
+            wanted = [(use, self.regressor.width(int(n))) for (use, _), n in zip(distinct[a : a + step], complete, strict=True)]
+
+            def which(batch: pa.RecordBatch, part: np.ndarray = part) -> list[np.ndarray]:
+                coded = batch.column("mask").dictionary_encode()
+                seen = masks.vector([masks.as_int(x) for x in coded.dictionary.to_pylist()], columns)
+                return list(masks.admitted(seen, part)[:, np.asarray(coded.indices)])
+
+            made += [self._new().solve(gram) for gram in self.regressor.sums(rows, place, wanted, which)]
+        return made
+
+    def _own_objects(self, rows: DataFrame, values: np.ndarray, need: np.ndarray, m: Moments, place: int, distinct: list) -> list:
+        """Each task fits one (features, needed bits) after the other, on all rows of each, in order of their hash."""
+        plan, group = np.nonzero(masks.admitted(values, need))
+        keys = pa.array([m.keys[g] for g in group.tolist()], pa.string() if isinstance(m.keys[0], str) else pa.int64())
+        spark = rows.sparkSession
+        served = spark.createDataFrame(pa.table([keys, pa.array(plan, pa.int32())], names=["mask", "plan"]))
+        tasks = min(len(distinct), 4 * spark.sparkContext.defaultParallelism)
+        given = rows.join(served, "mask").select("plan", "mask", "z").repartitionByRange(tasks, "plan").sortWithinPartitions("plan", F.xxhash64("mask", "z"), "z")
+        packed = cloudpickle.dumps(self.regressor)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held = None, []
+
+            def fitted() -> pa.RecordBatch:
+                model, z = pickle.loads(packed), np.concatenate(held)
+                held.clear()
+                model.fit(z[:, :-1], z[:, -1])
+                return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([cloudpickle.dumps(model)], pa.binary())], ["plan", "model"])
+
+            for batch in batches:
+                plans = np.asarray(batch.column("plan"))
+                z = np.asarray(batch.column("z").flatten(), dtype=float).reshape(batch.num_rows, -1)
+                for p in np.unique(plans).tolist():
+                    if held and p != now:
+                        yield fitted()
+                    now = p
+                    held.append(z[plans == p][:, [*distinct[p][0], place]])
+            if held:
+                yield fitted()
+
+        found = given.mapInArrow(run, "plan int, model binary").toArrow()
+        by_plan = dict(zip(found["plan"].to_pylist(), found["model"].to_pylist(), strict=True))
+        return [pickle.loads(by_plan[i]) if i in by_plan else None for i in range(len(distinct))]
+
+    def _fit_all(self, df: DataFrame, z: np.ndarray, seen: np.ndarray, place: int, distinct: list, columns: int) -> list:
         """A model (or None) for each (features, needed bits); many are fitted by the tasks of a job."""
 
         def fit(use: tuple[int, ...], need: int, z: np.ndarray, seen: np.ndarray) -> object:
             at = masks.admitted(seen, masks.vector([need], columns))[0]
-            return self._one(z[at][:, list(use)], z[at, place], use, numeric) if at.any() else None
+            return self._one(z[at][:, list(use)], z[at, place], use) if at.any() else None
 
         if len(distinct) <= FEW_FITS:
             return [fit(use, need, z, seen) for use, need in distinct]
@@ -407,11 +492,7 @@ class TableImputer(Transformer):
         by_place = dict(zip(found["i"].to_pylist(), found["model"].to_pylist(), strict=True))
         return [pickle.loads(by_place[i]) for i in range(len(distinct))]
 
-    def _one(self, X: np.ndarray, y: np.ndarray, use: tuple[int, ...], numeric: bool) -> object:
-        if numeric:
-            model = pickle.loads(cloudpickle.dumps(self.regressor))
-            model.fit(X, y)
-            return model
+    def _one(self, X: np.ndarray, y: np.ndarray, use: tuple[int, ...]) -> object:
         if self.classifier == "tree":
             tree = GiniTree().fit(X, y)
             return [int(use[f]) if f >= 0 else -1 for f in tree.feature.tolist()], tree.threshold.tolist(), tree.leaf.tolist()

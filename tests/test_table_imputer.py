@@ -300,3 +300,28 @@ def test_fits_by_tasks_equal_those_of_the_driver(spark, monkeypatch):
         monkeypatch.setattr(module, "FEW_FITS", 0)
         got = impute(df, imputer).orderBy("row").collect()
         assert all(a["k"] == b["k"] and np.allclose(a[1:4], b[1:4]) for a, b in zip(got, want, strict=True))
+
+
+class _Mean:
+    def fit(self, X, y):
+        self.rows, self.value = len(y), float(np.mean(y))
+
+    def predict(self, X):
+        return np.full(len(X), self.value)
+
+
+@pytest.mark.parametrize("regressor", [_Mean(), _Own(), RandomLayerRidge(n_features=20)])
+def test_regressor_objects_are_fitted_on_all_rows(spark, regressor):
+    x, _ = holes(400, 4, 0.2, 21)
+    df = frame(spark, x)
+    want = TableImputer(regressor=regressor).fit_table(df, beside=["row"], cols=["a"])
+    few = TableImputer(regressor=regressor, fit_rows=30).fit_table(df, beside=["row"], cols=["a"])
+    assert np.allclose(values(few.apply_beside(df), "abcd"), values(want.apply_beside(df), "abcd"), atol=1e-9, equal_nan=True)
+    z = (x - np.nanmean(x, axis=0)) / np.nanstd(x, axis=0)
+    for mask, found in few.models.items():
+        model, use = few.objects["a"][found["a"][0]]
+        rows = ~np.isnan(z[:, [0, *use]]).any(axis=1)
+        own = type(regressor)() if not isinstance(regressor, RandomLayerRidge) else RandomLayerRidge(n_features=20)
+        own.fit(z[rows][:, use], z[rows, 0])
+        assert np.allclose(model.predict(z[rows][:, use]), own.predict(z[rows][:, use]), atol=1e-6)
+        assert not isinstance(model, _Mean) or model.rows == rows.sum()
