@@ -175,16 +175,47 @@ def _secret(found: str, key: bytes) -> tuple[str, str] | None:
 KINDS: dict[str, Callable[[str, bytes], tuple[str, str] | None]] = {
     "email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "number": _number, "phone": _phone,
 }
-PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24})"
-    r"|(?<![0-9A-Za-z])(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
-    r"|(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?)(?![0-9A-Za-z])"
-    r"|(?<![\d./-])(?P<date>(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4}))(?![\d/-]|\.\d)"
-    r"|(?<![\d.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\d|\.\d)"
-    r"|(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])"
-    r"|(?<![\d.])(?P<number>\d(?:[ -]?\d){12,18})(?![\d]|[.-]\d)"
-    r"|(?<![\w.+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d]|[.-]\d)"
-)
+PARTS = (
+    r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24})",
+    r"(?<![0-9A-Za-z])(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
+    r"(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?)(?![0-9A-Za-z])",
+    r"(?<![\d./-])(?P<date>(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4}))(?![\d/-]|\.\d)",
+    r"(?<![\d.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\d|\.\d)",
+    r"(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])",
+    r"(?<![\d.])(?P<number>\d(?:[ -]?\d){12,18})(?!\d|\.\d)",
+    r"(?<![\w.+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d]|[.-]\d)",
+)
+PATTERN = re.compile("|".join(PARTS))
+#: Each kind alone, for a place where an earlier kind of the pattern failed validation.
+ALONE = dict(zip(KINDS, map(re.compile, PARTS), strict=True))
+TOKEN = re.compile(r"[^0-9A-Za-z]*[0-9A-Za-z]+")
+#: Ends of digit groups, and of groups of digits and capitals.
+GROUP, IBAN_GROUP = re.compile(r"\d(?!\d)"), re.compile(r"[0-9A-Z](?![0-9A-Za-z])")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {k[:2]: int(k[2:]) for k in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 "
+    "HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 "
+    "QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
+
+
+def readings(kind: str, found: str) -> list[str]:
+    """What a match may be: itself, then what is left without its last groups.
+
+    An IBAN of its country's length and a number of the North American plan
+    (+1 and ten digits) come first, since what follows them is no part of them.
+    """
+    if kind not in ("number", "iban", "phone"):
+        return [found]
+    ends = [m.end() for m in (IBAN_GROUP if kind == "iban" else GROUP).finditer(found)]
+    parts = [found[:e] for e in reversed(ends)]
+    if kind == "number":
+        return [x for x in parts if sum(c in DIGITS for c in x) >= 13]
+    if kind == "iban":
+        first = [x for x in parts if len(x.replace(" ", "")) == IBAN_LENGTHS.get(found[:2])]
+    else:
+        first = [x for x in parts if x.startswith("+1") and sum(c in DIGITS for c in x) == 11]
+    return first + [x for x in parts if x not in first]
 
 
 def pseudonyms(text: str, key: bytes, remember: Callable | None = None) -> tuple[str, dict[str, int]]:
@@ -192,14 +223,29 @@ def pseudonyms(text: str, key: bytes, remember: Callable | None = None) -> tuple
     counts: dict[str, int] = {}
     ask = remember or (lambda kind, found: KINDS[kind](found, key))
 
-    def put(m: re.Match) -> str:
-        said = ask(m.lastgroup, m.group())
-        if said is None:
-            return m.group()
-        counts[said[0]] = counts.get(said[0], 0) + 1
-        return said[1]
+    def read(m: re.Match) -> tuple[str, tuple[str, str]] | None:
+        """The first valid reading at the place of a match, of its kind or a later one."""
+        kinds = list(KINDS)
+        for kind in kinds[kinds.index(m.lastgroup) :]:
+            at = m if kind == m.lastgroup else ALONE[kind].match(text, m.start())
+            for found in readings(kind, at.group()) if at else ():
+                said = ask(kind, found)
+                if said is not None:
+                    return found, said
+        return None
 
-    return PATTERN.sub(put, text), counts
+    out, done, at = [], 0, 0
+    while (m := PATTERN.search(text, at)) is not None:
+        valid = read(m)
+        if valid is None:
+            # what is no match as a whole may begin one at its next token
+            at = TOKEN.match(text, m.start()).end()
+            continue
+        found, (kind, new) = valid
+        counts[kind] = counts.get(kind, 0) + 1
+        out += [text[done : m.start()], new]
+        done = at = m.start() + len(found)
+    return "".join([*out, text[done:]]), counts
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col: str | None = None) -> DataFrame:

@@ -267,6 +267,22 @@ def test_pii_formats():
         assert pii.pseudonyms(plain, key) == (plain, {})
 
 
+def test_pii_beside_other_digits_and_capitals():
+    key = b"secret"
+    card, iban, phone = "4111111111111111", "ES9121000418450200051332", "+1 (663) 555-6869"
+    spaced, long = "4111 1111 1111 1111", "4111-1111-1111-1111"
+    for text, value in [
+        (f"{card} 12/27", card), (f"{spaced} 123", spaced), (f"7 {card}", card), (f"{long}-123", long), (f"{long}-1234", long), (f"12 35 {card} 99 98", card),
+        (f"{iban} BIC", iban), (f"XX12 3456 7890 {iban}", iban), ("GB82 WEST 1234 5698 7654 32 BANK NAME", "GB82 WEST 1234 5698 7654 32"),
+        (f"{phone} 2024", phone), (f"{phone} 12", phone), (f"{phone} 20245", phone), ("+16635556869 12", "+16635556869"), (f"000-12-3456 {card}", card),
+    ]:
+        alone, counts = pii.pseudonyms(value, key)
+        assert sum(counts.values()) == 1 and alone != value
+        assert pii.pseudonyms(text, key) == (text.replace(value, alone), counts), text
+    assert pii.pseudonyms(f"{card} {card}", key)[1] == {"card": 2}
+    assert pii.pseudonyms(f"{card}.5", key) == (f"{card}.5", {})
+
+
 def test_pii_table(docs_of, odd):
     rows = [(30, "call +1 (743) 555-3824"), (31, "or +1 (743) 555-3824 now"), *odd]
     df = docs_of(rows)
