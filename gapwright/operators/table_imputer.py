@@ -25,7 +25,7 @@ from gapwright.operators.rectangle import largest
 from gapwright.operators.relevance import how_many, nearest, relevance
 from gapwright.operators.ridge import Ridge, from_gram, roll_up
 from gapwright.operators.tree import GiniTree, walk
-from gapwright.operators.wide import Target, WideModel, matrix_relevance, predict, training_matrix
+from gapwright.operators.wide import Target, WideModel, pair_relevance, predict, training_parts
 
 #: A model table up to this size is broadcast to the join on masks; a larger one is shuffled.
 BROADCAST_BYTES = 64 << 20
@@ -299,11 +299,11 @@ class TableImputer(Transformer):
         """As ``fit_table`` for wide tables.  Features that are missing nowhere the
         target is, or everywhere, are handled by the patterns of each row."""
         profiles = found.columns
-        z = training_matrix(df, e, found.rows)
+        parts = training_parts(df, e, found.rows)
         k = how_many(n_nearest, len(e.features))
         active = [t for t in targets if t in e.sources and profiles[t].count]
         places = [e.target(t) for t in active]
-        score = matrix_relevance(z, places) if k is not None else None
+        score = pair_relevance(df, e, places, found.rows) if k is not None else None
         features, models = {}, []
         for i, t in enumerate(active):
             own = [j for j, f in enumerate(e.features) if f.source != t]
@@ -311,7 +311,7 @@ class TableImputer(Transformer):
             features[t] = [e.features[j].name for j in own]
             models.append(Target(places[i], np.array(own, dtype=int), is_numeric(df.schema[t].dataType)))
         self.imputation_features_ = features
-        wide = WideModel(z, models, self.alpha, self.fit_intercept, self.min_samples)
+        wide = WideModel(parts, models, self.alpha, self.fit_intercept, self.min_samples)
         fills = self._fills(df, targets, profiles) if self.fallback else {}
         return Fitted(e, profiles, [t for t in targets if t in e.sources], {}, {}, fills, features, wide=wide)
 

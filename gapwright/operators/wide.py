@@ -1,8 +1,9 @@
 """Imputation when nearly every row has a mask of its own: many columns, many lags.
 
-Sums by mask no longer compress such a table.  A bounded training matrix is
-sent to the workers instead, and each batch of rows to fill solves its own
-patterns against it, so neither the masks nor the models are ever gathered.
+Sums by mask no longer compress such a table.  The training rows are sent to
+the workers instead, in parts if they are many, and each batch of rows to fill
+solves its own patterns against all of them, so neither the masks nor the
+models are ever gathered.
 """
 
 from __future__ import annotations
@@ -16,36 +17,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwright.operators.columns import Encoding
-from gapwright.operators.ridge import Ridge
+from gapwright.operators.ridge import Ridge, from_gram
 from gapwright.operators.tree import GiniTree
 
-#: Bytes of the training matrix.  A larger table is represented by rows chosen by hash.
+#: Bytes of training rows that workers hold at once.  A larger table goes to them in parts that are read one by one.
 MATRIX_BYTES = 192 << 20
+#: Bytes of such a part, and of the sums that a worker gathers over the parts in one pass.
+PART_BYTES = 32 << 20
 #: Rows that a tree of one pattern is grown on.
 TREE_ROWS = 2000
 
 
-def training_matrix(df: DataFrame, encoding: Encoding, total: int, limit_bytes: int = MATRIX_BYTES) -> np.ndarray:
-    """Encoded rows, NaN where missing: all of the ``total``, or as many as fit by hash of the row."""
+def encoded(df: DataFrame, encoding: Encoding) -> DataFrame:
+    """(z): encoded rows, NaN where missing."""
+    return df.select(F.array(*(F.coalesce(v, F.lit(float("nan"))) for v in encoding.values())).alias("z"))
+
+
+def training_parts(df: DataFrame, encoding: Encoding, total: int, limit_bytes: int | None = None, part_bytes: int | None = None) -> list:
+    """All encoded rows: one array, or broadcasts of about ``part_bytes`` that pass the driver one by one."""
+    e = len(encoding.features)
+    values = encoded(df, encoding)
+    if 8 * e * total <= (MATRIX_BYTES if limit_bytes is None else limit_bytes):
+        return [np.asarray(values.toArrow()["z"].combine_chunks().flatten(), dtype=float).reshape(-1, e)]
+    rows = max(1, (PART_BYTES if part_bytes is None else part_bytes) // (8 * e))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = np.asarray(batch.column("z").flatten(), dtype=float).reshape(-1, e)
+            for at in range(0, len(z), rows):
+                yield pa.RecordBatch.from_arrays([pa.array([z[at : at + rows].tobytes()], pa.binary())], ["z"])
+
+    parts, held, n = [], [], 0
+    for r in values.mapInArrow(pack, "z binary").toLocalIterator():
+        held.append(np.frombuffer(r["z"]).reshape(-1, e))
+        n += len(held[-1])
+        if n >= rows:
+            parts.append(df.sparkSession.sparkContext.broadcast(np.concatenate(held)))
+            held, n = [], 0
+    if held:
+        parts.append(df.sparkSession.sparkContext.broadcast(np.concatenate(held)))
+    return parts
+
+
+def pair_relevance(df: DataFrame, encoding: Encoding, targets: list[int], total: int) -> np.ndarray:
+    """As ``relevance``, from sums of all pairs of columns over all rows."""
     e = len(encoding.features)
-    rows = max(1, limit_bytes // (8 * e))
-    values = df.select(F.array(*(F.coalesce(v, F.lit(float("nan"))) for v in encoding.values())).alias("z"))
-    if total > rows:
-        values = values.orderBy(F.xxhash64("z")).limit(rows)
-    table = values.toArrow()["z"].combine_chunks()
-    return np.asarray(table.flatten(), dtype=float).reshape(-1, e)
-
-
-def matrix_relevance(z: np.ndarray, targets: list[int]) -> np.ndarray:
-    """As ``relevance``, from a matrix."""
-    seen = ~np.isnan(z)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        mean = np.where(seen.any(axis=0), np.nansum(z, axis=0) / np.maximum(seen.sum(axis=0), 1), 0)
-        dev = np.where(seen, z - mean, 0)
-        size = np.sqrt((dev**2).sum(axis=0))
-        size[size <= 1e-12] = np.nan
-        corr = dev[:, targets].T @ dev / np.outer(size[targets], size)
-    return seen[:, targets].astype(float).T @ seen / max(1, len(z)) * np.abs(corr)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, e, e))
+        for batch in batches:
+            z = np.asarray(batch.column("z").flatten(), dtype=float).reshape(batch.num_rows, e)
+            seen = (~np.isnan(z)).astype(float)
+            z = np.nan_to_num(z)
+            sums += np.stack([seen.T @ seen, z.T @ seen, z.T @ z])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size), pa.int32()), pa.array(sums.ravel())], ["at", "x"])
+
+    found = encoded(df, encoding).mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+    sums = np.zeros(3 * e * e)
+    sums[np.asarray(found["at"])] = np.asarray(found["x"])
+    shared, by, cross = sums.reshape(3, e, e)
+    mean = np.diag(by) / np.maximum(np.diag(shared), 1)
+    dev = cross - mean[None, :] * by - mean[:, None] * by.T + shared * np.outer(mean, mean)
+    var = np.where(np.diag(dev) > 1e-12 * np.maximum(1, np.diag(cross)), np.diag(dev), np.nan)
+    with np.errstate(invalid="ignore"):
+        return (shared / max(1, total) * np.abs(dev) / np.sqrt(np.outer(var, var)))[targets]
 
 
 @dataclass
@@ -58,23 +93,25 @@ class Target:
 
 
 class WideModel:
-    """Solves patterns of missing features against a training matrix."""
+    """Solves patterns of missing features against all training rows."""
 
-    def __init__(self, z: np.ndarray, targets: list[Target], alpha: float, fit_intercept: bool, min_rows: int):
-        self.z, self.targets, self.alpha, self.fit_intercept, self.min_rows = z, targets, alpha, fit_intercept, min_rows
+    def __init__(self, parts: list, targets: list[Target], alpha: float, fit_intercept: bool, min_rows: int):
+        self.parts, self.targets, self.alpha, self.fit_intercept, self.min_rows = parts, targets, alpha, fit_intercept, min_rows
         self.ready: dict[int, tuple] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"ready": {}}
+        # broadcasts reach the workers beside the model
+        return self.__dict__ | {"ready": {}, "parts": self.parts if len(self.parts) == 1 and isinstance(self.parts[0], np.ndarray) else []}
 
     def _prepare(self, t: Target) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(features filled with 0, which are missing, target values, columns from least to most missing)."""
         if t.place not in self.ready:
-            rows = ~np.isnan(self.z[:, t.place])
-            x = self.z[rows][:, t.features]
+            z = self.parts[0]
+            rows = ~np.isnan(z[:, t.place])
+            x = z[rows][:, t.features]
             lacks = np.isnan(x)
             order = np.argsort(lacks.sum(axis=0), kind="stable")
-            self.ready[t.place] = np.where(lacks, 0, x), lacks, self.z[rows, t.place], order
+            self.ready[t.place] = np.where(lacks, 0, x), lacks, z[rows, t.place], order
         return self.ready[t.place]
 
     def _block(self, usable: np.ndarray, lacks: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,21 +124,81 @@ class WideModel:
         # how many of the ranked columns a row has before its first gap
         gaps = lacks[:, ranked]
         depth = np.where(gaps.any(axis=1), gaps.argmax(axis=1), len(ranked))
-        width = np.arange(1, len(ranked) + 1)
-        complete = len(depth) - np.cumsum(np.bincount(depth, minlength=len(ranked) + 1))[: len(ranked)]
-        area = complete * width
-        enough = complete >= self.min_rows
-        best = int(np.argmax(np.where(enough, area, -1) if enough.any() else area))
+        best = self._prefix(np.bincount(depth, minlength=len(ranked) + 1))
         return np.sort(ranked[: best + 1]), depth > best
 
-    def fill(self, z: np.ndarray) -> dict[int, np.ndarray]:
+    def _prefix(self, depths: np.ndarray) -> int:
+        """The last column of the best prefix, from the rows of each depth."""
+        complete = depths.sum() - np.cumsum(depths)[:-1]
+        area = complete * np.arange(1, len(depths))
+        enough = complete >= self.min_rows
+        return int(np.argmax(np.where(enough, area, -1) if enough.any() else area))
+
+    @staticmethod
+    def _training(t: Target, parts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(features filled with 0, which are missing, target values) of one part after the other."""
+        for part in parts:
+            z = part.value
+            z = z[~np.isnan(z[:, t.place])]
+            # a worker keeps one part at a time
+            vars(part).pop("_value", None)
+            x = z[:, t.features]
+            yield np.nan_to_num(x), np.isnan(x), z[:, t.place]
+
+    def _guess(self, t: Target, z: np.ndarray, patterns: list[tuple[np.ndarray, np.ndarray]], parts: list, guess: np.ndarray) -> None:
+        """Fills ``guess`` for (rows, usable features) by two passes over the parts: rows complete, then their sums."""
+        if t.place not in self.ready:
+            self.ready[t.place] = np.argsort(sum(lacks.sum(axis=0) for _, lacks, _ in self._training(t, parts)), kind="stable")
+        ranked = [self.ready[t.place][np.isin(self.ready[t.place], usable)] for _, usable in patterns]
+        depths = [np.zeros(len(r) + 1, dtype=np.int64) for r in ranked]
+        for _, lacks, _ in self._training(t, parts):
+            for r, d in zip(ranked, depths, strict=True):
+                gaps = lacks[:, r]
+                d += np.bincount(np.where(gaps.any(axis=1), gaps.argmax(axis=1), len(r)), minlength=len(r) + 1)
+        chosen, rows = [], {}
+        for (_, usable), r, d in zip(patterns, ranked, depths, strict=True):
+            best = len(r) - 1 if d[-1] >= self.min_rows else self._prefix(d)
+            chosen.append(tuple(np.sort(r[: best + 1]).tolist()))
+            rows[chosen[-1]] = int(d[best + 1 :].sum())
+        rows = {c: n for c, n in rows.items() if n}
+        sums: dict[tuple, object] = {c: 0.0 if t.numeric else [] for c in rows}
+        past = dict.fromkeys(rows, 0)
+        for x, lacks, y in self._training(t, parts):
+            for c, n in rows.items():
+                at = np.flatnonzero(~lacks[:, list(c)].any(axis=1))
+                if t.numeric:
+                    xy = np.concatenate([x[np.ix_(at, c)], y[at, None], np.ones((len(at), 1))], axis=1)
+                    sums[c] = sums[c] + xy.T @ xy
+                else:
+                    step = max(1, n // TREE_ROWS)
+                    some = at[-past[c] % step :: step]
+                    sums[c].append((x[np.ix_(some, c)], y[some]))
+                    past[c] += len(at)
+        for (at, _), c in zip(patterns, chosen, strict=True):
+            if c not in rows:
+                continue
+            features = z[np.ix_(at, t.features[list(c)])]
+            if t.numeric:
+                coef, intercept = from_gram(sums[c][None], len(c), np.arange(len(c) + 1)[None] < len(c), self.alpha, self.fit_intercept)
+                guess[at] = features @ coef[0, :-1] + intercept[0]
+            else:
+                guess[at] = GiniTree().fit(*(np.concatenate(v) for v in zip(*sums[c], strict=True))).predict(features)
+
+    def fill(self, z: np.ndarray, parts: list | None = None) -> dict[int, np.ndarray]:
         """Predictions by target (NaN where no model reaches) for rows of encoded values."""
         out = {}
         gaps = np.isnan(z)
         for t in self.targets:
             guess = np.full(len(z), np.nan)
             want = np.flatnonzero(gaps[:, t.place])
-            if len(want) and len(t.features):
+            if len(want) and len(t.features) and parts:
+                patterns, which = np.unique(np.packbits(gaps[want][:, t.features], axis=1), axis=0, return_inverse=True)
+                asked = [want[which.ravel() == k] for k in range(len(patterns))]
+                asked = [(at, u) for at in asked if len(u := np.flatnonzero(~gaps[at[0], t.features]))]
+                step = max(1, PART_BYTES // (8 * (len(t.features) + 2) ** 2))
+                for a in range(0, len(asked), step):
+                    self._guess(t, z, asked[a : a + step], parts, guess)
+            elif len(want) and len(t.features):
                 x, lacks, y, order = self._prepare(t)
                 patterns, which = np.unique(np.packbits(gaps[want][:, t.features], axis=1), axis=0, return_inverse=True)
                 solved: dict[bytes, object] = {}
@@ -132,6 +229,7 @@ def predict(marked: DataFrame, encoding: Encoding, model: WideModel, names: dict
 
     spark = marked.sparkSession
     sent = spark.sparkContext.broadcast(model)
+    parts = [] if isinstance(model.parts[0], np.ndarray) else model.parts
     values = F.array(*(F.coalesce(v, F.lit(float("nan"))) for v in encoding.values()))
     tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = marked.withColumn("__z", values).repartition(tasks)
@@ -140,7 +238,7 @@ def predict(marked: DataFrame, encoding: Encoding, model: WideModel, names: dict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             z = np.asarray(batch.column("__z").flatten(), dtype=float).reshape(batch.num_rows, -1)
-            found = sent.value.fill(z)
+            found = sent.value.fill(z, parts)
             kept = [i for i, n in enumerate(batch.schema.names) if n != "__z"]
             arrays = [batch.column(i) for i in kept] + [pa.array(found[p], mask=np.isnan(found[p])) for p in names]
             fields = [batch.schema.field(i) for i in kept] + [pa.field(n, pa.float64()) for n in names.values()]

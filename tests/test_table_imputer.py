@@ -325,3 +325,25 @@ def test_regressor_objects_are_fitted_on_all_rows(spark, regressor):
         own.fit(z[rows][:, use], z[rows, 0])
         assert np.allclose(model.predict(z[rows][:, use]), own.predict(z[rows][:, use]), atol=1e-6)
         assert not isinstance(model, _Mean) or model.rows == rows.sum()
+
+
+def test_wide_models_use_all_rows_beyond_one_matrix(spark, monkeypatch):
+    import gapwright.operators.wide as module
+
+    x, _ = holes(240, 70, 0.004, 22)
+    names = [f"c{i}" for i in range(70)]
+    df = frame(spark, x, names).withColumn("k", F.when(F.col("row") % 9 > 0, F.when(F.col("row") % 2 == 0, "even").otherwise("odd"))).repartition(3)
+    cols = ["c0", "c1", "c2", "c3", "k"]
+
+    def run():
+        fitted = TableImputer(min_samples_train=150).fit_table(df, beside=["row"], cols=cols, n_nearest_features=12)
+        out = fitted.apply_beside(df).orderBy("row").toPandas()
+        return fitted, out[cols[:4]].to_numpy(dtype=float), out["k"].tolist()
+
+    whole, numbers, labels = run()
+    monkeypatch.setattr(module, "MATRIX_BYTES", 8 * 74 * 40)
+    monkeypatch.setattr(module, "PART_BYTES", 8 * 74 * 40, raising=False)
+    parted, got, got_labels = run()
+    assert parted.features == whole.features and got_labels == labels
+    assert np.abs(got - numbers).max() < 1e-8
+    assert len(parted.wide.parts) > 3
