@@ -22,25 +22,43 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
 
-def permute(value: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of range(size).
-
-    A balanced Feistel network over two halves of bits, walked along its cycle
-    until it is back below ``size``.
-    """
-    half = max(1, ((size - 1).bit_length() + 1) // 2)
-    mask = (1 << half) - 1
-    while True:
-        left, right = value >> half, value & mask
-        for i in range(ROUNDS):
-            said = hashlib.blake2b(f"{tweak}|{size}|{i}|{right}".encode(), key=key, digest_size=16).digest()
-            left, right = right, left ^ (int.from_bytes(said, "big") & mask)
-        value = left << half | right
-        if value < size:
-            return value
-
-
-def permute_text(text: str, key: bytes, tweak: str) -> str:
+class Keyed:
+    """Keyed permutations of range(size); ``back`` undoes them."""
+
+    def __init__(self, key: bytes, back: bool = False):
+        self.key, self.back = bytes([len(key)]) + key, back
+
+    def __call__(self, value: int, size: int, tweak: str) -> int:
+        """A balanced Feistel network over two halves of bits, whose round function
+        is as wide as a half, walked along its cycle until it is below ``size``."""
+        half = max(1, ((size - 1).bit_length() + 1) // 2)
+        mask, width = (1 << half) - 1, (half + 7) // 8
+        head = self.key + f"{tweak}|{size}|".encode()
+
+        def said(i: int, x: int) -> int:
+            return int.from_bytes(hashlib.shake_256(head + bytes([i]) + x.to_bytes(width, "big")).digest(width), "big") & mask
+
+        while True:
+            left, right = value >> half, value & mask
+            if self.back:
+                for i in reversed(range(ROUNDS)):
+                    left, right = right ^ said(i, left), left
+            else:
+                for i in range(ROUNDS):
+                    left, right = right, left ^ said(i, right)
+            value = left << half | right
+            if value < size:
+                return value
+
+    def among(self, value: int, size: int, tweak: str, member: Callable[[int], bool]) -> int:
+        """A permutation of those values below ``size`` that are members, as ``value`` is one."""
+        value = self(value, size, tweak)
+        while not member(value):
+            value = self(value, size, tweak)
+        return value
+
+
+def permute_text(text: str, key: Keyed, tweak: str) -> str:
     """Letters become letters of the same case, digits digits; all else stays in place."""
     radix = [10 if c in DIGITS else 26 if c.lower() in LETTERS else 1 for c in text]
     value, size = 0, 1
@@ -50,7 +68,7 @@ def permute_text(text: str, key: bytes, tweak: str) -> str:
             size *= r
     if size == 1:
         return text
-    value = permute(value, size, key, tweak)
+    value = key(value, size, tweak)
     out = []
     for c, r in zip(reversed(text), reversed(radix), strict=True):
         if r == 1:
@@ -79,16 +97,16 @@ def _fill(shape: str, digits: str) -> str:
     return "".join(next(rest) if c in DIGITS else c for c in shape)
 
 
-def _number(found: str, key: bytes) -> tuple[str, str] | None:
+def _number(found: str, key: Keyed) -> tuple[str, str] | None:
     """13 to 19 digits with a right check digit: the others are permuted, the check digit follows."""
     digits = re.sub(r"\D", "", found)
     if not luhn(digits):
         return None
-    body = f"{permute(int(digits[:-1]), 10 ** (len(digits) - 1), key, 'card'):0{len(digits) - 1}d}"
+    body = f"{key(int(digits[:-1]), 10 ** (len(digits) - 1), 'card'):0{len(digits) - 1}d}"
     return "card", _fill(found, body + _luhn_digit(body))
 
 
-def _iban(found: str, key: bytes) -> tuple[str, str] | None:
+def _iban(found: str, key: Keyed) -> tuple[str, str] | None:
     flat = found.replace(" ", "").upper()
     if not 15 <= len(flat) <= 34 or int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 != 1:
         return None
@@ -98,31 +116,31 @@ def _iban(found: str, key: bytes) -> tuple[str, str] | None:
     return "iban", "".join(" " if c == " " else next(rest) for c in found)
 
 
-def _ip(found: str, key: bytes) -> tuple[str, str] | None:
+def _ip(found: str, key: Keyed) -> tuple[str, str] | None:
     octets = [int(x) for x in found.split(".")]
     if any(x > 255 for x in octets) or any(len(x) > 1 and x[0] == "0" for x in found.split(".")):
         return None
-    value = permute(int.from_bytes(bytes(octets), "big"), 1 << 32, key, "ip")
+    value = key(int.from_bytes(bytes(octets), "big"), 1 << 32, "ip")
     return "ip", ".".join(str(b) for b in value.to_bytes(4, "big"))
 
 
-def _phone(found: str, key: bytes) -> tuple[str, str] | None:
+def _phone(found: str, key: Keyed) -> tuple[str, str] | None:
     """The country code stays; the other digits are permuted together."""
     lead = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d{1,2}", found)
     head = lead.group() if lead else ""
     digits = re.sub(r"\D", "", found[len(head) :])
     if not 7 <= len(digits) <= 12:
         return None
-    return "phone", head + _fill(found[len(head) :], f"{permute(int(digits), 10 ** len(digits), key, 'phone' + head):0{len(digits)}d}")
+    return "phone", head + _fill(found[len(head) :], f"{key(int(digits), 10 ** len(digits), 'phone' + head):0{len(digits)}d}")
 
 
-def _ssn(found: str, key: bytes) -> tuple[str, str] | None:
+def _ssn(found: str, key: Keyed) -> tuple[str, str] | None:
     """Areas 001-899 without 666, groups 01-99, serials 0001-9999: permuted among such numbers."""
     area, group, serial = (int(x) for x in found.split("-"))
     if area in (0, 666) or area > 899 or not group or not serial:
         return None
     rank = (area - 1 - (area > 666)) * 99 * 9999 + (group - 1) * 9999 + serial - 1
-    rank, serial = divmod(permute(rank, 898 * 99 * 9999, key, "ssn"), 9999)
+    rank, serial = divmod(key(rank, 898 * 99 * 9999, "ssn"), 9999)
     area, group = divmod(rank, 99)
     return "ssn", f"{area + 1 + (area + 1 >= 666):03d}-{group + 1:02d}-{serial + 1:04d}"
 
@@ -135,8 +153,13 @@ def _day(year: int, month: int, day: int) -> datetime.date | None:
     return found if FIRST_DAY <= found <= LAST_DAY else None
 
 
-def _date(found: str, key: bytes) -> tuple[str, str] | None:
-    """Year first, or day and month first (the month where only one reading is a date)."""
+def _date(found: str, key: Keyed) -> tuple[str, str] | None:
+    """Year first, or day and month first (the month where only one reading is a date).
+
+    Days up to the 12th and later ones are permuted apart, so that a pseudonym
+    is read in the order of its original; the notation plays no part, so equal
+    dates in several notations stay linked.
+    """
     a, mark, b, c = re.match(r"(\d+)([-/.])(\d+)[-/.](\d+)", found).groups()
     if len(a) == 4:
         then, order = _day(int(a), int(b), int(c)), "ymd"
@@ -146,33 +169,31 @@ def _date(found: str, key: bytes) -> tuple[str, str] | None:
             then, order = _day(int(c), int(a), int(b)), "mdy"
     if then is None:
         return None
-    span = (LAST_DAY - FIRST_DAY).days + 1
-    new = FIRST_DAY + datetime.timedelta(permute((then - FIRST_DAY).days, span, key, "date"))
-    if order == "mdy":
-        # the result must be read in the same order again
-        while new.day <= 12:
-            new = FIRST_DAY + datetime.timedelta(permute((new - FIRST_DAY).days, span, key, "date"))
+    day = lambda x: FIRST_DAY + datetime.timedelta(x)
+    late = then.day > 12
+    new = day(key.among((then - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, "date", lambda x: (day(x).day > 12) == late))
     return "date", mark.join({"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}[x] for x in order)
 
 
-def _email(found: str, key: bytes) -> tuple[str, str] | None:
+def _email(found: str, key: Keyed) -> tuple[str, str] | None:
     """Local part and host labels are permuted; the top-level domain stays."""
     local, host = found.rsplit("@", 1)
     labels, top = host.rsplit(".", 1)
     return "email", f"{permute_text(local, key, 'local')}@{permute_text(labels.lower(), key, 'host')}.{top}"
 
 
-def _secret(found: str, key: bytes) -> tuple[str, str] | None:
-    """Long hexadecimal strings are permuted among those of their length."""
+def _secret(found: str, key: Keyed) -> tuple[str, str] | None:
+    """Long hexadecimal strings with digits and letters are permuted among those of their length."""
     n = len(found)
     if found.isdigit() or found.isalpha():
         return None
-    new = f"{permute(int(found, 16), 16**n, key, 'secret'):0{n}x}"
+    mixed = lambda x: not (f"{x:0{n}x}".isdigit() or f"{x:0{n}x}".isalpha())
+    new = f"{key.among(int(found, 16), 16**n, 'secret', mixed):0{n}x}"
     return "secret", new.upper() if found.isupper() else new
 
 
 #: What each named group of the pattern is taken to be.
-KINDS: dict[str, Callable[[str, bytes], tuple[str, str] | None]] = {
+KINDS: dict[str, Callable[[str, Keyed], tuple[str, str] | None]] = {
     "email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "number": _number, "phone": _phone,
 }
 PARTS = (
@@ -218,10 +239,11 @@ def readings(kind: str, found: str) -> list[str]:
     return first + [x for x in parts if x not in first]
 
 
-def pseudonyms(text: str, key: bytes, remember: Callable | None = None) -> tuple[str, dict[str, int]]:
-    """The text with every validated match replaced; matches by kind."""
+def pseudonyms(text: str, key: bytes, remember: Callable | None = None, back: bool = False) -> tuple[str, dict[str, int]]:
+    """The text with every validated match replaced (``back``: put back); matches by kind."""
     counts: dict[str, int] = {}
-    ask = remember or (lambda kind, found: KINDS[kind](found, key))
+    keyed = Keyed(key, back)
+    ask = remember or (lambda kind, found: KINDS[kind](found, keyed))
 
     def read(m: re.Match) -> tuple[str, tuple[str, str]] | None:
         """The first valid reading at the place of a match, of its kind or a later one."""
@@ -248,12 +270,16 @@ def pseudonyms(text: str, key: bytes, remember: Callable | None = None) -> tuple
     return "".join([*out, text[done:]]), counts
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col: str | None = None, back: bool = False) -> DataFrame:
     """``docs`` with every column, ``text_col`` rewritten; ``counts_col`` adds matches by kind.
 
     Each validated value is permuted under the key within its own format, so
     equal values get equal pseudonyms in all texts, and different values
-    different ones.  Matches that fail validation stay.  A null text stays
+    different ones.  Dates are linked across notations; a phone number with
+    and without its country code is taken for two values.  A permutation may
+    map a value of a tiny format to itself, as chance has it.  ``back`` gives
+    the holder of the key the original values of pseudonyms that are matched
+    as they were written.  Matches that fail validation stay.  A null text stays
     null; texts without digits or @ are passed on as they are.  One pass, no
     shuffle; repeated rows, null ids and further columns go through unchanged.
     """
@@ -270,7 +296,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col:
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(maxsize=1 << 16)(lambda kind, found: KINDS[kind](found, secret))
+        keyed = Keyed(secret, back)
+        known = lru_cache(maxsize=1 << 16)(lambda kind, found: KINDS[kind](found, keyed))
         for part in slices(batches, text_col):
             texts = part.column(place)
             some = pc.fill_null(pc.match_substring_regex(texts, "[0-9@]"), False).to_pylist()

@@ -9,9 +9,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gapwright.llm.common import slices, written
+from gapwright.llm.common import discard, free_names, slices, written
 from gapwright.llm.components import connected
 
 #: Bit ranges of the five ring segments of a 64-bit fingerprint.
@@ -66,23 +65,28 @@ def _segment(i: int) -> np.uint64:
     return np.uint64(((1 << high) - 1) ^ ((1 << low) - 1))
 
 
+#: Which two of the four halves of the second and third segment a key holds.
+HALVES = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)]
+
+
 def chain_keys(fp: str = "fp") -> F.Column:
     """Ring keys of a fingerprint, as an array of bigint.
 
     Two fingerprints with at most 4 differing bits have a segment from which
     every chain of l segments differs in at most floor(4 l / 5) bits: none in
-    the first, at most one in the first two.  So they agree on that segment
-    and on one half of the next; both make up a key.
+    the first, at most one in the first two, at most two in the first three.
+    So they agree on that segment, on a half of the second, and, if not on
+    both, on a half of the third; each such choice makes a key of some 26 bits.
     """
     keys = []
     for i in range(len(RING)):
         low, high = RING[i]
-        nlow, nhigh = RING[(i + 1) % len(RING)]
-        half = (nlow + nhigh) // 2
-        for h, (a, b) in enumerate(((nlow, half), (half, nhigh))):
-            first = f"(shiftrightunsigned({fp}, {low}) & {(1 << (high - low)) - 1}L)"
-            second = f"(shiftrightunsigned({fp}, {a}) & {(1 << (b - a)) - 1}L)"
-            keys.append(F.expr(f"shiftleft({first}, 16) | shiftleft({second}, 4) | {2 * i + h}L"))
+        halves = []
+        for a, b in (RING[(i + 1) % len(RING)], RING[(i + 2) % len(RING)]):
+            halves += [(a, (a + b) // 2), ((a + b) // 2, b)]
+        cut = lambda a, b: f"(shiftrightunsigned({fp}, {a}) & {(1 << (b - a)) - 1}L)"
+        for h, (x, y) in enumerate(HALVES):
+            keys.append(F.expr(f"shiftleft({cut(low, high)}, 20) | shiftleft({cut(*halves[x])}, 12) | shiftleft({cut(*halves[y])}, 5) | {len(HALVES) * i + h}L"))
     return F.array(*keys)
 
 
@@ -117,6 +121,25 @@ def _stars(fps: np.ndarray, start: int, budget: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _forest(a: list[int], b: list[int]) -> np.ndarray:
+    """Places of edges that join what the ones before them have not joined."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x] = y
+            kept.append(i)
+    return np.array(kept, dtype=np.int64)
+
+
 def _links(budget: int):
     """mapInArrow over rows (key, part, fp) that arrive sorted by (key, part)."""
 
@@ -133,7 +156,7 @@ def _links(budget: int):
             if not len(left):
                 break
             diff = fps[left] ^ fps[left + step]
-            lead = ((keys[left] & 15) // 2).astype(np.int64)
+            lead = ((keys[left] & 31) // len(HALVES)).astype(np.int64)
             for i in range(len(RING)):
                 of = lead == i
                 if of.any():
@@ -142,14 +165,15 @@ def _links(budget: int):
                     edges_b.append(fps[hit + step])
         for g in np.flatnonzero(sizes > 8):
             at, n = starts[g], sizes[g]
-            found = _stars(np.unique(fps[at : at + n]), int(keys[at] & 15) // 2, budget)
+            found = _stars(np.unique(fps[at : at + n]), int(keys[at] & 31) // len(HALVES), budget)
             if found:
                 both = np.array(found, dtype=np.uint64)
                 edges_a.append(both[:, 0])
                 edges_b.append(both[:, 1])
         a = np.concatenate(edges_a) if edges_a else np.zeros(0, np.uint64)
         b = np.concatenate(edges_b) if edges_b else np.zeros(0, np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        keep = _forest(a.tolist(), b.tolist())
+        return pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -173,9 +197,9 @@ def _links(budget: int):
 def near_links(prints: DataFrame, budget: int = 4, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that join all distinct ``fp`` linked within ``budget`` bits.
 
-    Within one key only a spanning forest of its links is kept, so a large
-    group of near copies gives about one edge a member and not all pairs; the
-    components are those of all links.  A key with more than ``block``
+    Of the keys of one batch only a spanning forest of their links is kept, so a
+    large group of near copies gives at most one edge a member and key and not
+    all pairs; the components are those of all links.  A key with more than ``block``
     fingerprints is cut into blocks whose pairs are compared by separate tasks.
     """
     if budget > 4:
@@ -185,6 +209,7 @@ def near_links(prints: DataFrame, budget: int = 4, block: int = BLOCK) -> DataFr
     hot = keyed.groupBy("key").count().where(F.col("count") > block)
     hot = written(hot.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "hot_keys")
     if hot.isEmpty():
+        discard(hot)
         dealt = keyed.select("key", F.lit(0).alias("part"), "fp")
     else:
         own = F.expr("cast(pmod(xxhash64(fp), blocks) as int)")
@@ -204,7 +229,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bud
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     known = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     known = written(known, "print_roots")
-    class_id = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written first: over an exchange of its own, Spark can split the root of a large class
+    class_id = written(known.groupBy("root").agg(F.min("least").alias("component_id")), "class_ids")
     named = known.join(class_id, "root").select("fp", "root", "component_id")
     return prints.join(named, "fp")
 
@@ -232,12 +258,15 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hash of the text in a semi-join.
     """
     found = written(classes(docs, id_col, text_col, budget).select("doc_id", "tkey", "fp", "root"), "classes")
+    own, first_id, first_key = free_names(docs, "own", "first_id", "first_key")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "tkey")
-    first = found.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.tkey").alias("__key"))
+    first = found.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias(first_id), F.col("x.tkey").alias(first_key))
+    first = written(first, "first_rows")
     repeated = not found.groupBy("doc_id", "tkey").count().where("count > 1").isEmpty()
-    marked = docs.withColumn("__own", F.xxhash64(text_col))
-    kept = marked.join(first, marked[id_col].eqNullSafe(first["__id"]) & (F.col("__own") == F.col("__key")), "left_semi")
+    discard(found)
+    marked = docs.withColumn(own, F.xxhash64(F.col(f"`{text_col}`")))
+    kept = marked.join(first, F.col(f"`{id_col}`").eqNullSafe(F.col(first_id)) & (F.col(own) == F.col(first_key)), "left_semi")
     if repeated:
-        each = Window.partitionBy(id_col, "__own").orderBy(text_col)
-        kept = kept.withColumn("__n", F.row_number().over(each)).where("__n = 1")
-    return kept.select(*docs.columns)
+        # each task keeps one of its equal rows before any are exchanged
+        kept = kept.dropDuplicates([id_col, own])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

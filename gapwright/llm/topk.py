@@ -22,41 +22,31 @@ from gapwright.llm.common import discard, written
 
 #: Pivots, and the most vectors (by hash of the id) that they are fitted on; every row is indexed.
 PIVOTS, FIT_ROWS = 64, 4096
-#: Vectors of one block, queries of one task, vectors of one step outwards.
-BLOCK, QUERIES, STEP = 8192, 50_000, 512
+#: Most and fewest vectors of one block, and vectors of one step outwards.
+BLOCK, LEAST_BLOCK, STEP = 8192, 256, 512
+#: Bytes of queries that meet a block in one task; more are dealt into shares.
+QUERY_BYTES = 32 << 20
 #: Most distance rings of a pivot; fuller rings are dealt into shares.
 RINGS = 64
 
 
 def _matrix(values: pa.Array, width: int) -> np.ndarray:
-    """Rows of little-endian int64, short ones padded with zeros."""
+    """Rows of int64, short ones padded with zeros."""
+    sizes = np.asarray(pc.list_value_length(values), dtype=np.int64)
     out = np.zeros((len(values), width), dtype=np.int64)
-    for i, b in enumerate(values.to_pylist()):
-        out[i, : len(b) // 8] = np.frombuffer(b, dtype="<i8")
+    out[np.arange(width) < sizes[:, None]] = np.asarray(values.flatten())
     return out
 
 
 def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): components floor(scale * x), packed; rows with a null id, a
-    null vector, or a null or non-finite component are left out."""
-    kind = vectors.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, packed = [], []
-            ids, lists = batch.column(0), batch.column(1)
-            flat = np.asarray(pc.fill_null(pc.cast(lists.flatten(), pa.float64()), np.nan))
-            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
-            ends = np.cumsum(sizes)
-            for i, ok in enumerate((np.asarray(ids.is_valid()) & np.asarray(lists.is_valid())).tolist()):
-                x = flat[ends[i] - sizes[i] : ends[i]]
-                if ok and np.isfinite(x).all():
-                    keep.append(i)
-                    packed.append(np.floor(scale * x).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())), pa.array(packed, pa.binary())], ["vec_id", "v"])
-
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("x"))
-    return rows.mapInArrow(run, f"vec_id {kind}, v binary")
+    """(vec_id, v): components floor(scale * x); rows with a null id, a null
+    vector, or a null or non-finite component are left out.  A component whose
+    product does not fit 64 bits is an error."""
+    rows = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector_col}`").alias("x"))
+    rows = rows.where(F.col("vec_id").isNotNull() & F.expr("forall(x, e -> e is not null and not isnan(cast(e as double)) and abs(cast(e as double)) < double('infinity'))"))
+    floor = f"floor({scale} * cast(e as double))"
+    checked = f"if(abs({scale} * cast(e as double)) < 9e18D, {floor}, cast(raise_error('a component leaves 64 bits') as bigint))"
+    return rows.select("vec_id", F.expr(f"transform(x, e -> {checked})").alias("v"))
 
 
 def _norms(x: np.ndarray) -> np.ndarray:
@@ -135,24 +125,29 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     are not looked at.
 
     Of equal vectors only the k + 1 least ids can be among a query's k best, so
-    others are left out of the index before it is dealt out.
+    others are left out of the index before it is dealt out.  Scores that could
+    leave 64 bits are an error.
+
+    A query meets the rings of a pivot that its annulus reaches, and no others
+    are ever paired with it: which these are follows from the ring borders
+    alone, of which there are at most PIVOTS x RINGS.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = written(quantised(vectors, scale, id_col, vector_col).distinct(), "vectors")
-    width = max(1, (rows.agg(F.max(F.octet_length("v"))).first()[0] or 0) // 8)
+    sizes = rows.agg(F.max(F.size("v")), F.max(F.expr("aggregate(v, 0L, (m, e) -> greatest(m, abs(e)))")), F.count("*")).first()
+    width, peak, total = max(1, sizes[0] or 0), sizes[1] or 0, sizes[2]
+    if peak**2 * width >= 1 << 63:
+        raise ValueError(f"scores of components up to {peak} may not fit 64 bits")
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most, peak = 0.0, 0
+        most = 0.0
         for batch in batches:
-            x = _matrix(batch.column(0), width)
-            most = max(most, float(_norms(x).max(initial=0)))
-            peak = max(peak, int(np.abs(x).max(initial=0)))
-        yield pa.RecordBatch.from_arrays([pa.array([most]), pa.array([peak])], ["most", "peak"])
-
-    ceiling, peak = rows.select("v").mapInArrow(norms, "most double, peak bigint").agg(F.max("most"), F.max("peak")).first()
-    ceiling = ceiling or 0.0
-    exact = np.float64 if (peak or 0) ** 2 * width < 1 << 53 else np.int64  # sums stay exact
+            most = max(most, float(_norms(_matrix(batch.column(0), width)).max(initial=0)))
+        yield pa.RecordBatch.from_arrays([pa.array([most])], ["most"])
+
+    ceiling = rows.select("v").mapInArrow(norms, "most double").agg(F.max("most")).first()[0] or 0.0
+    exact = np.float64 if peak**2 * width < 1 << 53 else np.int64  # sums stay exact
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").toArrow()["v"].combine_chunks()
     pivots = fit_pivots(_matrix(sample, width), ceiling, PIVOTS)
 
@@ -166,39 +161,58 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
                 [batch.column("vec_id"), batch.column("v"), pa.array(near.astype(np.int32)), pa.array(dist[np.arange(len(x)), near])], ["vec_id", "v", "pivot", "dist"]
             )
 
+    vector = "v array<bigint>"
     first = rows.withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("copy") <= k + 1)
-    placed = written(first.select("vec_id", "v").mapInArrow(place, f"vec_id {kind}, v binary, pivot int, dist double"), "placed")
+    placed = written(first.select("vec_id", "v").mapInArrow(place, f"vec_id {kind}, {vector}, pivot int, dist double"), "placed")
 
-    # blocks: quantiles of the distance within each pivot
+    # blocks: quantiles of the distance within each pivot, small enough for every task to get several
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    block = min(BLOCK, max(LEAST_BLOCK, total // (4 * tasks)))
     sized = placed.groupBy("pivot").agg(F.count("*").alias("n"), F.percentile_approx("dist", [i / RINGS for i in range(RINGS)], 2000).alias("edges"))
-    cuts = F.expr(f"least({RINGS}, cast(ceil(n / {BLOCK}) as int))")
+    cuts = F.expr(f"least({RINGS}, cast(ceil(n / {block}) as int))")
     cut = placed.join(F.broadcast(sized.withColumn("cuts", cuts)), "pivot")  # one row a pivot: at most PIVOTS
     ring = F.expr(f"cast(floor((size(filter(edges, e -> e <= dist)) - 1) * cuts / {RINGS}) as int)")
     cut = cut.withColumn("ring", F.greatest(ring, F.lit(0)))
     # a ring beyond the block size is dealt into shares by hash
-    share = F.expr(f"cast(pmod(xxhash64(vec_id), greatest(1, cast(ceil(n / cuts / {BLOCK}) as int))) as int)")
-    data = written(cut.withColumn("block", F.concat_ws("-", "pivot", "ring", share)).select("block", "pivot", "dist", "vec_id", "v"), "blocks")
+    shares = F.expr(f"greatest(1, cast(ceil(n / cuts / {block}) as int))")
+    cut = cut.withColumn("shares", shares).withColumn("part", F.expr("cast(pmod(xxhash64(vec_id), shares) as int)"))
+    data = written(cut.select("pivot", "ring", "part", "shares", "dist", "vec_id", "v"), "blocks")
     discard(placed)
-    bounds = data.groupBy("block", "pivot").agg(F.min("dist").alias("low"), F.max("dist").alias("high"))
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column("v"), width).astype(np.float64)
-            dist = _distances(np.concatenate([x, np.zeros((len(x), 1))], axis=1), pivots)
-            n, p = dist.shape
-            row = pa.array(np.repeat(np.arange(n), p))
-            order = dist.argsort(axis=1).argsort(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("query_id").take(row), pa.array(np.tile(np.arange(p, dtype=np.int32), n)), pa.array(dist.ravel()), pa.array(order.ravel().astype(np.int32))],
-                ["query_id", "pivot", "at", "nearness"],
-            )
-
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    total = queries.count()
-    shares = max(1, -(-total // QUERIES))
-    queries = queries.withColumn("share", F.expr(f"cast(pmod(xxhash64(query_id, 1), {shares}) as int)"))
-    lanes = data.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))) if shares > 1 else data.withColumn("share", F.lit(0))
-    away = written(queries.select("query_id", F.col("q").alias("v")).mapInArrow(measured, f"query_id {kind}, pivot int, at double, nearness int"), "query_pivots")
+    found = data.groupBy("pivot", "ring").agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.max("shares").alias("shares")).toArrow()  # at most PIVOTS x RINGS
+    rings = {c: np.asarray(found[c]) for c in ("pivot", "ring", "low", "high", "shares")}
+
+    def asked(seeding: bool):
+        """Pairs queries with a first block near them, or with all others in reach."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                q = _matrix(batch.column("v"), width).astype(np.float64)
+                floors = batch.column("floor").to_pylist()
+                at = _distances(np.concatenate([q, np.zeros((len(q), 1))], axis=1), pivots)[:, rings["pivot"]]
+                gap = np.maximum(np.maximum(rings["low"] - at, at - rings["high"]), 0)
+                home = np.lexsort((gap, at), axis=1)[:, 0] if gap.shape[1] else np.zeros(0, int)
+                if seeding:
+                    i, j = np.arange(len(q)), home
+                else:
+                    norm = _norms(q)
+                    reach = np.array([_reach(-np.inf if f is None else f, n, ceiling) for f, n in zip(floors, norm, strict=True)])
+                    wanted = gap <= reach[:, None]
+                    wanted[np.arange(len(q)), home] &= rings["shares"][home] > 1  # its first share is known
+                    i, j = np.nonzero(wanted)
+                many = rings["shares"][j]
+                first = np.repeat(np.cumsum(many) - many, many)
+                i, j = np.repeat(i, many), np.repeat(j, many)
+                part = np.arange(len(i)) - first
+                own_home = home[i] == j
+                keep = part == 0 if seeding else ~own_home | (part > 0)
+                i, j, part = i[keep], j[keep], part[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c).take(pa.array(i)) for c in ("query_id", "v", "floor")]
+                    + [pa.array(rings[c][j], pa.int32()) for c in ("pivot", "ring")] + [pa.array(part, pa.int32()), pa.array(at[i, j])],
+                    ["query_id", "v", "floor", "pivot", "ring", "part", "at"],
+                )
+
+        return run
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -214,28 +228,27 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
         types = [right.schema.field("query_id").type] * 2 + [pa.int64()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["query_id", "vec_id", "score"])
 
-    def searched(pairs: DataFrame) -> DataFrame:
-        asked = pairs.join(queries, "query_id")
-        return lanes.groupBy("block", "share").cogroup(asked.groupBy("block", "share")).applyInArrow(search, f"query_id {kind}, vec_id {kind}, score bigint")
+    lane = ["pivot", "ring", "part", "lane"]
 
+    def searched(pairs: DataFrame) -> DataFrame:
+        """A block meets its queries; one that very many ask is copied for each lane of them."""
+        load = pairs.groupBy("pivot", "ring", "part").agg(F.count("*").alias("n"))
+        load = load.select("pivot", "ring", "part", F.expr(f"cast(ceil(n / {max(1, QUERY_BYTES // (8 * width))}) as int)").alias("lanes"))
+        load = written(load, "block_load")
+        left = data.join(load, ["pivot", "ring", "part"]).withColumn("lane", F.explode(F.expr("sequence(0, lanes - 1)")))
+        right = pairs.join(load, ["pivot", "ring", "part"]).withColumn("lane", F.expr("cast(pmod(xxhash64(query_id, 1), lanes) as int)")).withColumnRenamed("v", "q")
+        left = left.select(*lane, "dist", "vec_id", "v")
+        return left.groupBy(*lane).cogroup(right.select(*lane, "query_id", "q", "at", "floor").groupBy(*lane)).applyInArrow(search, f"query_id {kind}, vec_id {kind}, score bigint")
+
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
+    pairs = f"query_id {kind}, {vector}, floor double, pivot int, ring int, part int, at double"
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # first round: the nearest block of the nearest pivot that has any gives a score to beat
-    gap = F.greatest(F.col("low") - F.col("at"), F.col("at") - F.col("high"), F.lit(0.0))
-    options = away.join(bounds, "pivot").withColumn("gap", gap)
-    home = options.withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy("nearness", "gap", "block"))).where("turn = 1")
-    home = written(home.select("query_id", "block", "at", F.lit(None).cast("double").alias("floor")), "homes")
+    # first round: one block near the query gives a score to beat
+    home = written(queries.withColumn("floor", F.lit(None).cast("double")).select("query_id", "v", "floor").mapInArrow(asked(True), pairs), "homes")
     seeds = written(searched(home), "seeds")
     floors = seeds.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
-    norm = queries.select("query_id", F.col("q").alias("v"))
-
-    def normed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_norms(_matrix(batch.column(1), width)))], ["query_id", "norm"])
-
-    reach = norm.mapInArrow(normed, f"query_id {kind}, norm double").join(floors, "query_id", "left")
-    known = F.sqrt(F.greatest(F.col("norm") + ceiling - 2 * F.col("floor"), F.lit(0.0))) * (1 + 1e-9) + 1e-3
-    reach = reach.withColumn("reach", F.when(F.col("floor").isNull(), F.lit(float("inf"))).otherwise(known))
-    rest = options.join(reach.select("query_id", "floor", "reach"), "query_id").where("gap <= reach").join(home.select("query_id", "block"), ["query_id", "block"], "left_anti")
-    rest = written(rest.select("query_id", "block", "at", F.col("floor").cast("double").alias("floor")), "pairs")
+    floors = written(floors.select("query_id", F.col("floor").cast("double").alias("floor")), "floors")
+    rest = written(queries.join(floors, "query_id", "left").select("query_id", "v", "floor").mapInArrow(asked(False), pairs), "pairs")
+    discard(home, floors)
     found = seeds.unionByName(searched(rest)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -112,11 +112,12 @@ def digest(payload: bytes) -> str:
 
 
 def _urn(page_id: object) -> str:
-    return f"<urn:page:{'' if page_id is None else urllib.parse.quote(str(page_id), safe='')}>"
+    """An id as a record's name; no id and an empty one have different names."""
+    return "<urn:no-page>" if page_id is None else f"<urn:page:{urllib.parse.quote(str(page_id), safe='')}>"
 
 
 def _page(urn: str | None) -> str | None:
-    return urllib.parse.unquote(urn[len("<urn:page:") : -1]) or None if urn else None
+    return urllib.parse.unquote(urn[len("<urn:page:") : -1]) if urn and urn.startswith("<urn:page:") else None
 
 
 def record(page_id: object, url: str | None, payload: bytes, sha: str, refers_to: object = None, revisit: bool = False) -> bytes:
@@ -213,15 +214,20 @@ def write_packages(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     Payload is the html in UTF-8, empty for null.  Of rows with equal payloads
     of at least ``least`` bytes, that with the smallest id is the response and
     the others revisit it; of several rows with that same id each is a response
-    (they are the same record).  Null ids count as largest.  Digests are
-    compared first, so payloads travel once, to their package.  Tasks write
+    (they are the same record).  Null ids count as largest.  Which rows revisit
+    is found from ids and digests alone, so that however many pages share a
+    payload, payloads travel by id, once, to their package.  Tasks write
     under names of their own attempt and only finished ones are listed, so a
     lost executor leaves at most an unlisted file.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    firsts = rows.groupBy("sha").agg(F.min("page_id").alias("first"))
-    dealt = rows.join(firsts, "sha").select("page_id", "url", "html", "sha", "first")
+    heads = written(rows.select("page_id", "sha", F.octet_length("html").alias("size")), "page_heads")
+    # sums are written before they are joined on their own key: Spark can then split a payload of very many pages
+    firsts = written(heads.where(F.col("size") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("first is not null and n > 1"), "first_pages")
+    later = heads.join(firsts, "sha").where("size >= %d and not (page_id <=> first)" % least).select("page_id", "sha", "first").distinct()
+    later = written(later, "revisits").select(F.col("page_id").alias("later_id"), F.col("sha").alias("later_sha"), "first")
+    dealt = rows.join(later, F.col("page_id").eqNullSafe(F.col("later_id")) & (F.col("sha") == F.col("later_sha")), "left").select("page_id", "url", "html", "sha", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(folder)
@@ -242,7 +248,7 @@ def write_packages(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
                     writer, number = PackageWriter(_Stream(out), name), number + 1
                 payload = html.encode("utf-8", "surrogatepass")
                 code = base64.b32encode(bytes.fromhex(sha)).decode()
-                revisit = len(payload) >= least and first is not None and page != first
+                revisit = first is not None
                 writer.add(page, url, record(page, url, payload, code, first, revisit), code, "revisit" if revisit else "response")
                 if writer.bytes >= PACKAGE_BYTES:
                     close()

@@ -87,6 +87,14 @@ def test_pages(spark, least):
     assert got == sorted(want, key=lambda x: tuple(map(str, x))) or sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_ids_as_text_and_one_hot_payload(spark):
+    rows = [("", "u", "a"), (None, "u", "b"), ("x", "u", "a"), *((f"p{i:03d}", "v", "same") for i in range(200))]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)
+    got = {r["page_id"]: r for r in warczip.round_trip(df).collect()}
+    assert len(got) == len(rows) and got["x"]["refers_to"] == "" and got[""]["record_type"] == got[None]["record_type"] == "response"
+    assert sum(r["refers_to"] == "p000" for r in got.values()) == 199
+
+
 def test_no_pages(spark):
     assert warczip.round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
@@ -114,6 +122,8 @@ def plain_top(rows, k, every):
 @pytest.mark.parametrize("block", [8, 8192])
 def test_top_k_against_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "LEAST_BLOCK", min(block, 64))
+    monkeypatch.setattr(topk, "QUERY_BYTES", 8 * 6 * block)
     draw = np.random.default_rng(0)
     rows = [(i, [float(np.float32(v)) for v in draw.normal(size=6) * (1 + i % 3)]) for i in range(300)]
     rows += [(1000 + i, rows[7][1]) for i in range(30)]  # many equal vectors
@@ -123,6 +133,31 @@ def test_top_k_against_brute_force(spark, block, monkeypatch):
     assert got == plain_top(rows, 5, 10)
 
 
+def test_ties_across_blocks(spark, monkeypatch):
+    """Many candidates share the score of rank k, in different blocks: the smaller ids win."""
+    monkeypatch.setattr(topk, "LEAST_BLOCK", 8)
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    rows = [(i, [1.0 if j == i % 4 else 0.0 for j in range(4)] + [float(i % 16 == j) for j in range(16)] + [2.0]) for i in range(160)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(4)
+    assert sorted(tuple(r) for r in topk.top_k(df, k=5, every=10).collect()) == plain_top(rows, 5, 10)
+
+
+def test_one_vector_on_a_third_of_the_rows(spark):
+    draw = np.random.default_rng(2)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else [float(np.float32(v)) for v in draw.normal(size=3)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(4)
+    assert sorted(tuple(r) for r in topk.top_k(df, k=5, every=50).collect()) == plain_top(rows, 5, 50)
+
+
+def test_components_beyond_64_bits(spark):
+    df = spark.createDataFrame([(0, [1e30, 0.0]), (1, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(df).collect()
+    df = spark.createDataFrame([(0, [1e10, 0.0]), (1, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(df)
+
+
 def test_few_or_no_vectors(spark):
     make = lambda rows: spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     assert topk.top_k(make([])).count() == 0
@@ -131,4 +166,4 @@ def test_few_or_no_vectors(spark):
 
 
 def test_quantised_rows():
-    assert topk._matrix(pa.array([np.array([1, -2], "<i8").tobytes(), b""]), 3).tolist() == [[1, -2, 0], [0, 0, 0]]
+    assert topk._matrix(pa.array([[1, -2], []], pa.list_(pa.int64())), 3).tolist() == [[1, -2, 0], [0, 0, 0]]

@@ -123,6 +123,20 @@ def test_keep_first(docs_of, odd):
     assert len(ids) == classes and (False, 8) in ids and (False, 9) not in ids
 
 
+def test_keep_first_leaves_clashing_columns_alone(spark):
+    names = ["own", "first_id", "first_key", "__own", "__n", "__id", "__key", "root", "fp"]
+    rows = [(1, "a b c d e f g", *range(9)), (2, "a b c d e f g", *range(9)), (3, "other words here and there again", *range(10, 19))] + [(3, "other words here and there again", *range(10, 19))] * 40
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names]).repartition(3)
+    assert sorted(map(tuple, simhash.keep_first(df).collect())) == [rows[0], rows[2]]
+
+
+def test_a_class_on_a_third_of_the_rows(docs_of):
+    draw = random.Random(9)
+    rows = [(i, "the same text of some words again" if i % 3 == 0 else sentence(draw, 30)) for i in range(900)]
+    got = simhash.near_duplicates(docs_of(rows)).collect()
+    assert all(r["component_id"] == (0 if r["doc_id"] % 3 == 0 else r["doc_id"]) for r in got)
+
+
 def test_empty_tables(docs_of, spark):
     none = docs_of([])
     assert simhash.near_duplicates(none).count() == 0
@@ -214,8 +228,68 @@ def test_tiling_against_plain():
     for _ in range(150):
         text = np.array([draw.randrange(3) for _ in range(draw.randint(3, 25))], dtype=np.uint64)
         item = np.array([draw.randrange(3) for _ in range(draw.randint(3, 14))], dtype=np.uint64)
-        seeds = [(t, i) for t in range(len(text) - 2) for i in range(len(item) - 2) if (text[t : t + 3] == item[i : i + 3]).all()]
-        assert decontam.tile(text, item, seeds, 3) == plain_tiles(text.tolist(), item.tolist(), 3)
+        want = plain_tiles(text.tolist(), item.tolist(), 3)
+        assert decontam.tile(text, item, 3) == want
+        seeds = [t for t in range(len(text) - 2) for i in range(len(item) - 2) if (text[t : t + 3] == item[i : i + 3]).all()]
+        usable = np.array([any(t - 2 <= s <= t for s in seeds) for t in range(len(text))])
+        assert decontam.tile(text, item, 3, usable) == want
+
+
+def test_running_hashes_tell_windows_apart():
+    draw = np.random.default_rng(3)
+    for size in (5, 9, 40):
+        tokens = draw.integers(0, 1 << 63, 4, dtype=np.uint64)[draw.integers(0, 2, 300)]
+        found = decontam.karp_rabin(tokens, size).tolist()
+        windows = [tuple(tokens[i : i + size].tolist()) for i in range(len(tokens) - size + 1)]
+        assert len(set(found)) == len(set(windows)) == len(set(zip(found, windows, strict=True)))
+
+
+def plain_words(text):
+    return [re.sub(r"^[^\w]+|[^\w]+$", "", w) or w for w in re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())]
+
+
+def plain_contaminated(rows, items, shortest=5, coverage=0.5):
+    found = []
+    for i, t in rows:
+        for k, item in items:
+            want = plain_words(item)
+            have = plain_words(t)
+            if len(want) >= shortest and len(have) < 2000:
+                covered = sum(n for _, _, n in plain_tiles(have, want, shortest))
+                if covered >= coverage * len(want):
+                    found.append((str(i), k, covered))
+    return sorted(found)
+
+
+def test_contamination_against_brute_force(docs_of, spark, odd):
+    """Shuffled, changed and repeated passages over few words, repeated items and an opening that many items share."""
+    draw = random.Random(23)
+    words = [f"v{i}" for i in range(12)]
+    opening = sentence(draw, 8, words)
+    items = [(i, opening + " " + sentence(draw, draw.randint(0, 14), words)) for i in range(12)]
+    items += [(100 + i, items[0][1]) for i in range(5)]
+    rows = []
+    for i in range(40):
+        w = draw.choice(items)[1].split()
+        cut = draw.randrange(len(w))
+        rows.append((i, " ".join([sentence(draw, 4, words), *w[cut:], sentence(draw, 2, words), *w[:cut], opening if i % 3 else ""])))
+    rows += odd
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for size in (32 << 20, 200):
+        got = decontam.contaminated(docs_of(rows), bench, block_bytes=size).collect()
+        assert sorted((str(r["doc_id"]), r["item_id"], r["covered"]) for r in got) == plain_contaminated(rows, items)
+
+
+def test_a_seed_that_very_many_items_share(docs_of, spark):
+    import time
+
+    draw = random.Random(5)
+    opening = sentence(draw, 10)
+    index = decontam.Index(list(range(20_000)), [f"{opening} " + " ".join(f"q{i}x{j}" for j in range(30)) for i in range(20_000)], 5, 0.5)
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "text": [f"{opening} {sentence(draw, 20)}" for _ in range(100)]})
+    start = time.time()
+    assert decontam._matches(rows, index, 0.5) is None
+    assert time.time() - start < 4  # of 100 texts
 
 
 def test_contamination(docs_of, spark, odd):
@@ -242,10 +316,11 @@ def test_contamination(docs_of, spark, odd):
 @settings(max_examples=40, deadline=None)
 def test_feistel_is_a_permutation(size, key, data):
     if size < 300:
-        assert sorted(pii.permute(x, size, key, "t") for x in range(size)) == list(range(size))
+        assert sorted(pii.Keyed(key)(x, size, "t") for x in range(size)) == list(range(size))
     else:
         a, b = (data.draw(st.integers(0, size - 1)) for _ in "ab")
-        assert (pii.permute(a, size, key, "t") == pii.permute(b, size, key, "t")) == (a == b)
+        assert (pii.Keyed(key)(a, size, "t") == pii.Keyed(key)(b, size, "t")) == (a == b)
+        assert pii.Keyed(key, back=True)(pii.Keyed(key)(a, size, "t"), size, "t") == a
 
 
 def test_pii_formats():
@@ -262,7 +337,7 @@ def test_pii_formats():
         assert again == new[4:-4]
         assert pii.pseudonyms(text, b"other")[0] != again
     card = pii.pseudonyms("4111111111111111", key)[0]
-    assert pii.luhn(card) and pii._iban(pii.pseudonyms("GB82WEST12345698765432", key)[0], key)
+    assert pii.luhn(card) and pii._iban(pii.pseudonyms("GB82WEST12345698765432", key)[0], pii.Keyed(key))
     for plain in ("4111111111111112", "2021-02-30", "256.1.1.1", "000-12-3456", "version 1.2.3", "in 1984 and 2000", "DE89370400440532013001"):
         assert pii.pseudonyms(plain, key) == (plain, {})
 
@@ -283,6 +358,66 @@ def test_pii_beside_other_digits_and_capitals():
     assert pii.pseudonyms(f"{card}.5", key) == (f"{card}.5", {})
 
 
+def test_long_values_leave_no_place_unchanged():
+    """No position of a long value survives more often than chance has it."""
+    draw = random.Random(1)
+    for make, chance in (
+        (lambda: "".join(draw.choice("0123456789abcdef") for _ in range(128)), 1 / 16),
+        (lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(64)) + "@a.org", 1 / 26),
+    ):
+        same = np.zeros(128)
+        for _ in range(1000):
+            value = make()
+            new, counts = pii.pseudonyms(value, b"k")
+            assert sum(counts.values()) == 1
+            same += [a == b for a, b in zip(value.split("@")[0].ljust(128), new.split("@")[0].ljust(128, "-"), strict=True)]
+        assert same.max() < 1000 * chance + 6 * (1000 * chance) ** 0.5
+
+
+def test_dates_stay_apart_and_linked_across_notations():
+    key, days = b"k", [pii.FIRST_DAY.fromordinal(pii.FIRST_DAY.toordinal() + 7 * i) for i in range(5000)]
+    seen = {}
+    for d in days:
+        forms = [f"{d:%Y-%m-%d}", f"{d:%d/%m/%Y}"] + ([f"{d:%m/%d/%Y}"] if d.day > 12 else [])
+        out = [pii.pseudonyms(x, key)[0] for x in forms]
+        new = {(x[:4], x[5:7], x[8:]) if "-" in x else (x[6:], x[3:5], x[:2]) for x in out[:2]} | {(x[6:], x[:2], x[3:5]) for x in out[2:]}
+        assert len(new) == 1
+        assert seen.setdefault(new.pop(), d) == d
+
+
+def test_pseudonyms_can_be_put_back(docs_of, odd):
+    """An exact round trip over whole texts; what is no personal data stays."""
+    draw = random.Random(4)
+    digits = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = "4" + digits(14)
+        return body + pii._luhn_digit(body)
+
+    makers = [
+        card, lambda: f"user{digits(3)}@mail{digits(2)}.example.org", lambda: f"20{digits(2)}-0{draw.randint(1, 9)}-1{draw.randint(0, 9)}", lambda: f"10.{draw.randint(0, 255)}.3.{draw.randint(0, 255)}",
+        lambda: f"+1 (2{digits(2)}) 555-{digits(4)}", lambda: f"12{draw.randint(1, 9)}-45-{draw.randint(1000, 9999)}", lambda: "".join(draw.choice("0123456789abcdef") for _ in range(40)),
+    ]
+    rows, values = [], {}
+    for i in range(100):
+        found = [draw.choice(makers)() for _ in range(5)]
+        values[100 + i] = found
+        rows.append((100 + i, " ; ".join(f"{sentence(draw, 4, ['some', 'plain', 'words', 'here'])} {x}" for x in found)))
+    df = docs_of([*rows, *odd])
+    there = pii.pseudonymise(df, "k", counts_col="found").collect()
+    text = dict(rows)
+    for r in there:
+        if r["doc_id"] in values:
+            parts = [x.rsplit(" ", 1) if "(" not in x else [x.split(" +")[0], "+" + x.split(" +")[1]] for x in r["text"].split(" ; ")]
+            plain = [x[: len(x) - len(v) - 1] for x, v in zip(text[r["doc_id"]].split(" ; "), values[r["doc_id"]], strict=True)]
+            assert sum(r["found"].values()) == 5 and [p for p, _ in parts] == plain
+            for (_, new), old in zip(parts, values[r["doc_id"]], strict=True):
+                assert new != old and len(new.split(".")) == len(old.split(".")) and re.sub("[0-9a-f]", "x", new.lower()).count("x") >= 4
+                assert new == pii.pseudonyms(old, b"k")[0]
+    back = pii.pseudonymise(pii.pseudonymise(df, "k"), "k", back=True).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in back) == sorted((str(i), str(t)) for i, t in [*rows, *odd])
+
+
 def test_pii_table(docs_of, odd):
     rows = [(30, "call +1 (743) 555-3824"), (31, "or +1 (743) 555-3824 now"), *odd]
     df = docs_of(rows)
