@@ -183,6 +183,15 @@ def _labelled(texts: pa.Array, model: Model, penalty: float) -> tuple[Words, np.
     return words, viterbi(score[words.codes], words.offsets, penalty), lettered[words.codes]
 
 
+def _voted(words: Words, path: np.ndarray, lettered: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: has it a language; the one of most of its lettered words; its share of them."""
+    n, k = len(words.lengths), max(1, len(model.langs))
+    row = np.repeat(np.arange(n), words.lengths)
+    votes = np.bincount(row[lettered] * k + path[lettered], minlength=n * k).reshape(n, k)
+    total = votes.sum(axis=1)
+    return total > 0, votes.argmax(axis=1), np.where(total > 0, votes.max(axis=1) / np.maximum(total, 1), 0.0)
+
+
 def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0) -> DataFrame:
     """(doc_id, lang_pred, score, spans) per input row.
 
@@ -198,15 +207,11 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             words, path, lettered = _labelled(part.column("text"), model, penalty)
-            n, k = part.num_rows, max(1, len(model.langs))
+            n = part.num_rows
             row = np.repeat(np.arange(n), words.lengths)
-            votes = np.bincount(row[lettered] * k + path[lettered], minlength=n * k).reshape(n, k)
-            total = votes.sum(axis=1)
-            best = votes.argmax(axis=1)
-            some = total > 0
+            some, best, score = _voted(words, path, lettered, model)
             names = np.array([*model.langs, UNKNOWN], dtype=object)
             pred = names[np.where(some, best, len(model.langs))]
-            score = np.where(some, votes.max(axis=1) / np.maximum(total, 1), 0.0)
             new = np.ones(len(path), dtype=bool)
             new[1:] = (path[1:] != path[:-1]) | (row[1:] != row[:-1])
             at = np.flatnonzero(new & some[row]) if len(row) else np.zeros(0, int)
@@ -226,18 +231,19 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def filter_known(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 12.0) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has letters of a learned language.
+def filter_known(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 12.0, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that have a language: ``label`` gives them
+    one, with a score of ``least`` or more.
 
-    The label is taken beside the row in one pass, so nothing is joined or
-    shuffled.  Under a model that learned no language every row goes.
+    Texts without letters go, and so do those whose spans are of several
+    languages none of which has that share of the lettered words.  The label
+    is taken beside the row in one pass, so nothing is joined or shuffled.
+    Under a model that learned no language every row goes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
-            words, _, lettered = _labelled(part.column(text_col), model, penalty)
-            row = np.repeat(np.arange(part.num_rows), words.lengths)
-            known = np.bincount(row[lettered], minlength=part.num_rows) > 0
-            yield part.filter(pa.array(known))
+            some, _, score = _voted(*_labelled(part.column(text_col), model, penalty), model)
+            yield part.filter(pa.array(some & (score >= least)))
 
     return docs.mapInArrow(run, docs.schema)
