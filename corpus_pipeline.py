@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over documents, each written and read again.
 
-language ID drops texts without any letters; SimHash keeps one document of
+language ID drops texts without a language of most of their words; SimHash keeps one document of
 each group of near copies; decontamination drops documents that hold benchmark
 items; PII rewrites texts; SentencePiece encodes, decodes and reports.
 """
@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from gapwright.llm import decontam, langid, pieces, pii, simhash
 from gapwright.llm.common import written
 
+#: Rows of an Arrow batch while a stage is written: bounds what Python workers hold of whole texts.
+BATCH_ROWS = 1000
 #: The key of the registered run; a deployment sets its own.
 PII_KEY = "corpus-pipeline"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps every row whose text has a language; ``und`` (null, empty, no letters) goes."""
+    """Keeps every row whose Viterbi labels give one language to half of its lettered
+    words or more; ``und`` (null, empty, no letters) and mixtures without one go."""
     found = langid.filter_known(docs, langid.train(docs))
     return found.select(*docs.columns)
 
@@ -64,5 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to documents, writing what each but the last keeps."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name, BATCH_ROWS)
     return STAGES[-1][1](spark, docs, sf_dir)
