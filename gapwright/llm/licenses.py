@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,47 +13,19 @@ from pyspark.sql import DataFrame
 
 from gapwright.llm.common import bare_words, hash_words, slices, split_words
 from gapwright.llm.decontam import karp_rabin
+from gapwright.llm.license_texts import TEMPLATES
 
 #: Words of a fingerprint, and fingerprints of a winnowing window.
 GRAM, WINNOW = 3, 2
 #: Share of a template's words that must match.
 COVERAGE = 0.8
+#: Share of a longer template's fingerprints that must hit within its band.
+SHARE = 1 / 8
 #: The index is sent to every worker: templates beyond this size are refused.
 MAX_TEMPLATE_BYTES = 16 << 20
 
-#: Short public notices by which licenses are known.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    (
-        "Apache-2.0-header",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
-        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
-        "See the License for the specific language governing permissions and limitations under the License.",
-    ),
-    ("MIT", "Released under the MIT License."),
-    (
-        "MIT-text",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
-        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
-        "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "GPL-3.0-header",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope "
-        "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-    ),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    (
-        "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    ),
-]
+#: Templates of fewer words are looked up by single words, so that none within the coverage is missed.
+SHORT = 16
 
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -68,6 +41,7 @@ class Match:
     matched: int
     first: int
     end: int
+    agreed: set[int]
 
 
 def align(template: list[int], text: list[int], diagonal: int, band: int) -> Match:
@@ -75,7 +49,7 @@ def align(template: list[int], text: list[int], diagonal: int, band: int) -> Mat
 
     Agreement +2, any other pair -1, a gap -1; text before and after is free.
     Ties prefer pairs, then gaps in the text.  Returns agreeing words and the
-    text span from the first to the last of them.
+    text span from the first to the last of them, and which of the template's words they are.
     """
     n, m, width = len(template), len(text), 2 * band + 1
     low = -(10**9)
@@ -98,56 +72,90 @@ def align(template: list[int], text: list[int], diagonal: int, band: int) -> Mat
         moves.append(move)
         before = row
     k = max(range(width), key=lambda x: before[x])
-    i, matched, first, end = n, 0, 0, 0
+    i, first, end = n, 0, 0
+    agreed: set[int] = set()
     while i and moves[i - 1][k]:
         how, j = moves[i - 1][k], i + diagonal - band + k
         if how == 1:
             if template[i - 1] == text[j - 1]:
-                matched, first, end = matched + 1, j - 1, max(end, j)
+                first, end = j - 1, max(end, j)
+                agreed.add(i - 1)
             i -= 1
         elif how == 2:
             i, k = i - 1, k + 1
         else:
             k -= 1
-    return Match(matched, first, end)
+    return Match(len(agreed), first, end, agreed)
 
 
 class Index:
-    """Templates, and where each winnowed fingerprint stands in them."""
+    """Templates, and where each of their fingerprints stands in them.
 
-    def __init__(self, templates: list[tuple[str, str]]):
-        self.ids, self.tokens, self.prints = [], [], []
+    Of a template of n words up to n - ceil(coverage n) may be missing, so one
+    of any larger number of its words is there: a short template's fingerprints
+    are that many of its words, those that the fewest templates hold.  Longer
+    ones have winnowed ones of ``GRAM`` words.  Words of a short template that
+    name its license (those with a digit, or of capitals only) must match.
+    """
+
+    def __init__(self, templates: list[tuple[str, str]], coverage: float = COVERAGE):
+        self.ids, self.tokens, self.prints, self.musts, self.short = [], [], [], [], []
         found: dict[int, list[tuple[int, int]]] = {}
-        for k, (name, text) in enumerate(sorted(templates)):
+        single: dict[int, list[tuple[int, int]]] = {}
+        split = []
+        for name, text in sorted(templates):
             words = split_words(pa.array([text]))
-            tokens = hash_words(bare_words(words.vocab))[words.codes]
-            gram = karp_rabin(tokens, min(GRAM, max(1, len(tokens))))
-            chosen = winnow(gram, WINNOW) if len(tokens) >= GRAM else np.zeros(0, int)
+            vocab = words.vocab.to_pylist()
+            split.append((name, [vocab[c] for c in words.codes.tolist()], hash_words(bare_words(words.vocab))[words.codes] if len(words.codes) else np.zeros(0, np.uint64)))
+        common: dict[int, int] = {}
+        for _, _, tokens in split:
+            for t in set(tokens.tolist()):
+                common[t] = common.get(t, 0) + 1
+        for k, (name, plain, tokens) in enumerate(split):
+            n = len(tokens)
             self.ids.append(name)
             self.tokens.append(tokens.tolist())
-            self.prints.append(len(chosen))
+            self.short.append(n < SHORT)
+            if n < SHORT:
+                spare = n - math.ceil(coverage * n)
+                order = sorted(range(n), key=lambda p: (common[int(tokens[p])], -len(plain[p]), p))
+                for p in order[: spare + 1]:
+                    single.setdefault(int(tokens[p]), []).append((k, p))
+                self.prints.append(1)
+                self.musts.append([p for p, w in enumerate(plain) if any(c.isdigit() for c in w) or sum(c.isupper() for c in w) >= max(2, sum(c.isalpha() for c in w))])
+                continue
+            gram = karp_rabin(tokens, GRAM)
+            chosen = winnow(gram, WINNOW)
+            self.prints.append(max(1, math.ceil(len(chosen) * SHARE)))
+            self.musts.append([])
             for p in chosen.tolist():
                 found.setdefault(int(gram[p]), []).append((k, p))
-        self.places = found
-        self.hashes = np.array(sorted(found), dtype=np.uint64)
+        self.places, self.single = found, single
+        self.hashes, self.words = np.array(sorted(found), dtype=np.uint64), np.array(sorted(single), dtype=np.uint64)
 
 
 def _candidates(hits: list[tuple[int, int, int]], index: Index) -> Iterator[tuple[int, int, int]]:
     """(template, diagonal, band) for hits (template, text place, template place) that lie
-    close together and hold a fifth of the template's fingerprints."""
+    close together and are enough of the template's fingerprints."""
     by_template: dict[int, list[tuple[int, int]]] = {}
     for k, t, p in hits:
         by_template.setdefault(k, []).append((t - p, p))
     for k, places in by_template.items():
         band = max(4, len(index.tokens[k]) // 10)
         places.sort()
-        group: list[tuple[int, int]] = []
-        for x in [*places, (math.inf, 0)]:
-            if group and x[0] - group[0][0] > band:
-                if len({p for _, p in group}) >= max(1, math.ceil(index.prints[k] / 5)):
-                    yield k, group[len(group) // 2][0], band
-                group = []
-            group.append(x)
+        start, end = 0, 0
+        while start < len(places):
+            while end < len(places) and places[end][0] <= places[start][0] + band:
+                end += 1
+            group = places[start:end]
+            if index.short[k]:
+                yield from ((k, d, band) for d in sorted({d for d, _ in group}))
+            elif len({p for _, p in group}) >= index.prints[k]:
+                yield k, group[len(group) // 2][0], band
+            # groups overlap by half, so that none is cut in two; those of a short template are taken whole
+            half = places[start][0] + (band if index.short[k] else band // 2)
+            while start < len(places) and (places[start][0] <= half or end == len(places)):
+                start += 1
 
 
 def find(text: np.ndarray, hits: list[tuple[int, int, int]], index: Index, coverage: float) -> list[tuple[int, float, int, int, int]]:
@@ -156,20 +164,26 @@ def find(text: np.ndarray, hits: list[tuple[int, int, int]], index: Index, cover
     Better is: more of the template's words matched, then the higher coverage,
     then the first template by name.
     """
-    found = []
+    found = set()
     for k, diagonal, band in _candidates(hits, index):
         template = index.tokens[k]
         begin = max(0, diagonal - band)
         part = text[begin : max(0, diagonal + len(template) + band)].tolist()
+        if len(set(template).intersection(part)) < len(set(template)) - (1 - coverage) * len(template) - 1e-9:
+            continue  # too few of its words are there at all
         m = align(template, part, diagonal - begin, band)
-        if m.matched >= coverage * len(template):
-            found.append((k, m.matched / len(template), m.matched, m.first + begin, m.end + begin))
-    found.sort(key=lambda x: (-x[2], -x[1], x[0], x[3]))
+        if m.matched >= coverage * len(template) and m.agreed.issuperset(index.musts[k]):
+            found.add((k, m.matched / len(template), m.matched, m.first + begin, m.end + begin))
     taken: list[tuple[int, float, int, int, int]] = []
-    for x in found:
-        if all(x[4] <= y[3] or y[4] <= x[3] for y in taken):
-            taken.append(x)
-    return sorted(taken, key=lambda x: x[3])
+    starts: list[int] = []
+    for x in sorted(found, key=lambda x: (-x[2], -x[1], x[0], x[3])):
+        # matches taken so far do not overlap, so only the neighbours can
+        at = bisect.bisect_right(starts, x[3])
+        if (at and taken[at - 1][4] > x[3]) or (at < len(taken) and taken[at][3] < x[4]):
+            continue
+        starts.insert(at, x[3])
+        taken.insert(at, x)
+    return taken
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,35 +193,42 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage
     stands for one notice in one input row; overlapping matches give only the
     best.  Null and empty texts match nothing, null ids are returned as they
     are, repeated rows give repeated results, and other columns are not looked
-    at.  Templates of fewer than three words have no fingerprint and never
-    match.
+    at.  A template without words matches nothing.
+
+    Templates of fewer than ``SHORT`` words miss no match whose words lie
+    within ``band`` of one diagonal; a longer one is found if an eighth of its
+    winnowed fingerprints are there, which at the least coverage holds for
+    nearly all (the tests measure it).
     """
     if sum(len(t.encode()) for _, t in templates) > MAX_TEMPLATE_BYTES:
         raise ValueError("too many templates to send to every worker; scan in several calls")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates)
-        if not len(index.hashes):
-            return
+        index = Index(templates, coverage)
         for part in slices(batches, "text"):
             words = split_words(part.column("text"))
-            if len(words.codes) < GRAM:
+            if not len(words.codes):
                 continue
-            tokens = hash_words(bare_words(words.vocab))[words.codes]
+            hashed = hash_words(bare_words(words.vocab))
+            tokens = hashed[words.codes]
+            alone = np.flatnonzero(np.isin(hashed, index.words)[words.codes])
             grams = karp_rabin(tokens, GRAM)
-            at = np.minimum(np.searchsorted(index.hashes, grams), len(index.hashes) - 1)
-            hit = np.flatnonzero(index.hashes[at] == grams)
+            hit = np.flatnonzero(np.isin(grams, index.hashes))
             row = np.searchsorted(words.offsets, hit, side="right") - 1
-            inside = hit + GRAM <= words.offsets[row + 1]
-            hit, row = hit[inside], row[inside]
-            cuts = np.flatnonzero(np.diff(row)) + 1
+            hit = hit[hit + GRAM <= words.offsets[row + 1]]
+            found = np.concatenate([hit, alone])
+            row = np.searchsorted(words.offsets, found, side="right") - 1
+            by_gram = np.arange(len(found)) < len(hit)
+            order = np.argsort(row, kind="stable")
             out = []
-            for group in np.split(hit, cuts) if len(hit) else []:
-                r = int(np.searchsorted(words.offsets, group[0], side="right") - 1)
+            for group in np.split(order, np.flatnonzero(np.diff(row[order])) + 1) if len(order) else []:
+                r = int(row[group[0]])
                 begin = int(words.offsets[r])
                 text = tokens[begin : int(words.offsets[r + 1])]
-                hits = [(k, g - begin, p) for g in group.tolist() for k, p in index.places[int(grams[g])]]
+                hits = []
+                for g, gram in zip(found[group].tolist(), by_gram[group].tolist(), strict=True):
+                    hits.extend((k, g - begin, p) for k, p in (index.places[int(grams[g])] if gram else index.single[int(tokens[g])]))
                 out.extend((r, index.ids[k], share, n, a, b) for k, share, n, a, b in find(text, hits, index, coverage))
             if out:
                 rows, names, share, n, first, end = zip(*out, strict=True)

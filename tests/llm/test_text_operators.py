@@ -158,7 +158,7 @@ def test_empty_tables(docs_of, spark):
 
 def test_licenses(docs_of, odd):
     mit = dict(licenses.TEMPLATES)["MIT-text"].split()
-    changed = [*mit[:30], "inserted", *mit[30:60], *mit[62:]]
+    changed = [*mit[:30], "inserted", *mit[30:60], *mit[62:]]  # two words less
     rows = [(20, "x y z Released under the MIT license! more"), (21, "before " + " ".join(changed) + " after"), (22, "Released under the sun"),
             (23, "Licensed under CC BY-NC 4.0. and again licensed under cc by-nc 4.0"), *odd]
     got = licenses.scan(docs_of(rows)).collect()
@@ -194,6 +194,68 @@ def test_alignment_against_full_table():
         assert 0 <= m.first <= m.end <= len(x)
 
 
+def plain_coverage(template, text):
+    """Agreeing words of the best alignment of the whole template anywhere in the text, any band."""
+    n, m = len(template), len(text)
+    score = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
+    for a in range(1, n + 1):
+        for b in range(m + 1):
+            options = [(score[a - 1][b][0] - 1, score[a - 1][b][1])]
+            if b:
+                same = template[a - 1] == text[b - 1]
+                options += [(score[a - 1][b - 1][0] + (2 if same else -1), score[a - 1][b - 1][1] + same), (score[a][b - 1][0] - 1, score[a][b - 1][1])]
+            score[a][b] = max(options)
+    return max(score[n])[1]
+
+
+def test_licenses_against_brute_force(docs_of):
+    """Notices changed up to the least coverage: short ones are all found, long ones nearly all."""
+    draw = random.Random(2)
+    index = licenses.Index(licenses.TEMPLATES)
+    rows, want = [], {}
+    for name, text in licenses.TEMPLATES:
+        words, k = text.split(), index.ids.index(name)
+        musts = set(index.musts[k])
+        for _ in range(25):
+            n = len(words)
+            free = [p for p in range(n) if p not in musts]
+            gone = set(draw.sample(free, min(len(free), draw.randint(0, n - -(-4 * n // 5)))))
+            new = [("zq1" if draw.random() < 0.5 else None) if p in gone else w for p, w in enumerate(words)]
+            new = [w for w in new if w is not None]
+            new.insert(draw.randrange(1, len(new)), "zq2")
+            i = len(rows)
+            rows.append((i, " ".join([sentence(draw, 6), *new, sentence(draw, 6)])))
+            want[i] = (name, plain_coverage(plain_words(text), plain_words(rows[i][1])), index.short[k], n)
+    found = {}
+    for r in licenses.scan(docs_of(rows)).collect():
+        found.setdefault(r["doc_id"], []).append((r["template"], r["matched"]))
+    long_ = [(i, w) for i, w in want.items() if not w[2]]
+    for i, (name, matched, short, n) in want.items():
+        if short and matched >= 0.8 * n:
+            # the notice itself, or one that agrees in as many words
+            assert any(t == name or m >= matched for t, m in found.get(i, [])), (name, rows[i])
+    caught = [any(t == name or m >= matched for t, m in found.get(i, [])) for i, (name, matched, _, n) in long_ if matched >= 0.8 * n]
+    assert len(caught) > 300 and sum(caught) >= 0.98 * len(caught)
+    for i, t in ((0, "Released under the new MIT License."), (1, "This work is licensed under the GNU General Public License, version 2.")):
+        assert [r["template"] for r in licenses.scan(docs_of([(i, t)])).collect()] == [["MIT", "GPL-2.0"][i]]
+    assert licenses.scan(docs_of([(0, "Released under the XYZ License. Released under the sun by me.")])).count() == 0
+
+
+def test_sibling_licenses_are_told_apart(docs_of):
+    texts = dict(licenses.TEMPLATES)
+    names = [n for n in texts if n.endswith(("-text", "-header", "-id")) or n.startswith(("CC", "GPL", "LGPL", "AGPL", "BSD"))]
+    got = {r["doc_id"]: (r["template"], r["coverage"]) for r in licenses.scan(docs_of([(i, f"intro {texts[n]} end") for i, n in enumerate(names)])).collect()}
+    assert got == {i: (n, 1.0) for i, n in enumerate(names)}
+
+
+def test_ten_thousand_notices_in_one_text(docs_of):
+    import time
+
+    start = time.time()
+    assert licenses.scan(docs_of([(1, "Released under the MIT License. " * 10_000)], 1)).count() == 10_000
+    assert time.time() - start < 30
+
+
 def test_winnow_keeps_one_in_every_window():
     h = np.random.default_rng(0).integers(0, 50, 200).astype(np.uint64)
     places = licenses.winnow(h, 4)
