@@ -20,6 +20,8 @@ from gapwright.llm.common import slices
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose segmentations a worker remembers.
 MEMORY = 300_000
+#: Bits of a cost that count pieces.
+COUNT_BITS = 32
 #: A vocabulary beyond this many pieces is not sent to the workers.
 MAX_PIECES = 2_000_000
 
@@ -28,7 +30,7 @@ MAX_PIECES = 2_000_000
 class Vocabulary:
     """Pieces (spaces as spaces) with id and cost; byte pieces; bytes of each id.
 
-    A cost is the negative score in thousandths, shifted, plus one a piece: sums
+    A cost is the negative score times ``scale``, shifted, plus one a piece: sums
     are exact, and equal scores go to fewer pieces.
     """
 
@@ -36,6 +38,7 @@ class Vocabulary:
     byte_ids: list[int]
     text_of: list[bytes]
     unknown_cost: int
+    scale: int = 1000
     prefixes: dict[str, tuple[int, int] | None] = field(init=False)
     cutter: re.Pattern = field(init=False)
 
@@ -57,6 +60,9 @@ def load(path: str = MODEL_PATH) -> Vocabulary:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     scores = [model.get_score(i) for i in range(model.get_piece_size())]
+    # as fine as the costs of the longest words that are solved side by side fit 64 bits
+    most = max(1.0, *map(abs, scores)) + 10
+    scale = next(s for s in (10**6, 10**5, 10**4, 10**3, 100, 10, 1) if s == 1 or most * s * SideBySide.LONGEST < 1 << 62 - COUNT_BITS)
     cost, text_of = {}, []
     byte_ids = [-1] * 256
     for i in range(model.get_piece_size()):
@@ -68,20 +74,20 @@ def load(path: str = MODEL_PATH) -> Vocabulary:
             text_of.append(b"")
         else:
             plain = piece.replace("▁", " ")
-            cost[plain] = (i, _cost(scores[i]))
+            cost[plain] = (i, _cost(scores[i], scale))
             text_of.append(plain.encode())
     if -1 in byte_ids:
         raise ValueError("the model has no byte pieces, so it cannot give every text back")
-    return Vocabulary(cost, byte_ids, text_of, _cost(min(scores) - 10))
+    return Vocabulary(cost, byte_ids, text_of, _cost(min(scores) - 10, scale), scale)
 
 
-def _cost(score: float) -> int:
-    return (round(-score * 1000) << 16) + 1
+def _cost(score: float, scale: int) -> int:
+    return (round(-score * scale) << COUNT_BITS) + 1
 
 
-def score_of(cost: int) -> float:
+def score_of(cost: int, v: Vocabulary) -> float:
     """The score of a path from its cost."""
-    return -(cost >> 16) / 1000
+    return -(cost >> COUNT_BITS) / v.scale
 
 
 Edge = tuple[int, int, tuple[int, ...] | int, int]
@@ -150,31 +156,26 @@ def _spelt(tail: tuple | None) -> tuple[int, ...]:
 def best_and_gap(text: str, v: Vocabulary) -> tuple[int, tuple[int, ...], int]:
     """Cost and ids of the best segmentation, and what the second best costs more (-1: there is none).
 
-    The backward search led by exact forward costs never leaves a best path, so
-    it needs no queue here.  A second path has an edge off the first; the
-    cheapest way through any such edge is the second best.
+    The backward A* search with exact forward costs as its rest, until the first
+    path is out: of the edges into a place on it one keeps the total (of
+    several, the furthest on leaves the queue first), so each is expanded right
+    away.  The second best is then the least total left in the queue.
     """
     edges, best = forward(text, v)
-    n = len(text)
-    back = [1 << 200] * n + [0]
-    step: list[Edge | None] = [None] * n
-    for edge in reversed(edges):
-        s, e, _, c = edge
-        if c + back[e] < back[s]:
-            back[s] = c + back[e]
-            step[s] = edge
-    ids: list[int] = []
-    at, on = 0, set()
-    while at < n:
-        edge = step[at]
-        on.add(edge[:2])
-        if type(edge[2]) is tuple:
-            ids.extend(edge[2])
-        else:
-            ids.append(edge[2])
-        at = edge[1]
-    other = min([best[s] + c + back[e] for s, e, _, c in edges if (s, e) not in on], default=-1)
-    return best[n], tuple(ids), other - best[n] if other >= 0 else -1
+    ends: list[list[Edge]] = [[] for _ in best]
+    for edge in edges:
+        ends[edge[1]].append(edge)
+    at, tail, queued = len(text), None, -1
+    while at:
+        onward = None
+        for s, _, piece, c in ends[at]:
+            extra = best[s] + c - best[at]
+            if not extra and onward is None:
+                onward = (s, (piece, tail))
+            elif queued < 0 or extra < queued:
+                queued = extra
+        at, tail = onward
+    return best[-1], _spelt(tail), queued
 
 
 def combine(parts: list[list[int]], n: int) -> list[tuple[int, list[int]]]:
@@ -274,27 +275,26 @@ class SideBySide:
                 more = size[at] > e
                 at, node = at[more], node[more]
                 node = self.next[node, grid[at, e]]
-        back = np.full((m, longest + 1), far)
-        back[np.arange(m), size] = 0
-        to = np.zeros((m, longest + 1), dtype=np.int8)
-        by = np.zeros((m, longest + 1), dtype=np.int32)
-        for s, e, i, c, node in reversed(edges):
-            through = c + back[i, e]
-            better = through < back[i, s]
-            j = i[better]
-            back[j, s], to[j, s], by[j, s] = through[better], e, self.id[node[better]]
-        seen = np.zeros((m, longest + 1), dtype=bool)
-        at, rows = np.zeros(m, dtype=np.int64), np.arange(m)
-        while len(rows):
-            seen[rows, at[rows]] = True
-            at[rows] = to[rows, at[rows]]
-            rows = rows[at[rows] < size[rows]]
-        other = np.full(m, far)
-        for s, e, i, c, _ in edges:
-            off = ~(seen[i, s] & (to[i, s] == e))
-            i = i[off]
-            other[i] = np.minimum(other[i], best[i, s] + c[off] + back[i, e])
-        return back[:, 0], np.where(other < far, other - back[:, 0], -1), by[seen], seen.sum(axis=1)
+        # backward, as in best_and_gap: the place of every word on its path moves on from end to end
+        ends: list[list[tuple]] = [[] for _ in range(longest + 1)]
+        for s, e, i, c, node in edges:
+            ends[e].append((s, i, c, node))
+        at, other = size.copy(), np.full(m, far)
+        by, seen = np.zeros((m, longest + 1), dtype=np.int32), np.zeros((m, longest + 1), dtype=bool)
+        for e in range(longest, 0, -1):
+            here = at == e
+            seen[:, e] = here
+            done = ~here
+            for s, i, c, node in ends[e]:
+                on = here[i]
+                i, c, node = i[on], c[on], node[on]
+                extra = best[i, s] + c - best[i, e]
+                onward = (extra == 0) & ~done[i]
+                j = i[onward]
+                done[j], at[j], by[j, e] = True, s, self.id[node[onward]]
+                j = i[~onward]
+                other[j] = np.minimum(other[j], extra[~onward])
+        return best[np.arange(m), size], np.where(other < far, other, -1), by[seen], seen.sum(axis=1)
 
 
 class Segmenter:
@@ -312,6 +312,7 @@ class Segmenter:
         self.spelt: list[bytes] = []
         self.cost: list[int] = []
         self.gap: list[int] = []
+        self.searched: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
 
     def _learn(self, text: str, cost: int, gap: int, ids: bytes) -> None:
         self.known[text] = len(self.texts)
@@ -348,14 +349,21 @@ class Segmenter:
             self._part(words[k])
         return parts
 
-    def best(self, found: list[str]) -> tuple[bytes, list[int], list[int]]:
-        """Of prepared parts: ids of the best segmentation (int32 bytes), the n best costs, and the parts' places."""
+    def ways(self, found: list[str]) -> list[tuple[int, bytes]]:
+        """Of prepared parts: the n best segmentations (cost, ids as int32 bytes), best first; all if fewer."""
         parts = list(map(self.known.__getitem__, found))
-        ids = b"".join(map(self.spelt.__getitem__, parts))
-        base = sum(map(self.cost.__getitem__, parts))
+        spelt = list(map(self.spelt.__getitem__, parts))
+        ids, base = b"".join(spelt), sum(map(self.cost.__getitem__, parts))
         if self.n == 1 or not parts:
-            return ids, [base], parts
-        return ids, [base + x for x, _ in self._others(parts)], parts
+            return [(base, ids)]
+        out = []
+        for extra, other in self._others(parts):
+            now, at = ids, 0
+            for k in sorted(other, reverse=True):
+                at = sum(map(len, spelt[:k]))
+                now = now[:at] + array("i", other[k]).tobytes() + now[at + len(spelt[k]) :]
+            out.append((base + extra, now))
+        return out
 
     def _others(self, parts: list[int]) -> list[tuple[int, dict[int, tuple[int, ...]]]]:
         """The n best ways beyond the best: (extra cost, other ids by part).
@@ -367,19 +375,18 @@ class Segmenter:
         few: list[int] = []
         for g in heapq.nsmallest(self.n - 1, gaps):
             few.append(gaps.index(g, few[-1] + 1 if few and gaps[few[-1]] == g else 0))
-        paths = [nbest(self.texts[parts[k]], self.n, self.v) for k in few]
+        paths = [self._paths(parts[k]) for k in few]
         values = [[c - p[0][0] for c, _ in p] for p in paths]
         return [(total, {few[j]: paths[j][x][1] for j, x in enumerate(chosen) if x}) for total, chosen in combine(values, self.n)]
 
+    def _paths(self, part: int) -> list[tuple[int, tuple[int, ...]]]:
+        if part not in self.searched:
+            self.searched[part] = nbest(self.texts[part], self.n, self.v)
+        return self.searched[part]
+
     def all(self, text: str) -> list[tuple[int, list[int]]]:
         """The n best segmentations (cost, ids) of a whole text; an empty text has one of no pieces."""
-        _, _, parts = self.best(self.prepare([text])[0])
-        base = sum(self.cost[i] for i in parts)
-        if not parts:
-            return [(0, [])]
-        ways = self._others(parts) if self.n > 1 else [(0, {})]
-        first = [array("i", self.spelt[i]).tolist() for i in parts]
-        return [(base + extra, [x for k, ids in enumerate(first) for x in other.get(k, ids)]) for extra, other in ways]
+        return [(cost, array("i", ids).tolist()) for cost, ids in self.ways(self.prepare([text])[0])]
 
 
 def decode(ids: list[int], v: Vocabulary) -> str:
@@ -413,7 +420,7 @@ def encode(docs: DataFrame, v: Vocabulary, n: int = 1, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = _segmenter(sent.value, n)
         for part in slices(batches, "text", 2 << 20):
-            out = [None if t is None else [{"score": score_of(c), "ids": ids} for c, ids in s.all(t)] for t in part.column("text").to_pylist()]
+            out = [None if t is None else [{"score": score_of(c, s.v), "ids": ids} for c, ids in s.all(t)] for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, struct)], ["doc_id", "segmentations"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -432,11 +439,12 @@ def decode_column(encoded: DataFrame, v: Vocabulary, ids_col: str = "ids", text_
 
 
 def digest(docs: DataFrame, v: Vocabulary, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_pieces, ids_sha256, scores, round_trip) of each whole text.
+    """(doc_id, n_pieces, ids_sha256, scores, round_trip, nbest_sha256) of each whole text.
 
-    scores are those of the n best segmentations; ids_sha256 is of the best
-    one's ids as little-endian int32; round_trip tells whether they decode to
-    the very text.  A null text counts as empty, with no pieces.
+    scores and nbest_sha256 are those of the n best segmentations, best first;
+    digests are of their ids as little-endian int32, ids_sha256 the best one's;
+    round_trip tells whether that decodes to the very text.  A null text counts
+    as empty, with no pieces.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(v)
@@ -447,16 +455,16 @@ def digest(docs: DataFrame, v: Vocabulary, n: int = 3, id_col: str = "doc_id", t
             count, sha, scores, same = [], [], [], []
             texts = part.column("text").to_pylist()
             for text, parts in zip(texts, s.prepare(texts), strict=True):
-                ids, costs, _ = s.best(parts)
-                found = np.frombuffer(ids, dtype="<i4")
+                ways = s.ways(parts)
+                found = np.frombuffer(ways[0][1], dtype="<i4")
                 count.append(len(found))
-                sha.append(hashlib.sha256(ids).hexdigest())
-                scores.append([score_of(c) for c in costs])
+                sha.append([hashlib.sha256(ids).hexdigest() for _, ids in ways])
+                scores.append([score_of(c, s.v) for c, _ in ways])
                 same.append(decode(found.tolist(), s.v) == (text or ""))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())],
-                ["doc_id", "n_pieces", "ids_sha256", "scores", "round_trip"],
+                [part.column("doc_id"), pa.array(count, pa.int64()), pa.array([x[0] for x in sha], pa.string()), pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_()), pa.array(sha, pa.list_(pa.string()))],
+                ["doc_id", "n_pieces", "ids_sha256", "scores", "round_trip", "nbest_sha256"],
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_pieces bigint, ids_sha256 string, scores array<double>, round_trip boolean")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_pieces bigint, ids_sha256 string, scores array<double>, round_trip boolean, nbest_sha256 array<string>")

@@ -1,3 +1,5 @@
+import hashlib
+import re
 import sys
 from pathlib import Path
 
@@ -7,7 +9,8 @@ sys.path.insert(0, str(Path(__file__).parents[2]))
 
 import corpus_pipeline as pipeline  # noqa: E402
 
-from gapwright.llm import decontam, langid, pieces, pii, simhash  # noqa: E402
+from gapwright.llm import langid  # noqa: E402
+from test_text_operators import plain_components, plain_contaminated, plain_scores, plain_simhash  # noqa: E402
 
 
 @pytest.fixture
@@ -20,39 +23,66 @@ def folder(spark, docs_of, odd, tmp_path):
     return str(tmp_path)
 
 
+def plain_permuted(text, tweak, key=b"corpus-pipeline"):
+    """Letters and digits of a text as one number, through eight Feistel rounds, until it is small enough."""
+    radix = [10 if c.isdigit() else 26 if c.isalpha() else 1 for c in text]
+    size, x = 1, 0
+    for c, r in zip(text.lower(), radix, strict=True):
+        size *= r
+        x = x * r + (0 if r == 1 else ord(c) - ord("0" if r == 10 else "a"))
+    if size == 1:
+        return text
+    bits = max(1, ((size - 1).bit_length() + 1) // 2)
+    wide = (bits + 7) // 8
+    while True:
+        a, b = divmod(x, 1 << bits)
+        for i in range(8):
+            h = hashlib.shake_256(bytes([len(key)]) + key + f"{tweak}|{size}|".encode() + bytes([i]) + b.to_bytes(wide, "big")).digest(wide)
+            a, b = b, a ^ int.from_bytes(h, "big") % (1 << bits)
+        x = (a << bits) + b
+        if x < size:
+            break
+    out = []
+    for c, r in zip(reversed(text), reversed(radix), strict=True):
+        x, d = divmod(x, r)
+        out.append(c if r == 1 else chr(ord("0" if r == 10 else "a") + d))
+    return "".join(reversed(out))
+
+
+def plain_pseudonyms(text):
+    return re.sub(r"(mail\d+)@(x)\.org", lambda m: f"{plain_permuted(m[1], 'local')}@{plain_permuted(m[2], 'host')}.org", text)
+
+
 def test_run_equals_plain_stages(spark, folder):
+    """No function of the library: regular expressions, all pairs, the model file."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     kept = [(i, t) for i, t in rows if t and any(c.isalpha() for c in t)]
-    prints = [simhash.simhash(t) for _, t in kept]
-    parent = list(range(len(kept)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(kept)):
-        for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 4:
-                parent[find(a)] = find(b)
     groups = {}
-    for k, (i, t) in enumerate(kept):
-        groups.setdefault(find(k), []).append((i is None, i or 0, t))
+    for row, root in zip(kept, plain_components([plain_simhash(t) for _, t in kept]), strict=True):
+        groups.setdefault(root, []).append((row[0] is None, row[0] or 0, row[1]))
     firsts = [(None if none else i, t) for none, i, t in (min(g) for g in groups.values())]
-    item = decontam.Index([1], ["item words here are these ones"], decontam.TILE)
-    clean = [(i, t) for i, t in firsts if "item words here are these ones" not in t]
-    assert len(clean) == len(firsts) - 1 and item.ids == [1]
-    segmenter = pieces.Segmenter(pieces.load(), 3)
+    clean = [(i, t) for i, t in firsts if not plain_contaminated([(i, t)], [(1, "item words here are these ones")])]
+    assert len(clean) == len(firsts) - 1
     want = []
     for i, t in clean:
-        new, _ = pii.pseudonyms(t, pipeline.PII_KEY.encode())
-        ids, costs, _ = segmenter.best(segmenter.prepare([new])[0])
-        want.append((str(i), len(ids) // 4, [pieces.score_of(c) for c in costs], True))
-    got = sorted((str(r["doc_id"]), r["n_pieces"], r["scores"], r["round_trip"]) for r in pipeline.run(spark, folder).collect())
+        new = plain_pseudonyms(t)
+        assert (new != t) == ("@" in t)
+        scores, n = plain_scores(new, 3)
+        want.append((str(i), [round(x, 3) for x in scores], True))
+    got = sorted((str(r["doc_id"]), [round(x, 3) for x in r["scores"]], r["round_trip"]) for r in pipeline.run(spark, folder).collect())
     assert got == sorted(want)
 
 
+def test_mixed_texts_without_a_main_language_go(spark, docs_of):
+    words = {"aa": "kuma tole riva sand", "bb": "хата небо зима мова", "cc": "μέρα νύχτα θάλασσα γη"}
+    rows = [(i, " ".join([w] * 10), lang) for i, (lang, w) in enumerate(list(words.items()) * 8)]
+    rows += [(900, " ".join(words.values()), None), (901, words["aa"] + " " + words["aa"] + " хата", None), (902, "12 34", None), (903, None, None)]
+    docs = docs_of(rows)
+    kept = {r["doc_id"] for r in pipeline.language(spark, docs, "").collect()}
+    assert kept == {i for i, *_ in rows} - {900, 902, 903}
+
+
 def test_stages_keep_the_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert 4 <= len(pipeline.STAGES) <= 5

@@ -680,7 +680,7 @@ def test_segmentations_of_whole_texts(vocabulary, text):
     s = pieces.Segmenter(vocabulary, 4)
     got = s.all(text)
     assert all(pieces.decode(ids, vocabulary) == text for _, ids in got)
-    assert [c for c, _ in got] == s.best(s.prepare([text])[0])[1]
+    assert len({tuple(ids) for _, ids in got}) == len(got)
     if text and len(text) < 9:
         assert [c for c, _ in got] == [c for c, _ in plain_paths(" " + text, vocabulary)[:4]]
 
@@ -694,7 +694,51 @@ def test_words_side_by_side_equal_single_ones(vocabulary):
         cost, ids, gap = pieces.best_and_gap(w, vocabulary)
         k = s.known[w]
         assert s.cost[k] == cost and (s.gap[k] == gap or (gap < 0 and s.gap[k] == 1 << 200))
-        assert sum(1 for _ in np.frombuffer(s.spelt[k], dtype="<i4")) == len(ids)
+        assert tuple(np.frombuffer(s.spelt[k], dtype="<i4").tolist()) == ids == pieces.nbest(w, 1, vocabulary)[0][1]
+
+
+def plain_scores(text, n, path=pieces.MODEL_PATH):
+    """The n best scores of a text and the pieces of its best one, from the model file alone."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    score, least = {}, 0.0
+    for i in range(model.get_piece_size()):
+        least = min(least, model.get_score(i))
+        if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+            score[model.id_to_piece(i).replace("▁", " ")] = model.get_score(i)
+    longest = max(map(len, score))
+    text = " " + text if text else ""
+    best = [[(0.0, 0)]]
+    for e in range(1, len(text) + 1):
+        found = []
+        for s in range(max(0, e - longest), e):
+            if text[s:e] in score:
+                found += [(x - score[text[s:e]], k + 1) for x, k in best[s]]
+            elif e == s + 1:
+                found += [(x - least + 10, k + len(text[s].encode())) for x, k in best[s]]
+        best.append(sorted(found)[:n])
+    return [-x for x, _ in best[-1]], best[-1][0][1]
+
+
+def test_digest_against_the_model_file(docs_of, vocabulary):
+    draw = random.Random(6)
+    letters = "etaoin shrdlu\n éß漢☃9.,"
+    rows = [(i, "".join(draw.choice(letters) for _ in range(draw.randint(0, 80)))) for i in range(25)] + [(90, None), (91, "")]
+    for r in pieces.digest(docs_of(rows), vocabulary).collect():
+        scores, n = plain_scores(dict(rows)[r["doc_id"]] or "", 3)
+        assert r["scores"] == pytest.approx(scores) and r["round_trip"] and r["nbest_sha256"][0] == r["ids_sha256"]
+        assert len(set(r["nbest_sha256"])) == len(r["scores"]) and (r["n_pieces"] == n or len(scores) > 1 and scores[0] == scores[1])
+
+
+def test_very_many_pieces_without_a_space(vocabulary):
+    s = pieces.Segmenter(vocabulary, 2)
+    text = "é☃" * 40_000
+    cost, ids = s.ways(s.prepare([text])[0])[0]
+    assert len(ids) // 4 > 65_536 and pieces.decode(np.frombuffer(ids, "<i4").tolist(), vocabulary) == text
+    one = pieces.Segmenter(vocabulary, 1)
+    part = one.ways(one.prepare(["é☃" * 400])[0])[0][0]
+    assert abs(pieces.score_of(cost, vocabulary) / pieces.score_of(part, vocabulary) - 100) < 0.5
 
 
 def test_pieces_table(docs_of, vocabulary, odd):
