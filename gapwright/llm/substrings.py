@@ -7,13 +7,14 @@ also carries the words that decide that it stands there at all.  If these lie
 within a window, every occurrence of the window holds the symbol at the same
 place: it is interior and consistent.  Each window is led by its best interior
 symbol of the highest level, and only windows under a symbol that several
-documents share are compared, by 128-bit content hashes.
+documents share are compared, by 126-bit content hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -151,24 +152,47 @@ def leaders(levels: list[Level], window: np.ndarray, size: int) -> tuple[np.ndar
     return level_of, symbol, start_of, name_of
 
 
+#: Two primes below 2**31, and the bases of the hashes modulo them.
+PRIMES = ((2147483647, 1103515245), (2147483629, 1664525))
+
+
+@cache
+def _powers(prime: int, base: int, bits: int) -> np.ndarray:
+    """base**k modulo a prime, for 2**bits places."""
+    out = np.ones(1 << bits, dtype=np.uint64)
+    for k in range(bits):
+        n = 1 << k
+        out[n : 2 * n] = out[:n] * np.uint64(pow(base, n, prime)) % np.uint64(prime)
+    return out
+
+
 class Rolling:
-    """128-bit content hashes of word ranges (two polynomial hashes mod 2**64)."""
+    """126-bit content hashes of word ranges.
+
+    The first half is a polynomial hash modulo 2**64, the second two modulo
+    primes: word patterns that defeat powers of two leave these apart.
+    """
 
     def __init__(self, vocab_hashes: tuple[np.ndarray, np.ndarray], codes: np.ndarray):
-        n = len(codes) + 1
-        self.parts = []
-        for hashes, factor in zip(vocab_hashes, (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03), strict=True):
-            power, inverse = np.full(n, factor, np.uint64), np.full(n, pow(factor, -1, 1 << 64), np.uint64)
-            power[0] = inverse[0] = 1
-            np.multiply.accumulate(power, out=power)
-            np.multiply.accumulate(inverse, out=inverse)
+        n, (one, two), factor = len(codes) + 1, vocab_hashes, 0x9E3779B97F4A7C15
+        power, inverse = np.full(n, factor, np.uint64), np.full(n, pow(factor, -1, 1 << 64), np.uint64)
+        power[0] = inverse[0] = 1
+        np.multiply.accumulate(power, out=power)
+        np.multiply.accumulate(inverse, out=inverse)
+        sums = np.zeros(n, dtype=np.uint64)
+        np.cumsum(one[codes] * power[:-1], out=sums[1:])
+        self.first, self.others, bits = (sums, inverse), [], max(1, n.bit_length())
+        for (prime, base), shift in zip(PRIMES, (0, 32), strict=True):
             sums = np.zeros(n, dtype=np.uint64)
-            np.cumsum(hashes[codes] * power[:-1], out=sums[1:])
-            self.parts.append((sums, inverse))
+            small = (two >> np.uint64(shift) & np.uint64(0xFFFFFFFF)) % np.uint64(prime)
+            np.cumsum(small[codes] * _powers(prime, base, bits)[: n - 1] % np.uint64(prime), out=sums[1:])
+            self.others.append((sums, _powers(prime, pow(base, -1, prime), bits), np.uint64(prime)))
 
     def of(self, start: np.ndarray, stop: np.ndarray, extra: np.ndarray | int = 0) -> list[np.ndarray]:
         salt = np.asarray(extra).astype(np.uint64)
-        return [mix((sums[stop] - sums[start]) * inverse[start] + salt) for sums, inverse in self.parts]
+        a, b = ((sums[stop] - sums[start]) % prime * inverse[start] % prime for sums, inverse, prime in self.others)
+        sums, inverse = self.first
+        return [mix((sums[stop] - sums[start]) * inverse[start] + salt), mix((a << np.uint64(31) | b) + salt)]
 
 
 def _hashed(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -221,7 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     Labelled, learnable rows (id and label not null; a document labelled twice
     is toxic if any label says so) give a sample of at most ``fit_rows`` texts
-    of each label, chosen by hash of the id; near copies among them count once.
+    of each label, chosen by hash of the id (of several texts with one id the
+    least); near copies among them count once.
     The prior counts every document.
     With one label only or none, every score is the share of toxic labels
     (a half without labels).
@@ -229,7 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     known = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     pick = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for y in (0, 1)]
     chosen = F.broadcast(pick[0].unionByName(pick[1]))  # at most 2 * fit_rows ids
-    sample = docs.where(learnable(F.col("doc_id"))).select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text")
+    sample = docs.where(learnable(F.col("doc_id"))).select("doc_id", "text").join(chosen, "doc_id")
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
     labelled = written(sample, "toxicity_labelled")
     sample = written(_one_of_copies(labelled), "toxicity_sample")
     discard(labelled)
@@ -244,10 +246,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
         model.bias = 30.0 * (2 * share - 1)
+        discard(sample)
         return model
     chance = model.rate * best[y == 0] - np.log(np.maximum(n[y == 0], 1))
     model.log_k = float(chance.mean() - 0.5772156649)  # the Gumbel's mean is log K n + gamma, over the rate
     table = scan(sample, model).select("toxic", "evidence").toArrow()
+    discard(sample)
     x = _squash(np.asarray(table["evidence"], dtype=np.float64))
     model.bias, model.slope = _logistic(x, np.asarray(table["toxic"], dtype=np.float64))
     return model

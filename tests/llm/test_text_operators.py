@@ -641,6 +641,15 @@ def test_pieces_of_long_texts_do_not_matter(docs_of, monkeypatch):
     assert draw
 
 
+def test_hashes_of_patterns_that_defeat_powers_of_two():
+    bits = np.array([bin(i).count("1") & 1 for i in range(1024)])
+    hashes = tuple(np.random.default_rng(s).integers(0, 1 << 63, 2, dtype=np.uint64) for s in (1, 2))
+    rolling = substrings.Rolling(hashes, np.concatenate([bits, 1 - bits, bits]))
+    at = np.array([0, 1024, 2048])
+    one, two = rolling.of(at, at + 1024)
+    assert one[0] == one[2] and two[0] == two[2] and two[0] != two[1]
+
+
 # --- op10
 
 
