@@ -15,26 +15,25 @@ def connected(edges: DataFrame) -> DataFrame:
     Alternating star contraction: each node's larger neighbours are hung on
     its smallest one, then its smaller ones, until the edges are stars.  A
     node of any degree is met by a partial minimum and a join, never by a list.
-    Minima are written before they are joined on their own key: both sides of
-    the join are then plain exchanges, and Spark can split a hub that a third
-    of all edges share.  Every round ends in a written table.
+    Minima are dealt anew before they are joined on their own key: both sides
+    of the join are then plain exchanges, and Spark can split a hub that a
+    third of all edges share.  Every round ends in a written table.
     An empty table gives an empty result; loops, repeated edges and nulls are
     ignored.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = written(now, "edges")
     seal = _seal(now)
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).repartition(tasks)
         hung = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        past, hung = low, written(hung, "hung")
-        discard(past)
-        low = written(hung.groupBy("u").agg(F.min("v").alias("m")), "least")
+        low = hung.groupBy("u").agg(F.min("v").alias("m")).repartition(tasks)
         near = hung.join(low, "u")
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         past, now = now, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(past, hung, low)
+        discard(past)
         after = _seal(now)
         if after == seal:
             break
