@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from gapwright.errors import GapValueError
 from gapwright.functions.cells import is_label, is_numeric, missing, number, number_sql
 from gapwright.operators.profile import ColumnProfile
 
-#: A label column of more distinct values is refused: each becomes a feature.
+#: A label column of more distinct values gives no features: each value would be one.
 MAX_CATEGORIES = 1000
 
 
@@ -34,6 +34,8 @@ class Encoding:
     categories: dict[str, list]
     shift: list[float]
     scale: list[float]
+    #: Label columns of too many values, which are neither features nor have models.
+    loose: list[str] = field(default_factory=list)
 
     def raw(self, f: Feature) -> Column:
         """The encoded cell, NULL where its source is missing (also for one-hot columns)."""
@@ -76,12 +78,19 @@ def label(codes: Column, categories: list, kind: T.DataType) -> Column:
     return F.try_element_at(F.array(*(F.lit(k) for k in categories)), (F.rint(codes.cast("double")) + 1).cast("int")).cast(kind)
 
 
+def many_labels(df: DataFrame, names: list[str], limit: int = MAX_CATEGORIES) -> list[str]:
+    """Which columns have more than ``limit`` distinct labels, give or take the error of the estimate."""
+    if not names:
+        return []
+    sizes = df.agg(*(F.approx_count_distinct(F.col(f"`{n}`"), 0.02).alias(n) for n in names)).first()
+    return [n for n in names if sizes[n] > 1.1 * limit]
+
+
 def discover(df: DataFrame, names: list[str], limit: int = MAX_CATEGORIES) -> dict[str, list]:
     """Sorted distinct labels of each column, in one aggregate behind a check of their number."""
     if not names:
         return {}
-    sizes = df.agg(*(F.approx_count_distinct(F.col(f"`{n}`"), 0.02).alias(n) for n in names)).first()
-    wide = [n for n in names if sizes[n] > 1.1 * limit]
+    wide = many_labels(df, names, limit)
     if wide:
         raise GapValueError(f"columns {', '.join(wide)} have more than {limit} labels")
     found = df.agg(*(F.array_sort(F.collect_set(F.col(f"`{n}`"))).alias(n) for n in names)).first()
@@ -99,14 +108,17 @@ def encode(df: DataFrame, profiles: dict[str, ColumnProfile], normalize: bool, c
 
     A number gives itself; a label its code and then one column a category.
     With ``normalize`` numbers are standardised; else they are only centred, if
-    ``centre`` (a model with an intercept does not notice).
+    ``centre`` (a model with an intercept does not notice).  Undeclared label
+    columns of more than ``MAX_CATEGORIES`` values stand aside.
     """
     declared = declared or {}
     sources, features, shift, scale = [], [], [], []
     open_ = [f.name for f in df.schema.fields if is_label(f.dataType) and f.name not in declared]
-    categories = discover(df, open_) | {k: list(v) for k, v in declared.items()}
+    loose = many_labels(df, open_)
+    found = df.agg(*(F.array_sort(F.collect_set(F.col(f"`{n}`"))).alias(n) for n in open_ if n not in loose)).first() if set(open_) - set(loose) else {}
+    categories = {n: list(found[n] or []) for n in open_ if n not in loose} | {k: list(v) for k, v in declared.items()}
     for f in df.schema.fields:
-        if isinstance(f.dataType, T.NullType):
+        if isinstance(f.dataType, T.NullType) or f.name in loose:
             continue
         sources.append(f.name)
         if is_numeric(f.dataType):
@@ -119,7 +131,7 @@ def encode(df: DataFrame, profiles: dict[str, ColumnProfile], normalize: bool, c
         features += own
         shift += [0.0] * len(own)
         scale += [1.0] * len(own)
-    return Encoding(df.schema, sources, features, categories, shift, scale)
+    return Encoding(df.schema, sources, features, categories, shift, scale, loose)
 
 
 def missing_of(df: DataFrame, name: str) -> Column:

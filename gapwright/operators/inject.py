@@ -13,11 +13,19 @@ def blank(df: DataFrame, where: dict[str, Column]) -> DataFrame:
     return df.withColumns({c: F.when(~F.coalesce(cond, F.lit(False)), F.col(f"`{c}`")) for c, cond in where.items()})
 
 
-def at_random(df: DataFrame, ratio: float, columns: list[str] | None = None, seed: int = 0) -> DataFrame:
-    """Each cell goes with probability ``ratio``, whatever the data."""
+def at_random(df: DataFrame, ratio: float, columns: list[str] | None = None, seed: int = 0, key: str | None = None) -> DataFrame:
+    """Each cell goes with probability ``ratio``, whatever the data.
+
+    With a ``key`` column, that tells rows apart, the draw is a hash of seed,
+    column and key: the same in every evaluation of every plan.
+    """
     if not 0 <= ratio <= 1:
         raise GapValueError("the ratio must lie between 0 and 1")
-    return blank(df, {c: F.rand(seed + i) < ratio for i, c in enumerate(columns or df.columns)})
+    if key is None:
+        return blank(df, {c: F.rand(seed + i) < ratio for i, c in enumerate(columns or df.columns)})
+    chosen = columns or [c for c in df.columns if c != key]
+    draw = lambda c: F.pmod(F.xxhash64(F.lit(seed), F.lit(c), F.col(f"`{key}`")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return blank(df, {c: draw(c) < ratio for c in chosen})
 
 
 def by_key(df: DataFrame, column: str, expression: Column, every: int) -> DataFrame:

@@ -25,12 +25,11 @@ def relevance(moments: Moments, encoding: Encoding, targets: list[int]) -> np.nd
     sums = np.einsum("mi,mi->i", seen, moments.gram[:, :e, e])
     count = seen.T @ moments.rows
     mean = np.divide(sums, count, out=np.zeros(e), where=count > 0)
-    both = np.einsum("mi,mj->mij", seen, seen)
-    shared = np.einsum("mij,m->ij", both, moments.rows.astype(float))
-    one = moments.gram[:, :e, e]
-    cross = np.einsum("mij,mij->ij", both, moments.gram[:, :e, :e])
-    by_i = np.einsum("mij,mi->ij", both, one)
-    by_j = np.einsum("mij,mj->ij", both, one)
+    # missing cells are 0 in the sums, so a product only counts where both are there
+    shared = seen.T @ (moments.rows[:, None] * seen)
+    cross = moments.gram[:, :e, :e].sum(axis=0)
+    by_i = moments.gram[:, :e, e].T @ seen
+    by_j = by_i.T
     dev = cross - mean[None, :] * by_i - mean[:, None] * by_j + shared * np.outer(mean, mean)
     var = np.where(np.diag(dev) > 1e-12 * np.maximum(1, np.abs(np.diag(cross))), np.diag(dev), np.nan)
     with np.errstate(invalid="ignore"):

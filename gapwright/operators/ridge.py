@@ -11,32 +11,41 @@ from gapwright.operators import masks
 BATCH = 512
 
 
+def _compact(gram: np.ndarray, columns: np.ndarray, target: int, alpha: float, fit_intercept: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients [p, k] and intercepts of systems with k features each, ``columns`` [p, k]."""
+    p, k = columns.shape
+    of = np.arange(p)[:, None]
+    take = np.concatenate([columns, np.full((p, 1), target)], axis=1)
+    sums, rows = gram[of, take, -1], gram[:, -1, -1]
+    spread = gram[of[:, :, None], take[:, :, None], take[:, None, :]]
+    if fit_intercept:
+        spread -= sums[:, :, None] * (sums / rows[:, None])[:, None, :]
+    left, right = spread[:, :k, :k] + alpha * np.eye(k), spread[:, :k, k:]
+    if not k:
+        coef = np.zeros((p, 0))
+    elif alpha > 0:
+        coef = np.linalg.solve(left, right)[:, :, 0]
+    else:
+        coef = np.stack([np.linalg.lstsq(a, b[:, 0], rcond=None)[0] for a, b in zip(left, right, strict=True)])
+    level = (sums[:, k] - np.einsum("pk,pk->p", coef, sums[:, :k])) / rows if fit_intercept else np.zeros(p)
+    return coef, level
+
+
 def from_gram(gram: np.ndarray, target: int, features: np.ndarray, alpha: float = 0.01, fit_intercept: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(coefficients[p, e], intercept[p]) for Grams [p, e+1, e+1] of [z, 1].
 
-    ``features`` [p, e] says which columns a model uses; the others are padded
-    with an identity so that all systems have one shape.  ``alpha`` is added to
-    the diagonal of the (centred) sums; the intercept is not penalised.
+    ``features`` [p, e] says which columns a model uses.  Models of equally many
+    features are cut out of their Grams and solved side by side.  ``alpha`` is
+    added to the diagonal of the (centred) sums; the intercept is not penalised.
     """
-    e = gram.shape[1] - 1
-    use = features.astype(float)
-    total = gram[:, e, e]
-    xx, xy = gram[:, :e, :e], gram[:, :e, target]
-    if fit_intercept:
-        mean = gram[:, :e, e] / total[:, None]
-        y_mean = gram[:, target, e] / total
-        xx = xx - total[:, None, None] * mean[:, :, None] * mean[:, None, :]
-        xy = xy - total[:, None] * mean * y_mean[:, None]
-    a = xx * use[:, :, None] * use[:, None, :]
-    diagonal = np.arange(e)
-    a[:, diagonal, diagonal] += np.where(use > 0, alpha, 1.0)
-    b = xy * use
-    if alpha > 0:
-        coef = np.linalg.solve(a, b[:, :, None])[:, :, 0]
-    else:
-        coef = np.stack([np.linalg.lstsq(x, y, rcond=None)[0] for x, y in zip(a, b, strict=True)])
-    coef *= use
-    intercept = y_mean - (coef * mean).sum(axis=1) if fit_intercept else np.zeros(len(gram))
+    coef, intercept = np.zeros(features.shape), np.zeros(len(gram))
+    sizes = features.sum(axis=1)
+    for k in np.unique(sizes).tolist():
+        which = np.flatnonzero(sizes == k)
+        for at in range(0, len(which), BATCH):
+            part = which[at : at + BATCH]
+            columns = np.nonzero(features[part])[1].reshape(len(part), k)
+            coef[part[:, None], columns], intercept[part] = _compact(gram[part], columns, target, alpha, fit_intercept)
     return coef, intercept
 
 

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from gapwright.errors import GapTypeError, GapValueError
 from gapwright.functions.cells import is_numeric
 from gapwright.operators.gaps import check_gap, interpolate
+from gapwright.operators.persist import Saved
 from gapwright.operators.profile import check_schema
 from gapwright.operators.table_imputer import TableImputer
-from gapwright.operators.timefeatures import add_calendar, add_lags, check_lags, lag_names
+from gapwright.operators.timefeatures import add_calendar, add_lags, check_lags, free_name, lag_names
 from gapwright.operators.timegrid import check_time, regularise
 
 
-class SeriesImputer(Transformer):
+class SeriesImputer(Transformer, Saved):
     """Rebuilds a regular grid, interpolates gaps of at most
     ``interpolate_gaps_less_than`` points, adds lags (positive: past) and
     calendar features, and imputes the original columns.
@@ -55,11 +56,15 @@ class SeriesImputer(Transformer):
                normalize: bool = True, before: object = None, after: object = None) -> DataFrame:
         """The series on its grid, filled.
 
-        ``rows`` are grid ordinals or times, or a predicate, and take the place
-        of ``before`` and ``after`` (both strict).
+        ``rows`` are grid ordinals or times, or a predicate (over columns whose
+        names do not begin with two underscores, but for the grid's ``__ord``),
+        and take the place of ``before`` and ``after`` (both strict).
         """
         check_time(df, self.time_col)
         check_schema(df.drop(self.time_col))
+        clash = [c for c in df.columns if c.startswith("__")]
+        if clash:
+            return self._shielded(df, clash, rows, cols, n_nearest_features, normalize, before, after)
         names = [c for c in df.columns if c != self.time_col]
         grid = regularise(df, self.time_col, self.step)
         numeric = [c for c in names if is_numeric(df.schema[c].dataType)]
@@ -76,6 +81,20 @@ class SeriesImputer(Transformer):
         fitted = self.table.fit_table(features, chosen, targets, n_nearest_features, normalize, beside, made)
         return fitted.apply_beside(features, chosen).select(*df.columns)
 
+    def _shielded(self, df: DataFrame, clash: list[str], rows: object, cols: object, n_nearest: int | float | None, normalize: bool, before: object, after: object) -> DataFrame:
+        """As ``impute`` for columns named as the grid's own ones may be: they have other names meanwhile."""
+        other: dict[str, str] = {}
+        for c in clash:
+            other[c] = free_name(f"own{c}", [*df.columns, *other.values()])
+        inner = SeriesImputer(**(self.get_params() | {"time_col": other.get(self.time_col, self.time_col)}))
+        if cols is not None:
+            wanted = [cols] if isinstance(cols, (str, int)) else list(cols)
+            cols = [other.get(c, c) if isinstance(c, str) else c for c in wanted]
+        out = inner.impute(df.withColumnsRenamed(other), rows, cols, n_nearest, normalize, before, after)
+        back = {v: k for k, v in other.items()}
+        self.table.imputation_features_ = {back.get(t, t): f for t, f in inner.imputation_features_.items()}
+        return out.withColumnsRenamed(back)
+
     def _selected(self, rows: object, before: object, after: object) -> Column | None:
         t = F.col(f"`{self.time_col}`")
         if isinstance(rows, Column):

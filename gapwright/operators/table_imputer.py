@@ -20,8 +20,10 @@ from gapwright.operators import masks
 from gapwright.operators.columns import Encoding, encode, label
 from gapwright.operators.elm import RandomLayerRidge
 from gapwright.operators.moments import DRIVER_BYTES, SQL_FEATURES, Moments, collect
+from gapwright.operators.numbering import numbered
 from gapwright.operators.profile import ColumnProfile, TableProfile, check_schema, profile_all
 from gapwright.operators.rectangle import largest
+from gapwright.operators.persist import Saved
 from gapwright.operators.relevance import how_many, nearest, relevance
 from gapwright.operators.ridge import Ridge, from_gram, roll_up
 from gapwright.operators.tree import GiniTree, walk
@@ -35,6 +37,16 @@ FIT_ROWS = 100_000
 PASS_BYTES = 64 << 20
 #: Up to so many of them are fitted by the driver itself.
 FEW_FITS = 4
+#: Up to so many row keys stand in the predicate; more are joined.
+FEW_ROWS = 200
+
+
+def free_prefix(columns: Iterable[str]) -> str:
+    """A beginning that no column name has, for columns that are added and dropped again."""
+    own = "__"
+    while any(c.lower().startswith(own) for c in columns):
+        own += "_"
+    return own
 
 
 @dataclass
@@ -56,18 +68,18 @@ class Fitted:
         """(target, features): which features each target's models may use."""
         return spark.createDataFrame(list(self.features.items()), "target string, features array<string>")
 
-    def _model_table(self, df: DataFrame, keep: Callable[[str], bool]) -> DataFrame:
+    def _model_table(self, df: DataFrame, keep: Callable[[str], bool], own: str) -> DataFrame:
         names = [t for t in self.targets if keep(t)]
         ridge = pa.struct([("intercept", pa.float64()), ("coef", pa.list_(pa.float64()))])
         tree = pa.struct([("feature", pa.list_(pa.int32())), ("threshold", pa.list_(pa.float64())), ("leaf", pa.list_(pa.int32()))])
         shown = [m for m, found in self.models.items() if any(t in found for t in names)]
-        columns, fields = [pa.array([self.keys[m] for m in shown], pa.string() if len(self.encoding.sources) > masks.WORD else pa.int64())], ["__mask"]
+        columns, fields = [pa.array([self.keys[m] for m in shown], pa.string() if len(self.encoding.sources) > masks.WORD else pa.int64())], [f"{own}mask"]
         for i, t in enumerate(names):
             kind = ridge if is_numeric(self.encoding.schema[t].dataType) else tree
             parts = [f.name for f in kind]
             found = [self.models[m].get(t) for m in shown]
             columns.append(pa.array([None if x is None else dict(zip(parts, x, strict=True)) for x in found], kind))
-            fields.append(f"__m{i}")
+            fields.append(f"{own}m{i}")
         table = df.sparkSession.createDataFrame(pa.table(columns, names=fields))
         return F.broadcast(table) if sum(c.nbytes for c in columns) <= BROADCAST_BYTES else table
 
@@ -85,22 +97,23 @@ class Fitted:
         stream may bring, is filled by the mean or the mode.
         """
         order, chosen = df.columns, F.lit(True) if selected is None else selected
-        marked = df.withColumn("__sel", chosen).withColumn("__mask", masks.mask(df.schema, self.encoding.sources))
+        own = free_prefix(order)
+        marked = df.withColumn(f"{own}sel", chosen).withColumn(f"{own}mask", masks.mask(df.schema, self.encoding.sources))
         plain = [t for t in self.targets if t not in self.objects]
         values = [F.coalesce(v, F.lit(0.0)) for v in self.encoding.values()]
         if any(t in found for found in self.models.values() for t in plain):
-            marked = marked.join(self._model_table(df, lambda t: t not in self.objects), "__mask", "left")
+            marked = marked.join(self._model_table(df, lambda t: t not in self.objects, own), f"{own}mask", "left")
             # each feature is computed once a row, whatever the number of targets
-            marked = marked.select("*", *(v.alias(f"__z{j}") for j, v in enumerate(values)))
+            marked = marked.select("*", *(v.alias(f"{own}z{j}") for j, v in enumerate(values)))
         else:
             plain = []
         guessed: dict[str, str] = {}
         if self.wide and self.wide.targets:
-            places = {self.encoding.target(t): t for t in self.targets}
-            guessed = {places[x.place]: f"__w_{x.place}" for x in self.wide.targets}
-            marked = predict(marked, self.encoding, self.wide, {x.place: f"__w_{x.place}" for x in self.wide.targets})
+            places = {self.encoding.target(t): t for t in self.targets if t in self.encoding.sources}
+            guessed = {places[x.place]: f"{own}w{x.place}" for x in self.wide.targets}
+            marked = predict(marked, self.encoding, self.wide, {x.place: f"{own}w{x.place}" for x in self.wide.targets}, f"{own}z")
         if any(t in self.objects for t in self.targets):
-            marked = self._predict_objects(marked.withColumn("__z", F.array(*values)))
+            marked = self._predict_objects(marked.withColumn(f"{own}z", F.array(*values)), own)
         out = {}
         for t in self.targets:
             kind = df.schema[t].dataType
@@ -108,21 +121,21 @@ class Fitted:
             if t in guessed:
                 found.append(self._back(F.col(guessed[t]), t, kind))
             elif t in self.objects:
-                found.append(self._back(F.col(f"__p_{self.targets.index(t)}"), t, kind))
+                found.append(self._back(F.col(f"{own}p{self.targets.index(t)}"), t, kind))
             elif t in plain:
-                m = F.col(f"__m{plain.index(t)}")
+                m = F.col(f"{own}m{plain.index(t)}")
                 if is_numeric(kind):
-                    name, use = f"__m{plain.index(t)}", set(self.features.get(t, ()))
-                    terms = [f"get({name}.coef, {j}) * __z{j}" for j, f in enumerate(self.encoding.features) if f.name in use]
+                    name, use = f"{own}m{plain.index(t)}", set(self.features.get(t, ()))
+                    terms = [f"get({name}.coef, {j}) * {own}z{j}" for j, f in enumerate(self.encoding.features) if f.name in use]
                     found.append(self._back(F.expr(" + ".join([f"{name}.intercept", *terms])), t, kind))
                 else:
-                    zs = F.array(*(F.col(f"__z{j}") for j in range(len(values))))
+                    zs = F.array(*(F.col(f"{own}z{j}") for j in range(len(values))))
                     found.append(self._back(walk(zs, m["feature"], m["threshold"], m["leaf"], self.depth), t, kind))
             if self.fills.get(t) is not None:
                 fill = F.lit(self.fills[t])
                 found.append(restore(fill, kind) if is_numeric(kind) else fill.cast(kind))
             if found:
-                out[t] = F.when(F.col("__sel") & missing(t, kind), F.coalesce(*found, F.col(f"`{t}`"))).otherwise(F.col(f"`{t}`"))
+                out[t] = F.when(F.col(f"{own}sel") & missing(t, kind), F.coalesce(*found, F.col(f"`{t}`"))).otherwise(F.col(f"`{t}`"))
         return marked.select(*(out[c].alias(c) if c in out else F.col(f"`{c}`") for c in order))
 
     def _back(self, value: Column, target: str, kind: T.DataType) -> Column:
@@ -131,9 +144,9 @@ class Fitted:
         i = self.encoding.target(target)
         return restore(value * self.encoding.scale[i] + self.encoding.shift[i], kind)
 
-    def _predict_objects(self, marked: DataFrame) -> DataFrame:
+    def _predict_objects(self, marked: DataFrame, own: str) -> DataFrame:
         """Adds predictions of estimator objects, batch by batch."""
-        schema = T.StructType([*marked.schema.fields, *(T.StructField(f"__p_{i}", T.DoubleType()) for i, t in enumerate(self.targets) if t in self.objects)])
+        schema = T.StructType([*marked.schema.fields, *(T.StructField(f"{own}p{i}", T.DoubleType()) for i, t in enumerate(self.targets) if t in self.objects)])
         names, targets, where = marked.columns, self.targets, {self.keys[m]: m for m in self.keys}
         sent = marked.sparkSession.sparkContext.broadcast(cloudpickle.dumps({t: (x, {m: f[t][0] for m, f in self.models.items() if t in f}) for t, x in self.objects.items()}))
 
@@ -141,8 +154,8 @@ class Fitted:
             fitted = pickle.loads(sent.value)
             for batch in batches:
                 arrays = list(batch.columns)
-                z = np.asarray(batch.column("__z").flatten()).reshape(batch.num_rows, -1)
-                rows = batch.column("__mask").to_pylist()
+                z = np.asarray(batch.column(f"{own}z").flatten()).reshape(batch.num_rows, -1)
+                rows = batch.column(f"{own}mask").to_pylist()
                 for i, t in enumerate(targets):
                     if t not in fitted:
                         continue
@@ -154,12 +167,12 @@ class Fitted:
                         at = which == n
                         out[at] = np.asarray(model.predict(z[at][:, columns]), dtype=float)
                     arrays.append(pa.array(out, mask=np.isnan(out)))
-                yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([*batch.schema, *(pa.field(f"__p_{i}", pa.float64()) for i, t in enumerate(targets) if t in fitted)]))
+                yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([*batch.schema, *(pa.field(f"{own}p{i}", pa.float64()) for i, t in enumerate(targets) if t in fitted)]))
 
         return marked.select(*names).mapInArrow(run, schema)
 
 
-class TableImputer(Transformer):
+class TableImputer(Transformer, Saved):
     """Fills missing cells from models of the other columns.
 
     For each target and each pattern of missing features, a model is fitted on
@@ -168,12 +181,15 @@ class TableImputer(Transformer):
     with fit(X, y) and predict(X).  With fewer than ``min_samples_train`` such
     rows the largest complete block of rows and columns serves; cells that no
     model reaches get the mean or the mode (``fallback="simple"``) or stay.
+    Label columns of more values than features can be made of (``MAX_CATEGORIES``)
+    are no features and have the mode for a model.  ``rng`` seeds the ELM's units
+    and the choice of the ``fit_rows`` rows that a classifier sees.
     Predictions never feed other models, so targets do not depend on order.
     """
 
     def __init__(self, regressor: object = "ridge", classifier: object = "tree", min_samples_train: int | None = None, fallback: str | None = "simple",
                  scoring: object = "default", alpha: float = 0.01, fit_intercept: bool = True, categories: dict[str, list] | None = None,
-                 fit_rows: int = FIT_ROWS, verbose: int = 0):
+                 fit_rows: int = FIT_ROWS, verbose: int = 0, rng: int | None = None):
         super().__init__()
         if fallback not in ("simple", None):
             raise GapValueError("fallback must be 'simple' or None")
@@ -185,14 +201,17 @@ class TableImputer(Transformer):
             raise GapValueError("classifier must be 'tree' or an object with fit and predict")
         if type(regressor) is Ridge:
             alpha, fit_intercept, regressor = regressor.alpha, regressor.fit_intercept, "ridge"
-        self.regressor = RandomLayerRidge() if regressor == "elm" else regressor
+        if rng is not None and (isinstance(rng, bool) or not isinstance(rng, int) or rng < 0):
+            raise GapValueError("rng must be None or an integer of 0 or more")
+        self.rng = rng or 0
+        self.regressor = RandomLayerRidge(random_state=self.rng) if regressor == "elm" else regressor
         self.classifier, self.fallback, self.scoring = classifier, fallback, scoring
         self.min_samples = 20 if min_samples_train is None else min_samples_train
         self.alpha, self.fit_intercept, self.categories, self.fit_rows, self.verbose = alpha, fit_intercept, categories or {}, fit_rows, verbose
         self.imputation_features_: dict[str, list[str]] = {}
         self._given = {
             "regressor": regressor, "classifier": classifier, "min_samples_train": min_samples_train, "fallback": fallback, "scoring": scoring,
-            "alpha": alpha, "fit_intercept": fit_intercept, "categories": categories, "fit_rows": fit_rows, "verbose": verbose,
+            "alpha": alpha, "fit_intercept": fit_intercept, "categories": categories, "fit_rows": fit_rows, "verbose": verbose, "rng": rng,
         }
 
     def get_params(self) -> dict[str, object]:
@@ -221,19 +240,48 @@ class TableImputer(Transformer):
 
     @staticmethod
     def _rows(df: DataFrame, rows: Column | dict | None) -> tuple[DataFrame, Column | None]:
-        """A predicate as it is; {key column: values} as a flag, unknown values being an error."""
+        """The table and a predicate: as given, or for {key column: values} whether the row's
+        key is one of them (unknown values are an error), for more than ``FEW_ROWS`` by a
+        column that is joined on; or for {"order": columns, "at": places} by row number."""
         if rows is None or isinstance(rows, Column):
             return df, rows
+        if isinstance(rows, dict) and set(rows) == {"order", "at"}:
+            return TableImputer._rows_at(df, rows["order"], rows["at"])
         if not isinstance(rows, dict) or len(rows) != 1:
-            raise GapTypeError("rows must be a boolean column or {key column: values}")
+            raise GapTypeError('rows must be a boolean column, {key column: values}, or {"order": columns, "at": places}')
         (key, values), values = next(iter(rows.items())), list(next(iter(rows.values())))
         if key not in df.columns:
             raise GapValueError(f"unknown columns: {[key]}")
         wanted = df.sparkSession.createDataFrame([(v,) for v in values], T.StructType([T.StructField(key, df.schema[key].dataType)])).distinct()
-        unknown = wanted.join(df.select(key), key, "left_anti").limit(5).collect()
+        small = sum(len(str(v)) + 16 for v in values) <= BROADCAST_BYTES
+        wanted = F.broadcast(wanted) if small else wanted
+        unknown = wanted.join(df.select(key).distinct(), key, "left_anti").limit(5).collect()
         if unknown:
             raise GapValueError(f"unknown rows: {[r[0] for r in unknown]}")
-        return df, F.col(f"`{key}`").isin(values)
+        if len(values) <= FEW_ROWS:
+            return df, F.col(f"`{key}`").isin(values)
+        flag = f"{free_prefix(df.columns)}wanted"
+        return df.join(wanted.withColumn(flag, F.lit(True)), key, "left").select(*(F.col(f"`{c}`") for c in df.columns), flag), F.col(flag).isNotNull()
+
+    @staticmethod
+    def _rows_at(df: DataFrame, order: object, at: Iterable[int]) -> tuple[DataFrame, Column]:
+        """Rows by their places (negative ones from the end) in the order of some columns."""
+        order, at = [order] if isinstance(order, str) else list(order), list(at)
+        unknown = [c for c in order if c not in df.columns]
+        if unknown:
+            raise GapValueError(f"unknown columns: {unknown}")
+        if any(isinstance(i, bool) or not isinstance(i, (int, np.integer)) for i in at):
+            raise GapTypeError("places must be integers")
+        number = f"{free_prefix(df.columns)}row"
+        marked, total = numbered(df, order, number)
+        if any(not -total <= i < total for i in at):
+            raise GapValueError(f"places must lie between {-total} and {total - 1}")
+        places = sorted({int(i) % total for i in at})
+        if len(places) <= FEW_ROWS:
+            return marked, F.col(number).isin(places)
+        flag, wanted = f"{number}_wanted", df.sparkSession.createDataFrame(pa.table([pa.array(places, pa.int64())], names=[number]))
+        wanted = F.broadcast(wanted) if 8 * len(places) <= BROADCAST_BYTES else wanted
+        return marked.join(wanted.withColumn(flag, F.lit(True)), number, "left"), F.col(flag).isNotNull()
 
     # -- fitting
 
@@ -245,6 +293,9 @@ class TableImputer(Transformer):
         check_schema(df)
         targets = self._targets(df, cols)
         all_columns, selected = self._rows(all_columns, rows)
+        return self._fit(all_columns, df, selected, targets, n_nearest_features, normalize, droppable)
+
+    def _fit(self, all_columns: DataFrame, df: DataFrame, selected: Column | None, targets: list[str], n_nearest_features: int | float | None, normalize: bool, droppable: Iterable[str] = ()) -> Fitted:
         if self.verbose:
             df.sparkSession.sparkContext.setJobDescription("profile the columns")
         found = profile_all(df, with_masks=len(df.columns) > SQL_FEATURES)
@@ -256,8 +307,8 @@ class TableImputer(Transformer):
         if self.verbose:
             df.sparkSession.sparkContext.setJobDescription("sum products by missingness mask")
         m = collect(all_columns, e, selected)
-        targets = [t for t in targets if t in e.sources]
-        active = [t for t in targets if profiles[t].count and any(mask & e.bit(e.target(t)) and n for mask, n in zip(m.masks, m.selected, strict=True))]
+        targets = [t for t in targets if t in e.sources or t in e.loose]
+        active = [t for t in targets if t in e.sources and profiles[t].count and any(mask & e.bit(e.target(t)) and n for mask, n in zip(m.masks, m.selected, strict=True))]
         k = how_many(n_nearest_features, len(e.features))
         places = [e.target(t) for t in active]
         if k is not None and active:
@@ -311,9 +362,9 @@ class TableImputer(Transformer):
             features[t] = [e.features[j].name for j in own]
             models.append(Target(places[i], np.array(own, dtype=int), is_numeric(df.schema[t].dataType)))
         self.imputation_features_ = features
-        wide = WideModel(parts, models, self.alpha, self.fit_intercept, self.min_samples)
+        wide = WideModel(parts, models, self.alpha, self.fit_intercept, self.min_samples, self.fit_rows)
         fills = self._fills(df, targets, profiles) if self.fallback else {}
-        return Fitted(e, profiles, [t for t in targets if t in e.sources], {}, {}, fills, features, wide=wide)
+        return Fitted(e, profiles, [t for t in targets if t in e.sources or t in e.loose], {}, {}, fills, features, wide=wide)
 
     def _plans(self, m: Moments, e: Encoding, target: str, own: list[int]) -> list[tuple[int, tuple[int, ...], int]]:
         """(mask, features, needed bits) of each pattern of selected rows that a model can serve."""
@@ -374,7 +425,7 @@ class TableImputer(Transformer):
             fitted = self._regressors(rows, m, e, place, distinct)
         else:
             rows = rows.select(masks.mask(df.schema, e.sources).alias("mask"), *(v.alias(f"z{i}") for i, v in enumerate(e.values())))
-            table = rows.orderBy(F.xxhash64(*rows.columns)).limit(self.fit_rows).toArrow()
+            table = rows.orderBy(F.xxhash64(*rows.columns, F.lit(self.rng)), *(c for c in rows.columns if c != "mask")).limit(self.fit_rows).toArrow()
             z = np.stack([np.asarray(table[f"z{i}"].fill_null(0.0), dtype=float) for i in range(len(e.features))], axis=1)
             seen = masks.vector([masks.as_int(x) for x in table["mask"].to_pylist()], len(e.sources))
             fitted = self._fit_all(df, z, seen, place, distinct, len(e.sources))
@@ -514,10 +565,14 @@ class TableImputer(Transformer):
     # -- public calls
 
     def impute(self, df: DataFrame, rows: Column | dict | None = None, cols: object = None, n_nearest_features: int | float | None = None, normalize: bool = True) -> DataFrame:
-        """``df`` filled: ``cols`` (names or places) in ``rows`` (a predicate, or
-        {key column: values}), from the ``n_nearest_features`` best features."""
-        fitted = self.fit_table(df, rows, cols, n_nearest_features, normalize)
-        return fitted.apply(df, self._rows(df, rows)[1])
+        """``df`` filled: ``cols`` (names or places) in ``rows`` (a predicate,
+        {key column: values}, or {"order": columns, "at": places in that
+        order}), from the ``n_nearest_features`` best features."""
+        check_schema(df)
+        targets = self._targets(df, cols)
+        marked, selected = self._rows(df, rows)
+        fitted = self._fit(marked, df, selected, targets, n_nearest_features, normalize)
+        return fitted.apply_beside(marked, selected).select(*(F.col(f"`{c}`") for c in df.columns))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         return self.impute(df)

@@ -108,8 +108,7 @@ def regularise(df: DataFrame, time_col: str, step: int | str | None = None) -> D
     if first is None:
         return df.withColumn("__ord", F.lit(None).cast("bigint"))
     if isinstance(step, str):
-        ends = df.agg(F.min(time_col).alias("a"), F.max(time_col).alias("b"))
-        grid = ends.select(F.posexplode(F.expr(f"sequence(a, b, interval {step})")).alias("__ord", time_col)).withColumn("__ord", F.col("__ord").cast("bigint"))
+        grid = _calendar_grid(df, time_col, step)
     else:
         ends = df.agg(F.min(micros(F.col(time_col))).alias("a"), F.max(micros(F.col(time_col))).alias("b")).first()
         points = (ends["b"] - ends["a"]) // step + 1
@@ -118,6 +117,23 @@ def regularise(df: DataFrame, time_col: str, step: int | str | None = None) -> D
     return grid.join(df, time_col, "left").select(*df.columns, "__ord")
 
 
+def _calendar_grid(df: DataFrame, time_col: str, step: str) -> DataFrame:
+    """(__ord, time): the first time plus whole multiples of a calendar step, dealt over tasks by number.
+
+    The first step's length bounds how many there can be (no month is shorter
+    than nine tenths of another); those beyond the last time are left out.
+    """
+    kind = df.schema[time_col].dataType
+    row = df.agg(F.min(time_col).alias("a"), F.max(time_col).alias("b"))
+    found = row.select((micros(F.col("b")) - micros(F.col("a"))).alias("span"), (micros(F.expr(f"a + interval {step}")) - micros(F.col("a"))).alias("one")).first()
+    if found["one"] <= 0:
+        raise GapValueError(f"the step {step} does not lead onwards")
+    most = int(found["span"] / (0.9 * found["one"])) + 2
+    point = F.expr(f"cast(a + cast(__ord as int) * interval {step} as {kind.simpleString()})")
+    grid = df.sparkSession.range(most).select(F.col("id").alias("__ord")).crossJoin(F.broadcast(row))  # with one row
+    return grid.withColumn(time_col, point).where(F.col(time_col) <= F.col("b")).select("__ord", time_col)
+
+
 def with_neighbours(df: DataFrame, columns: dict[str, Column], halo: int, order: str = "__ord", bucket: int = BUCKET) -> DataFrame:
     """Adds window columns that look at most ``halo`` rows to either side.
 

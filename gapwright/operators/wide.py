@@ -13,19 +13,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapwright.operators import masks
 from gapwright.operators.columns import Encoding
+from gapwright.operators.rectangle import EXHAUST, all_sets, best_prefix, bits, depth, kinds
 from gapwright.operators.ridge import Ridge, from_gram
 from gapwright.operators.tree import GiniTree
 
 #: Bytes of training rows that workers hold at once.  A larger table goes to them in parts that are read one by one.
 MATRIX_BYTES = 192 << 20
+#: Tasks among which the rows of one mask are dealt.
+SHARES = 8
 #: Bytes of such a part, and of the sums that a worker gathers over the parts in one pass.
 PART_BYTES = 32 << 20
-#: Rows that a tree of one pattern is grown on.
-TREE_ROWS = 2000
 
 
 def encoded(df: DataFrame, encoding: Encoding) -> DataFrame:
@@ -93,46 +96,56 @@ class Target:
 
 
 class WideModel:
-    """Solves patterns of missing features against all training rows."""
+    """Solves patterns of missing features against all training rows.
 
-    def __init__(self, parts: list, targets: list[Target], alpha: float, fit_intercept: bool, min_rows: int):
-        self.parts, self.targets, self.alpha, self.fit_intercept, self.min_rows = parts, targets, alpha, fit_intercept, min_rows
+    The rows and columns of a model are those of the way by masks: all rows
+    that lack none of the usable features, or, if these are fewer than
+    ``min_rows``, the block that ``rectangle`` finds.  A tree gets at most
+    ``tree_rows`` of them.  A worker holds the rows once for all targets.
+    """
+
+    def __init__(self, parts: list, targets: list[Target], alpha: float, fit_intercept: bool, min_rows: int, tree_rows: int):
+        self.parts, self.targets, self.alpha, self.fit_intercept, self.min_rows, self.tree_rows = parts, targets, alpha, fit_intercept, min_rows, tree_rows
         self.ready: dict[int, tuple] = {}
+        self.shared: tuple | None = None
 
     def __getstate__(self):
         # broadcasts reach the workers beside the model
-        return self.__dict__ | {"ready": {}, "parts": self.parts if len(self.parts) == 1 and isinstance(self.parts[0], np.ndarray) else []}
-
-    def _prepare(self, t: Target) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(features filled with 0, which are missing, target values, columns from least to most missing)."""
-        if t.place not in self.ready:
-            z = self.parts[0]
-            rows = ~np.isnan(z[:, t.place])
-            x = z[rows][:, t.features]
-            lacks = np.isnan(x)
-            order = np.argsort(lacks.sum(axis=0), kind="stable")
-            self.ready[t.place] = np.where(lacks, 0, x), lacks, z[rows, t.place], order
-        return self.ready[t.place]
-
-    def _block(self, usable: np.ndarray, lacks: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(columns, rows) to train on: all usable columns if enough rows are complete,
-        else the prefix of the least-missing ones with the largest complete block."""
-        rows = ~(lacks[:, usable].any(axis=1))
-        if rows.sum() >= self.min_rows:
-            return usable, rows
-        ranked = order[np.isin(order, usable)]
-        # how many of the ranked columns a row has before its first gap
-        gaps = lacks[:, ranked]
-        depth = np.where(gaps.any(axis=1), gaps.argmax(axis=1), len(ranked))
-        best = self._prefix(np.bincount(depth, minlength=len(ranked) + 1))
-        return np.sort(ranked[: best + 1]), depth > best
-
-    def _prefix(self, depths: np.ndarray) -> int:
-        """The last column of the best prefix, from the rows of each depth."""
-        complete = depths.sum() - np.cumsum(depths)[:-1]
-        area = complete * np.arange(1, len(depths))
-        enough = complete >= self.min_rows
-        return int(np.argmax(np.where(enough, area, -1) if enough.any() else area))
+        return self.__dict__ | {"ready": {}, "shared": None, "parts": self.parts if len(self.parts) == 1 and isinstance(self.parts[0], np.ndarray) else []}
+
+    def _rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(features filled with 0, which are missing) of all training rows held here."""
+        if self.shared is None:
+            lacks = np.isnan(self.parts[0])
+            self.shared, self.parts = (np.nan_to_num(self.parts[0]), lacks), []
+        return self.shared
+
+    def _search(self, t: Target, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a pattern: its kinds of columns with gaps from least to most missing, their widths, its columns without gaps."""
+        kind, first, lacks = self.ready[t.place]
+        own = kind[usable]
+        gaps = np.unique(own[lacks[own] > 0])
+        gaps = gaps[np.argsort(lacks[gaps], kind="stable")] if len(gaps) > EXHAUST else gaps
+        return gaps, np.array([(own == k).sum() for k in gaps], dtype=float), usable[lacks[own] == 0]
+
+    def _columns(self, t: Target, usable: np.ndarray, gaps: np.ndarray, free: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        return np.sort(np.concatenate([free, usable[np.isin(self.ready[t.place][0][usable], gaps[chosen])]]))
+
+    def _block(self, t: Target, usable: np.ndarray, lacks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(columns, rows) to train a pattern on."""
+        gaps, width, free = self._search(t, usable)
+        holes = lacks[:, self.ready[t.place][1][gaps]]
+        full = ~holes.any(axis=1)
+        if full.sum() >= self.min_rows or not len(gaps):
+            return usable, full
+        if len(gaps) <= EXHAUST:
+            chosen = all_sets(np.bincount(holes @ bits(len(gaps)), minlength=1 << len(gaps)), width, float(len(free)), self.min_rows)
+            rows = ~holes[:, chosen].any(axis=1)
+        else:
+            far = depth(holes)
+            kept = best_prefix(np.bincount(far, minlength=len(gaps) + 1), width, float(len(free)), self.min_rows)
+            chosen, rows = np.arange(len(gaps)) < kept, far >= kept
+        return self._columns(t, usable, gaps, free, chosen), rows
 
     @staticmethod
     def _training(t: Target, parts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -145,37 +158,50 @@ class WideModel:
             x = z[:, t.features]
             yield np.nan_to_num(x), np.isnan(x), z[:, t.place]
 
+    def _know(self, t: Target, parts: list) -> None:
+        """Kinds of columns by their gaps over all parts (a column's kind is told by a hash of its bits)."""
+        hashed, lacks = np.zeros(len(t.features), dtype=np.uint64), 0
+        for _, gaps, _ in self._training(t, parts):
+            said = [xxhash.xxh3_64_intdigest(row.tobytes()) for row in np.ascontiguousarray(np.packbits(gaps, axis=0).T)]
+            hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + np.array(said, dtype=np.uint64)
+            lacks = lacks + gaps.sum(axis=0)
+        kind, first = kinds(np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1).T)
+        self.ready[t.place] = kind, first, np.asarray(lacks)[first]
+
     def _guess(self, t: Target, z: np.ndarray, patterns: list[tuple[np.ndarray, np.ndarray]], parts: list, guess: np.ndarray) -> None:
         """Fills ``guess`` for (rows, usable features) by two passes over the parts: rows complete, then their sums."""
-        if t.place not in self.ready:
-            self.ready[t.place] = np.argsort(sum(lacks.sum(axis=0) for _, lacks, _ in self._training(t, parts)), kind="stable")
-        ranked = [self.ready[t.place][np.isin(self.ready[t.place], usable)] for _, usable in patterns]
-        depths = [np.zeros(len(r) + 1, dtype=np.int64) for r in ranked]
+        searched = [self._search(t, usable) for _, usable in patterns]
+        first = self.ready[t.place][1]
+        small = [len(g) <= EXHAUST for g, _, _ in searched]
+        counts = [np.zeros(1 << len(g) if s else len(g) + 1, dtype=np.int64) for (g, _, _), s in zip(searched, small, strict=True)]
         for _, lacks, _ in self._training(t, parts):
-            for r, d in zip(ranked, depths, strict=True):
-                gaps = lacks[:, r]
-                d += np.bincount(np.where(gaps.any(axis=1), gaps.argmax(axis=1), len(r)), minlength=len(r) + 1)
+            for (g, _, _), s, n in zip(searched, small, counts, strict=True):
+                holes = lacks[:, first[g]]
+                n += np.bincount(holes @ bits(len(g)) if s else depth(holes), minlength=len(n))
         chosen, rows = [], {}
-        for (_, usable), r, d in zip(patterns, ranked, depths, strict=True):
-            best = len(r) - 1 if d[-1] >= self.min_rows else self._prefix(d)
-            chosen.append(tuple(np.sort(r[: best + 1]).tolist()))
-            rows[chosen[-1]] = int(d[best + 1 :].sum())
-        rows = {c: n for c, n in rows.items() if n}
-        sums: dict[tuple, object] = {c: 0.0 if t.numeric else [] for c in rows}
-        past = dict.fromkeys(rows, 0)
+        for (_, usable), (g, width, free), s, n in zip(patterns, searched, small, counts, strict=True):
+            full = n[0] if s else n[-1]
+            if full >= self.min_rows or not len(g):
+                c = usable
+            elif s:
+                c = self._columns(t, usable, g, free, all_sets(n, width, float(len(free)), self.min_rows))
+            else:
+                c = self._columns(t, usable, g, free, np.arange(len(g)) < best_prefix(n, width, float(len(free)), self.min_rows))
+            chosen.append(tuple(c.tolist()))
+            rows[chosen[-1]] = 0
+        sums: dict[tuple, object] = {c: 0.0 if t.numeric else [] for c in rows if c}
         for x, lacks, y in self._training(t, parts):
-            for c, n in rows.items():
+            for c in sums:
                 at = np.flatnonzero(~lacks[:, list(c)].any(axis=1))
                 if t.numeric:
                     xy = np.concatenate([x[np.ix_(at, c)], y[at, None], np.ones((len(at), 1))], axis=1)
                     sums[c] = sums[c] + xy.T @ xy
                 else:
-                    step = max(1, n // TREE_ROWS)
-                    some = at[-past[c] % step :: step]
-                    sums[c].append((x[np.ix_(some, c)], y[some]))
-                    past[c] += len(at)
+                    at = at[: self.tree_rows - rows[c]]
+                    sums[c].append((x[np.ix_(at, c)], y[at]))
+                rows[c] += len(at)
         for (at, _), c in zip(patterns, chosen, strict=True):
-            if c not in rows:
+            if not rows[c]:
                 continue
             features = z[np.ix_(at, t.features[list(c)])]
             if t.numeric:
@@ -184,47 +210,53 @@ class WideModel:
             else:
                 guess[at] = GiniTree().fit(*(np.concatenate(v) for v in zip(*sums[c], strict=True))).predict(features)
 
+    def _held(self, t: Target, z: np.ndarray, patterns: list[tuple[np.ndarray, np.ndarray]], guess: np.ndarray) -> None:
+        """As ``_guess`` where a worker holds all training rows."""
+        filled, missing = self._rows()
+        with_target = np.flatnonzero(~missing[:, t.place])
+        lacks = missing[with_target][:, t.features]
+        if t.place not in self.ready:
+            kind, first = kinds(lacks)
+            self.ready[t.place] = kind, first, lacks[:, first].sum(axis=0)
+        solved: dict[bytes, object] = {}
+        for at, usable in patterns:
+            columns, rows = self._block(t, usable, lacks)
+            if not rows.any() or not len(columns):
+                continue
+            key = columns.tobytes() + np.packbits(rows).tobytes()
+            if key not in solved:
+                chosen = with_target[rows] if t.numeric else with_target[rows][: self.tree_rows]
+                model = Ridge(self.alpha, self.fit_intercept) if t.numeric else GiniTree()
+                solved[key] = model.fit(filled[np.ix_(chosen, t.features[columns])], filled[chosen, t.place])
+            guess[at] = solved[key].predict(z[np.ix_(at, t.features[columns])])
+
     def fill(self, z: np.ndarray, parts: list | None = None) -> dict[int, np.ndarray]:
         """Predictions by target (NaN where no model reaches) for rows of encoded values."""
         out = {}
         gaps = np.isnan(z)
         for t in self.targets:
-            guess = np.full(len(z), np.nan)
+            guess = out[t.place] = np.full(len(z), np.nan)
             want = np.flatnonzero(gaps[:, t.place])
-            if len(want) and len(t.features) and parts:
-                patterns, which = np.unique(np.packbits(gaps[want][:, t.features], axis=1), axis=0, return_inverse=True)
-                asked = [want[which.ravel() == k] for k in range(len(patterns))]
-                asked = [(at, u) for at in asked if len(u := np.flatnonzero(~gaps[at[0], t.features]))]
-                step = max(1, PART_BYTES // (8 * (len(t.features) + 2) ** 2))
-                for a in range(0, len(asked), step):
-                    self._guess(t, z, asked[a : a + step], parts, guess)
-            elif len(want) and len(t.features):
-                x, lacks, y, order = self._prepare(t)
-                patterns, which = np.unique(np.packbits(gaps[want][:, t.features], axis=1), axis=0, return_inverse=True)
-                solved: dict[bytes, object] = {}
-                for k in range(len(patterns)):
-                    at = want[which.ravel() == k]
-                    usable = np.flatnonzero(~gaps[at[0], t.features])
-                    if not len(usable) or not len(y):
-                        continue
-                    columns, rows = self._block(usable, lacks, order)
-                    if not rows.any():
-                        continue
-                    key = columns.tobytes() + np.packbits(rows).tobytes()
-                    if key not in solved:
-                        chosen = np.flatnonzero(rows)
-                        if t.numeric:
-                            solved[key] = Ridge(self.alpha, self.fit_intercept).fit(x[np.ix_(chosen, columns)], y[chosen])
-                        else:
-                            chosen = chosen[:: max(1, len(chosen) // TREE_ROWS)]
-                            solved[key] = GiniTree().fit(x[np.ix_(chosen, columns)], y[chosen])
-                    guess[at] = solved[key].predict(z[np.ix_(at, t.features[columns])])
-            out[t.place] = guess
+            if not len(want) or not len(t.features):
+                continue
+            patterns, which = np.unique(np.packbits(gaps[want][:, t.features], axis=1), axis=0, return_inverse=True)
+            asked = [want[which.ravel() == k] for k in range(len(patterns))]
+            asked = [(at, u) for at in asked if len(u := np.flatnonzero(~gaps[at[0], t.features]))]
+            if not parts:
+                self._held(t, z, asked, guess)
+                continue
+            if t.place not in self.ready:
+                self._know(t, parts)
+            sets = 1 << min(EXHAUST, len(self.ready[t.place][1]))
+            step = max(1, PART_BYTES // (8 * max(sets, (len(t.features) + 2) ** 2)))
+            for a in range(0, len(asked), step):
+                self._guess(t, z, asked[a : a + step], parts, guess)
         return out
 
 
-def predict(marked: DataFrame, encoding: Encoding, model: WideModel, names: dict[int, str]) -> DataFrame:
-    """Adds a double column by target place; rows are spread over all cores first."""
+def predict(marked: DataFrame, encoding: Encoding, model: WideModel, names: dict[int, str], z_name: str) -> DataFrame:
+    """Adds a double column by target place.  Rows are dealt by their mask first, in
+    ``SHARES`` for one that very many rows have, so that few batches solve a pattern."""
     from pyspark.sql import types as T
 
     spark = marked.sparkSession
@@ -232,14 +264,15 @@ def predict(marked: DataFrame, encoding: Encoding, model: WideModel, names: dict
     parts = [] if isinstance(model.parts[0], np.ndarray) else model.parts
     values = F.array(*(F.coalesce(v, F.lit(float("nan"))) for v in encoding.values()))
     tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = marked.withColumn("__z", values).repartition(tasks)
+    pattern = masks.mask(encoding.schema, encoding.sources)
+    rows = marked.withColumn(z_name, values).repartition(tasks, F.xxhash64(pattern), F.pmod(F.xxhash64(F.col(z_name)), F.lit(SHARES)))
     schema = T.StructType([*marked.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names.values())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.asarray(batch.column("__z").flatten(), dtype=float).reshape(batch.num_rows, -1)
+            z = np.asarray(batch.column(z_name).flatten(), dtype=float).reshape(batch.num_rows, -1)
             found = sent.value.fill(z, parts)
-            kept = [i for i, n in enumerate(batch.schema.names) if n != "__z"]
+            kept = [i for i, n in enumerate(batch.schema.names) if n != z_name]
             arrays = [batch.column(i) for i in kept] + [pa.array(found[p], mask=np.isnan(found[p])) for p in names]
             fields = [batch.schema.field(i) for i in kept] + [pa.field(n, pa.float64()) for n in names.values()]
             yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(fields))

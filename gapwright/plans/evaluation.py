@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from gapwright.errors import GapValueError
 from gapwright.functions.cells import is_numeric
 from gapwright.operators.inject import at_random, block_starts, blocks
+from gapwright.operators.numbering import numbered
 from gapwright.operators.quality import classification_quality, coverage, numeric_quality
 from gapwright.operators.series_imputer import SeriesImputer
-from gapwright.operators.table_imputer import TableImputer
+from gapwright.operators.table_imputer import TableImputer, free_prefix
 from gapwright.operators.timegrid import regularise
 from gapwright.sources.tables import REGISTRY, complete_rows
 
@@ -28,7 +29,7 @@ def hide(df: DataFrame, order: str, columns: list[str], pattern: str, seed: int
     """``df`` with cells of ``columns`` hidden; only observed cells count as hidden later."""
     kind, how = PATTERNS[pattern]
     if kind == "mar":
-        return at_random(df, how["ratio"], columns, seed)
+        return at_random(df, how["ratio"], columns, seed, order)
     starts, length = block_starts(columns, df.count(), how["frac_columns"], how["length_ratio"], seed)
     return blocks(df, starts, length, order)
 
@@ -38,7 +39,7 @@ def score(truth: DataFrame, hidden: DataFrame, filled: DataFrame, order: str, co
 
     The three tables are joined on ``order``, a unique number of each row.
     """
-    names = lambda df, mark: df.select(F.col(order).alias("__o"), *(F.col(f"`{c}`").alias(f"{mark}{c}") for c in columns))
+    names = lambda df, mark: df.select(F.col(f"`{order}`").alias("__o"), *(F.col(f"`{c}`").alias(f"{mark}{c}") for c in columns))
     wide = names(truth, "t_").join(names(hidden, "h_"), "__o").join(names(filled, "f_"), "__o")
     gone = {c: F.col(f"h_{c}").isNull() & F.col(f"t_{c}").isNotNull() for c in columns}
     numbers = [c for c in columns if is_numeric(truth.schema[c].dataType)]
@@ -62,20 +63,14 @@ def score(truth: DataFrame, hidden: DataFrame, filled: DataFrame, order: str, co
 
 
 def run_table(df: DataFrame, pattern: str, seed: int = 0, **call) -> DataFrame:
-    """Hides cells of the complete rows of a table, imputes and scores; adds the seconds taken."""
-    rows = complete_rows(df).repartitionByRange(*df.columns).sortWithinPartitions(*df.columns)
-    # numbers without holes, as blocks need them
-    from pyspark.sql.window import Window
-
-    marked = rows.withColumn("__p", F.spark_partition_id())
-    local = marked.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*df.columns)) - 1)
-    before = {r["__p"]: r["count"] for r in marked.groupBy("__p").count().collect()}  # one row a partition
-    total, starts = 0, {}
-    for p in sorted(before):
-        starts[p], total = total, total + before[p]
-    offset = F.element_at(F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)), F.col("__p")) if starts else F.lit(0)
-    truth = local.withColumn("__row", offset + F.col("__n")).drop("__p", "__n")
-    return _run(truth, "__row", df.columns, pattern, seed, lambda hidden: TableImputer().fit_table(hidden, beside=["__row"], **call).apply_beside(hidden))
+    """Hides cells of the complete rows of a table, imputes and scores; adds the seconds taken.
+
+    Rows are numbered in the order of all columns; equal rows may change places,
+    which changes nothing.
+    """
+    row = f"{free_prefix(df.columns)}row"
+    truth, _ = numbered(complete_rows(df), df.columns, row)
+    return _run(truth, row, df.columns, pattern, seed, lambda hidden: TableImputer().fit_table(hidden, beside=[row], **call).apply_beside(hidden))
 
 
 def run_series(df: DataFrame, time_col: str, step: int | str | None, pattern: str, seed: int = 0, lags: tuple[int, ...] = (1, 2, 3, -1, -2, -3), **call) -> DataFrame:

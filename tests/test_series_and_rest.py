@@ -193,3 +193,59 @@ def test_parameters(spark):
     for bad in (t, s):
         with pytest.raises(GapValueError):
             bad.set_params(nope=1)
+
+
+def test_calendar_grids_equal_plain_ones(spark):
+    import pandas as pd
+
+    for step, freq, start, end, kind in (
+        ("1 month", pd.DateOffset(months=1), "2020-01-31", "2023-05-31", "date"), ("3 months", pd.DateOffset(months=3), "2020-01-15", "2024-02-01", "timestamp_ntz"),
+        ("1 year", pd.DateOffset(years=1), "2001-03-01", "2020-03-01", "date"), ("1 week", pd.DateOffset(weeks=1), "2024-01-01", "2024-06-05", "date"),
+        ("6 hours", pd.DateOffset(hours=6), "2024-01-01", "2024-01-05", "timestamp_ntz"),
+    ):
+        df = spark.createDataFrame([(start, 1.0), (end, 2.0)], "d string, v double").select(F.col("d").cast(kind).alias("d"), "v")
+        got = regularise(df, "d", step).orderBy("__ord").collect()
+        want, i = [], 0
+        while (t := pd.Timestamp(start) + i * freq) <= pd.Timestamp(end):
+            want.append(t)
+            i += 1
+        assert [pd.Timestamp(r["d"]) for r in got] == want and [r["__ord"] for r in got] == list(range(len(want)))
+    with pytest.raises(GapValueError):
+        regularise(df, "d", "0 months")
+
+
+def test_median_by_narrowing(spark, monkeypatch):
+    import gapwright.operators.quality as module
+
+    monkeypatch.setattr(module, "FEW_VALUES", 20)
+    draw = np.random.default_rng(0)
+    for values in (draw.normal(size=3001), draw.normal(size=5000), draw.integers(0, 2, 4000) * 1.0, draw.integers(0, 2, 4001) * 1.0, np.repeat([1.0, 3.0], 500), np.ones(999), np.array([4.0]), np.zeros(0), np.concatenate([np.zeros(2000), draw.normal(size=2000)])):
+        df = spark.createDataFrame([(float(v),) for v in values], "e double").repartition(3)
+        assert module.middle(df, "e") == (float(np.median(values)) if len(values) else None)
+
+
+def test_hidden_cells_are_the_same_in_every_plan(spark):
+    df = spark.range(2000).select(F.col("id").alias("k"), F.rand(3).alias("a"), F.lit(1.0).alias("b"))
+    one = at_random(df, 0.2, ["a", "b"], 5, "k")
+    a = {r["k"] for r in one.where("a is null").select("k").collect()}
+    assert a == {r["k"] for r in one.repartition(7).orderBy(F.desc("k")).where("a is null").select("k").collect()}
+    b = {r["k"] for r in one.where("b is null").select("k").collect()}
+    assert 300 < len(a) < 500 and 300 < len(b) < 500 and a != b and len(a & b) < 150
+
+
+def test_series_columns_named_like_internal_ones(spark):
+    rows = [(dt.datetime(2024, 1, 1, h), None if h % 5 == 2 else float(h), float(h * h)) for h in range(24) if h != 7]
+    df = spark.createDataFrame(rows, "t timestamp_ntz, v double, w double")
+    want = SeriesImputer("t", interpolate_gaps_less_than=1).impute(df).orderBy("t").collect()
+    for names in (("__ord", "__bucket"), ("__home", "__pv0"), ("__mask", "__ord")):
+        own = df.withColumnsRenamed(dict(zip(("v", "w"), names, strict=True)))
+        got = SeriesImputer("t", interpolate_gaps_less_than=1).impute(own)
+        assert got.columns == own.columns and [tuple(r) for r in got.orderBy("t").collect()] == [tuple(r) for r in want]
+    got = SeriesImputer("__ord", interpolate_gaps_less_than=1).impute(df.withColumnRenamed("t", "__ord"), cols=["v"])
+    assert got.columns == ["__ord", "v", "w"]
+
+
+def test_series_imputer_saved_and_loaded(spark, tmp_path):
+    s = SeriesImputer("t", lags=(1, -1), interpolate_gaps_less_than=2, rng=4)
+    s.write().save(str(tmp_path / "s"))
+    assert SeriesImputer.load(str(tmp_path / "s")).get_params() == s.get_params()

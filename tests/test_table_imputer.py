@@ -96,6 +96,105 @@ def test_many_columns_are_solved_where_the_rows_are(spark):
     assert np.sqrt(((out - full)[hole] ** 2).mean()) < 0.6
 
 
+@pytest.mark.parametrize(("columns", "share", "least"), [(18, 0.15, 20), (18, 0.15, 60), (24, 0.3, 20), (17, 0.3, 500)])
+def test_both_ways_give_equal_results(spark, monkeypatch, columns, share, least):
+    """The way by masks and the wide one, on one table each."""
+    x, _ = holes(400, columns, share, 31)
+    names = [f"c{i}" for i in range(columns)]
+    df = frame(spark, x, names).withColumn("k", F.when(F.col("row") % 7 > 0, F.when(F.col("c0") > 0, "high").otherwise("low"))).repartition(3)
+
+    def run(wide, **call):
+        monkeypatch.setattr(TableImputer, "_is_wide", lambda *a: wide)
+        fitted = TableImputer(min_samples_train=least).fit_table(df, beside=["row"], **call)
+        assert (fitted.wide is not None) == wide
+        out = fitted.apply_beside(df).orderBy("row").toPandas()
+        return out[names].to_numpy(dtype=float), out["k"].tolist()
+
+    for call in ({}, {"n_nearest_features": 6}):
+        (a, k), (b, m) = run(False, **call), run(True, **call)
+        assert k == m and np.abs(a - b).max() < 1e-6
+
+
+def test_memory_of_a_worker_does_not_grow_with_targets():
+    from gapwright.operators.wide import Target, WideModel
+
+    draw = np.random.default_rng(0)
+    z = draw.normal(size=(500, 40))
+    z[draw.random(z.shape) < 0.05] = np.nan
+    model = WideModel([z], [Target(i, np.array([j for j in range(40) if j != i]), True) for i in range(40)], 0.01, True, 20, 1000)
+    model.fill(z[:50])
+    held = [v for t in model.ready.values() for v in t] + list(model.shared)
+    assert sum(v.nbytes for v in held) < 2 * z.nbytes and not model.parts
+
+
+def test_columns_named_like_internal_ones_come_back(spark):
+    x, _ = holes(80, 4, 0.2, 33)
+    df = frame(spark, x)
+    extra = {"__mask": "m", "__sel": "s", "__z0": "z", "__m0": "n", "__p0": "p", "__w_0": "w", "__z": "y"}
+    own = df.withColumns({c: F.lit(v) for c, v in extra.items()})
+    for imputer in (TableImputer(), TableImputer(regressor=_Own())):
+        out = imputer.fit_table(own, beside=["row", *extra]).apply_beside(own)
+        assert out.columns == own.columns and {tuple(r[c] for c in extra) for r in out.collect()} == {tuple(extra.values())}
+        assert np.allclose(values(out, "abcd"), values(impute(df, imputer), "abcd"))
+    clash = df.withColumnRenamed("a", "__mask").withColumnRenamed("b", "__z0")
+    assert np.allclose(values(impute(clash), ["__mask", "__z0", "c", "d"]), values(impute(df), "abcd"))
+
+
+def test_rows_by_place_and_by_many_keys(spark, monkeypatch):
+    import gapwright.operators.table_imputer as module
+
+    x, _ = holes(120, 4, 0.2, 34)
+    df = frame(spark, x).repartition(5)
+    want = values(TableImputer().impute(df, rows=F.col("row").isin(0, 5, 119)), "abcd")
+    for few in (200, 1):
+        monkeypatch.setattr(module, "FEW_ROWS", few)
+        for rows in ({"row": [0, 5, 119]}, {"order": "row", "at": [0, 5, -1]}):
+            out = TableImputer().impute(df, rows=rows)
+            assert out.columns == df.columns and np.allclose(values(out, "abcd"), want, equal_nan=True)
+    for bad, kind in (({"order": "row", "at": [120]}, GapValueError), ({"order": "row", "at": ["x"]}, GapTypeError), ({"order": "zz", "at": [0]}, GapValueError)):
+        with pytest.raises(kind):
+            TableImputer().impute(df, rows=bad)
+
+
+def test_row_numbers(spark, monkeypatch):
+    import gapwright.operators.numbering as module
+
+    monkeypatch.setattr(module, "RANGE", 50)
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"), F.lit(1).alias("n_range")).repartition(6)
+    for table in (df, df.where("k < 0"), df.where("k < 10")):
+        got, total = module.numbered(table, ["k"], "n")
+        rows = sorted((r["k"], r["n"]) for r in got.collect())
+        assert total == len(rows) and [n for _, n in rows] == list(range(total))
+
+
+def test_saved_and_loaded_in_a_pipeline(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+
+    x, _ = holes(60, 3, 0.2, 35)
+    df = frame(spark, x, "abc").drop("row")
+    stages = [TableImputer(alpha=0.5, rng=3, regressor="elm"), VectorAssembler(inputCols=["a", "b", "c"], outputCol="v")]
+    model = Pipeline(stages=stages).fit(df)
+    model.write().overwrite().save(str(tmp_path / "p"))
+    again = PipelineModel.load(str(tmp_path / "p"))
+    assert again.stages[0].get_params() == stages[0].get_params() and again.stages[0].uid == stages[0].uid
+    a, b = (m.transform(df).orderBy("a", "b", "c").select("a", "b", "c").toPandas().to_numpy() for m in (again, model))
+    assert np.allclose(a, b) and not np.isnan(a).any()
+    TableImputer(regressor=_Own()).write().save(str(tmp_path / "t"))
+    assert type(TableImputer.load(str(tmp_path / "t")).regressor) is _Own
+    for bad in (-1, True, "x"):
+        with pytest.raises(GapValueError):
+            TableImputer(rng=bad)
+
+
+def test_labels_of_very_many_values_do_not_stop_a_table(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 10 > 0, F.concat(F.lit("city"), F.col("id") % 1500)).alias("city"), F.when(F.col("id") % 4 > 0, F.col("id") * 2.0).alias("x"), (F.col("id") * 1.0).alias("y"))
+    df = df.unionByName(spark.createDataFrame([("most", 1.0, 1.0)] * 40, df.schema))
+    out = TableImputer().impute(df).toPandas()
+    assert not out.isna().any().any() and (out["city"] == "most").sum() == 340
+    assert np.abs(out["x"] - 2 * out["y"])[: 3000].max() < 5
+
+
 def test_selectors(spark):
     x, _ = holes(100, 4, 0.2, 6)
     df = frame(spark, x)
@@ -174,6 +273,18 @@ def test_nearest_features_and_scores(spark):
             TableImputer().impute(df, n_nearest_features=bad)
 
 
+def plain_largest(lacks, rows, width, least):
+    """By trying every column set."""
+    n = lacks.shape[1]
+    best = (False, 0.0, 0)
+    for k in range(1, 1 << n):
+        keep = np.array([k >> j & 1 for j in range(n)], bool)
+        block = int(rows[~lacks[:, keep].any(axis=1)].sum())
+        if block:
+            best = max(best, (block >= least, float(block * width[keep].sum()), block))
+    return best
+
+
 def test_rectangle():
     lacks = np.zeros((2, 6), bool)
     lacks[1, 1:] = True
@@ -181,17 +292,19 @@ def test_rectangle():
     assert largest(lacks, rows, np.ones(6)).all()
     kept = largest(lacks, rows, np.ones(6), min_rows=20)
     assert kept.tolist() == [True] + [False] * 5
+    assert not largest(np.ones((1, 3), bool), np.array([5]), np.ones(3)).any() and largest(np.zeros((0, 0), bool), np.zeros(0), np.zeros(0)).shape == (0,)
     draw = np.random.default_rng(0)
-    for _ in range(50):
-        lacks = draw.random((30, 6)) < 0.3
-        rows = draw.integers(1, 9, 30)
-        least = int(draw.integers(1, 60))
-        kept = largest(lacks, rows, np.ones(6), least)
-        if kept.any():
-            block = rows[~lacks[:, kept].any(axis=1)].sum()
-            assert block > 0
-            if any(rows[~lacks[:, j]].sum() >= least for j in range(6)) and block < least:
-                pytest.fail("a single column would have had enough rows")
+    for i in range(300):
+        n = 7 if i % 2 else 5
+        lacks = draw.random((30, n)) < 0.3
+        lacks[:, 1] = lacks[:, 0] if i % 5 == 0 else lacks[:, 1]
+        rows, width, least = draw.integers(1, 9, 30), draw.integers(1, 4, n).astype(float), int(draw.integers(1, 60))
+        kept = largest(lacks, rows, width, least)
+        block = int(rows[~lacks[:, kept].any(axis=1)].sum()) if kept.any() else 0
+        assert (block >= least and block > 0, float(block * width[kept].sum()), block) == plain_largest(lacks, rows, width, least)
+    many = draw.random((40, 20)) < 0.2
+    kept = largest(many, np.ones(40), np.ones(20), 5)
+    assert kept.any() and (~many[:, kept].any(axis=1)).sum() >= 5
 
 
 def test_rectangle_path_leaves_nothing_missing(spark):
