@@ -200,6 +200,48 @@ def _impute_sql(names: list[str], targets: list[str] | None = None, rows: str =
     return f"{_standard(names)}, {', '.join(ctes)} select l_orderkey, l_linenumber, {', '.join(columns)} from s, {', '.join(joins)}"
 
 
+def _values_sql(names: list[str], t: str, ctes: list[str], joins: list[str]) -> dict[tuple[str, ...], str]:
+    """The prediction of a target from one or two features, by those features; adds the fits to ``ctes`` and ``joins``."""
+    out = {}
+    others = [c for c in names if c != t]
+    for use in [*combinations(others, 1), *combinations(others, 2)]:
+        name = f"f_{names.index(t)}_" + "_".join(str(names.index(c)) for c in use)
+        ctes.append(f"{name} as ({_fit_sql(t, list(use))})")
+        joins.append(name)
+        value = f"{name}.b0 + " + " + ".join(f"{name}.b{i + 1} * z_{c}" for i, c in enumerate(use))
+        out[use] = f"round(({value}) * s_{t} + m_{t}, 2)"
+    return out
+
+
+def _nearest_sql(names: list[str]) -> str:
+    """Ridge from those of the two nearest features that a row has, then the mean."""
+    ctes, joins, columns = [f"near as (select target, string_agg(feature, ',' order by feature) as best from (select *, row_number() over (partition by target order by score desc) as k from ({SCORES})) where k <= 2 group by 1)"], [], []
+    for t in MEASURES:
+        value = _values_sql(names, t, ctes, joins)
+        cases = []
+        for a, b in combinations([c for c in names if c != t], 2):
+            first, second = sorted((a, b))
+            inner = f"case when {a} is not null and {b} is not null then {value[a, b]} when {a} is not null then {value[a,]} when {b} is not null then {value[b,]} else round(m_{t}, 2) end"
+            cases.append(f"when (select best from near where target = '{t}') = '{first},{second}' then {inner}")
+        columns.append(f"case when {t} is not null then {t} {' '.join(cases)} end as {t}")
+    return f"{_standard(names)}, {', '.join(ctes)} select l_orderkey, l_linenumber, {', '.join(columns)}, l_tax from s, {', '.join(joins)}"
+
+
+def _block_sql(share: float) -> str:
+    """As ``_impute_sql`` for three measures, where fewer than a share of all rows makes a model take the largest complete block."""
+    ctes, joins, columns = [f"least as (select floor(count(*) * {share}) as n from s)"], [], []
+    for t in MEASURES:
+        value = _values_sql(MEASURES, t, ctes, joins)
+        a, b = (c for c in MEASURES if c != t)
+        rows = lambda *use, t=t: "(select count(*) from s where " + " and ".join(f"{c} is not null" for c in (t, *use)) + ")"
+        sets = " union all ".join(f"select '{k}' as k, {len(use)} * {rows(*use)} as area, {rows(*use)} as r, {i} as prio" for i, (k, use) in enumerate((("ab", (a, b)), ("a", (a,)), ("b", (b,)))))
+        ctes.append(f"pick_{t} as (select k as k_{t} from ({sets}), least order by r >= n desc, area desc, r desc, prio limit 1)")
+        joins.append(f"pick_{t}")
+        both = f"case k_{t} when 'ab' then {value[a, b]} when 'a' then {value[a,]} else {value[b,]} end"
+        columns.append(f"case when {t} is not null then {t} when {a} is not null and {b} is not null then {both} when {a} is not null then {value[a,]} when {b} is not null then {value[b,]} else round(m_{t}, 2) end as {t}")
+    return f"{_standard(MEASURES)}, {', '.join(ctes)} select l_orderkey, l_linenumber, {', '.join(columns)} from s, {', '.join(joins)}"
+
+
 def _rounded_new(spark: SparkSession, sf_dir: str, out: DataFrame, names: list[str], digits: int = 2) -> DataFrame:
     """Observed measures have two decimals at most, so rounding touches new cells only."""
     return rounded(out, {c: digits for c in names})
@@ -262,7 +304,7 @@ def impute_selected_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_new(spark, sf_dir, beside(spark, sf_dir, MEASURES, TableImputer(), cols=["l_discount"]), ["l_discount"])
 
 
-@query()
+@query(_nearest_sql([*MEASURES, "l_tax"]))
 def impute_nearest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [*MEASURES, "l_tax"]
     return _rounded_new(spark, sf_dir, beside(spark, sf_dir, names, TableImputer(), n_nearest_features=2), names)
@@ -320,9 +362,15 @@ def integer_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rectangles, trees, estimator objects
 
 
-@query()
+FOUR = [*MEASURES, "l_tax"]
+
+
+@query(f"""with d as ({LINEITEM_GAPS}), g as (select ({MASK})::bigint as mask, count(*) as n from d group by 1),
+  s as (select k, (select sum(n) from g where mask & k = 0) as rows from range(1, 16) as t(k)),
+  best as (select * from s where rows is not null order by rows * bit_count(k) desc, rows desc, (k & 1) * 8 + (k & 2) * 2 + (k & 4) // 2 + (k & 8) // 8 desc limit 1)
+  select list_filter([{", ".join(f"case when k & {1 << i} > 0 then '{c}' end" for i, c in enumerate(FOUR))}], lambda x: x is not null) as columns, rows::bigint as rows from best""")
 def max_complete_rectangle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [*MEASURES, "l_tax"]
+    names = FOUR
     groups = masks.groups(lineitem_gaps(spark, sf_dir), names).collect()
     lacks = np.array([[bool(g["mask"] >> i & 1) for i in range(4)] for g in groups])
     rows = np.array([g["rows"] for g in groups])
@@ -331,7 +379,7 @@ def max_complete_rectangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([([n for n, k in zip(names, keep, strict=True) if k], complete)], "columns array<string>, rows bigint")
 
 
-@query()
+@query(_block_sql(0.78))
 def impute_rectangle_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").count()
     return _rounded_new(spark, sf_dir, beside(spark, sf_dir, MEASURES, TableImputer(min_samples_train=int(rows * 0.78))), MEASURES)
