@@ -354,7 +354,7 @@ class TableImputer(Transformer, Saved):
         k = how_many(n_nearest, len(e.features))
         active = [t for t in targets if t in e.sources and profiles[t].count]
         places = [e.target(t) for t in active]
-        score = pair_relevance(df, e, places, found.rows) if k is not None else None
+        score = pair_relevance(df, e, places, found.rows, parts) if k is not None else None
         features, models = {}, []
         for i, t in enumerate(active):
             own = [j for j, f in enumerate(e.features) if f.source != t]

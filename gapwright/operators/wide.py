@@ -62,23 +62,29 @@ def training_parts(df: DataFrame, encoding: Encoding, total: int, limit_bytes: i
     return parts
 
 
-def pair_relevance(df: DataFrame, encoding: Encoding, targets: list[int], total: int) -> np.ndarray:
-    """As ``relevance``, from sums of all pairs of columns over all rows."""
+def _pair_sums(z: np.ndarray) -> np.ndarray:
+    """Of every pair of columns: rows with both, the first one's sum over these, the sum of products."""
+    seen, z = (~np.isnan(z)).astype(float), np.nan_to_num(z)
+    return np.stack([seen.T @ seen, z.T @ seen, z.T @ z])
+
+
+def pair_relevance(df: DataFrame, encoding: Encoding, targets: list[int], total: int, parts: list) -> np.ndarray:
+    """As ``relevance``, from sums of all pairs of columns over all rows: by the tasks, or of the one array that ``parts`` is."""
     e = len(encoding.features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((3, e, e))
         for batch in batches:
-            z = np.asarray(batch.column("z").flatten(), dtype=float).reshape(batch.num_rows, e)
-            seen = (~np.isnan(z)).astype(float)
-            z = np.nan_to_num(z)
-            sums += np.stack([seen.T @ seen, z.T @ seen, z.T @ z])
+            sums += _pair_sums(np.asarray(batch.column("z").flatten(), dtype=float).reshape(batch.num_rows, e))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size), pa.int32()), pa.array(sums.ravel())], ["at", "x"])
 
-    found = encoded(df, encoding).mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
-    sums = np.zeros(3 * e * e)
-    sums[np.asarray(found["at"])] = np.asarray(found["x"])
-    shared, by, cross = sums.reshape(3, e, e)
+    if isinstance(parts[0], np.ndarray):
+        shared, by, cross = _pair_sums(parts[0])
+    else:
+        found = encoded(df, encoding).mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        sums = np.zeros(3 * e * e)
+        sums[np.asarray(found["at"])] = np.asarray(found["x"])
+        shared, by, cross = sums.reshape(3, e, e)
     mean = np.diag(by) / np.maximum(np.diag(shared), 1)
     dev = cross - mean[None, :] * by - mean[:, None] * by.T + shared * np.outer(mean, mean)
     var = np.where(np.diag(dev) > 1e-12 * np.maximum(1, np.diag(cross)), np.diag(dev), np.nan)
