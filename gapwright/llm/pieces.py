@@ -18,10 +18,12 @@ from gapwright.llm.common import slices
 
 #: Where the public vocabulary lies; a parameter of every entry point.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose segmentations a worker remembers.
-MEMORY = 300_000
+#: Words whose segmentations a worker remembers, and some more while it works on a slice.
+MEMORY = 60_000
 #: Bits of a cost that count pieces.
 COUNT_BITS = 32
+#: Stands for what no segmentation costs.
+NO_GAP = 1 << 62
 #: A vocabulary beyond this many pieces is not sent to the workers.
 MAX_PIECES = 2_000_000
 
@@ -298,7 +300,11 @@ class SideBySide:
 
 
 class Segmenter:
-    """Segments whole texts, remembering the parts between cuts."""
+    """Segments whole texts, remembering the parts between cuts.
+
+    Of each part: the score and the pieces of its best cost, what the second
+    best costs more, and where its ids lie.
+    """
 
     def __init__(self, v: Vocabulary, n: int):
         self.v, self.n = v, n
@@ -309,22 +315,23 @@ class Segmenter:
     def clear(self) -> None:
         self.known.clear()
         self.texts: list[str] = []
-        self.spelt: list[bytes] = []
-        self.cost: list[int] = []
-        self.gap: list[int] = []
+        self.spelt, self.first, self.count = array("i"), array("q", [0]), array("q")
+        self.score, self.weight, self.gap = array("q"), array("q"), array("q")
         self.searched: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
 
-    def _learn(self, text: str, cost: int, gap: int, ids: bytes) -> None:
-        self.known[text] = len(self.texts)
-        self.texts.append(text)
-        self.spelt.append(ids)
-        self.cost.append(cost)
-        self.gap.append(gap if gap >= 0 else 1 << 200)
+    def _learn(self, texts: list[str], score: np.ndarray, weight: np.ndarray, gap: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        start, at = len(self.texts), self.first[-1]
+        self.known.update(zip(texts, range(start, start + len(texts)), strict=True))
+        self.texts += texts
+        self.spelt.frombytes(ids.astype("<i4").tobytes())
+        for mine, new in ((self.score, score), (self.weight, weight), (self.gap, gap), (self.count, count), (self.first, at + np.cumsum(count))):
+            mine.frombytes(np.asarray(new, dtype=np.int64).tobytes())
 
-    def _part(self, text: str) -> int:
+    def _part(self, text: str) -> None:
         cost, ids, gap = best_and_gap(text, self.v)
-        self._learn(text, cost, gap, array("i", ids).tobytes())
-        return self.known[text]
+        low = (1 << COUNT_BITS) - 1
+        gap = NO_GAP if gap < 0 else min(gap, NO_GAP)
+        self._learn([text], np.array([cost >> COUNT_BITS]), np.array([cost & low]), np.array([gap]), np.array(ids), np.array([len(ids)]))
 
     def prepare(self, texts: list[str | None]) -> list[list[str]]:
         """The parts of many texts; new ones are learned side by side."""
@@ -337,56 +344,56 @@ class Segmenter:
         for a in range(0, len(which), SideBySide.AT_ONCE):
             part = slice(a, a + SideBySide.AT_ONCE)
             cost, gap, ids, count = self.many.solve(size[part], grid[part])
-            spelt, ends = ids.astype("<i4").tobytes(), (np.cumsum(count) * 4).tolist()
-            first = len(self.texts)
             chosen = [words[k] for k in which[part].tolist()]
-            self.known.update(zip(chosen, range(first, first + len(chosen)), strict=True))
-            self.texts += chosen
-            self.spelt += [spelt[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
-            self.cost += cost.tolist()
-            self.gap += [g if g >= 0 else 1 << 200 for g in gap.tolist()]
+            self._learn(chosen, cost >> COUNT_BITS, cost & ((1 << COUNT_BITS) - 1), np.where(gap < 0, NO_GAP, gap), ids, count)
         for k in np.setdiff1d(np.arange(len(words)), which).tolist():
             self._part(words[k])
         return parts
 
-    def ways(self, found: list[str]) -> list[tuple[int, bytes]]:
-        """Of prepared parts: the n best segmentations (cost, ids as int32 bytes), best first; all if fewer."""
-        parts = list(map(self.known.__getitem__, found))
-        spelt = list(map(self.spelt.__getitem__, parts))
-        ids, base = b"".join(spelt), sum(map(self.cost.__getitem__, parts))
-        if self.n == 1 or not parts:
+    def ways(self, found: list[str]) -> list[tuple[int, np.ndarray]]:
+        """Of prepared parts: the n best segmentations (cost, ids as int32), best first; all if fewer."""
+        if not found:
+            return [(0, np.zeros(0, dtype="<i4"))]
+        view = lambda x, kind=np.int64: np.frombuffer(x, dtype=kind)
+        parts = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+        count = view(self.count)[parts]
+        ends = np.cumsum(count)
+        ids = view(self.spelt, "<i4")[np.repeat(view(self.first)[parts] - ends + count, count) + np.arange(ends[-1])]
+        base = (int(view(self.score)[parts].sum()) << COUNT_BITS) + int(view(self.weight)[parts].sum())
+        if self.n == 1:
             return [(base, ids)]
         out = []
-        for extra, other in self._others(parts):
-            now, at = ids, 0
+        for extra, other in self._others(parts, view(self.gap)[parts]):
+            now = ids
             for k in sorted(other, reverse=True):
-                at = sum(map(len, spelt[:k]))
-                now = now[:at] + array("i", other[k]).tobytes() + now[at + len(spelt[k]) :]
+                now = np.concatenate([now[: ends[k] - count[k]], np.array(other[k], dtype="<i4"), now[ends[k] :]])
             out.append((base + extra, now))
         return out
 
-    def _others(self, parts: list[int]) -> list[tuple[int, dict[int, tuple[int, ...]]]]:
+    def _others(self, parts: np.ndarray, gaps: np.ndarray) -> list[tuple[int, dict[int, tuple[int, ...]]]]:
         """The n best ways beyond the best: (extra cost, other ids by part).
 
-        Only the n - 1 parts with the least second-best gaps can matter: any
-        other change has that many cheaper ones ahead of it.
+        Only the n - 1 parts with the least second-best gaps can matter (the
+        first ones on ties): any other change has that many cheaper ones ahead of it.
         """
-        gaps = list(map(self.gap.__getitem__, parts))
-        few: list[int] = []
-        for g in heapq.nsmallest(self.n - 1, gaps):
-            few.append(gaps.index(g, few[-1] + 1 if few and gaps[few[-1]] == g else 0))
-        paths = [self._paths(parts[k]) for k in few]
+        few = range(len(gaps))
+        if len(gaps) > self.n - 1:
+            edge = np.partition(gaps, self.n - 2)[self.n - 2]
+            few = np.concatenate([np.flatnonzero(gaps < edge), np.flatnonzero(gaps == edge)])[: self.n - 1].tolist()
+        paths = [self._paths(int(parts[k])) for k in few]
         values = [[c - p[0][0] for c, _ in p] for p in paths]
         return [(total, {few[j]: paths[j][x][1] for j, x in enumerate(chosen) if x}) for total, chosen in combine(values, self.n)]
 
     def _paths(self, part: int) -> list[tuple[int, tuple[int, ...]]]:
         if part not in self.searched:
+            if len(self.searched) > MEMORY // 4:
+                self.searched.clear()
             self.searched[part] = nbest(self.texts[part], self.n, self.v)
         return self.searched[part]
 
     def all(self, text: str) -> list[tuple[int, list[int]]]:
         """The n best segmentations (cost, ids) of a whole text; an empty text has one of no pieces."""
-        return [(cost, array("i", ids).tolist()) for cost, ids in self.ways(self.prepare([text])[0])]
+        return [(cost, ids.tolist()) for cost, ids in self.ways(self.prepare([text])[0])]
 
 
 def decode(ids: list[int], v: Vocabulary) -> str:
@@ -456,9 +463,9 @@ def digest(docs: DataFrame, v: Vocabulary, n: int = 3, id_col: str = "doc_id", t
             texts = part.column("text").to_pylist()
             for text, parts in zip(texts, s.prepare(texts), strict=True):
                 ways = s.ways(parts)
-                found = np.frombuffer(ways[0][1], dtype="<i4")
+                found = ways[0][1]
                 count.append(len(found))
-                sha.append([hashlib.sha256(ids).hexdigest() for _, ids in ways])
+                sha.append([hashlib.sha256(ids.tobytes()).hexdigest() for _, ids in ways])
                 scores.append([score_of(c, s.v) for c, _ in ways])
                 same.append(decode(found.tolist(), s.v) == (text or ""))
             yield pa.RecordBatch.from_arrays(

@@ -702,8 +702,8 @@ def test_words_side_by_side_equal_single_ones(vocabulary):
     for w in s.known:
         cost, ids, gap = pieces.best_and_gap(w, vocabulary)
         k = s.known[w]
-        assert s.cost[k] == cost and (s.gap[k] == gap or (gap < 0 and s.gap[k] == 1 << 200))
-        assert tuple(np.frombuffer(s.spelt[k], dtype="<i4").tolist()) == ids == pieces.nbest(w, 1, vocabulary)[0][1]
+        assert (s.score[k] << pieces.COUNT_BITS) + s.weight[k] == cost and (s.gap[k] == gap or (gap < 0 and s.gap[k] == pieces.NO_GAP))
+        assert tuple(s.spelt[s.first[k] : s.first[k] + s.count[k]]) == ids == pieces.nbest(w, 1, vocabulary)[0][1]
 
 
 def plain_scores(text, n, path=pieces.MODEL_PATH):
@@ -744,7 +744,7 @@ def test_very_many_pieces_without_a_space(vocabulary):
     s = pieces.Segmenter(vocabulary, 2)
     text = "é☃" * 40_000
     cost, ids = s.ways(s.prepare([text])[0])[0]
-    assert len(ids) // 4 > 65_536 and pieces.decode(np.frombuffer(ids, "<i4").tolist(), vocabulary) == text
+    assert len(ids) > 65_536 and pieces.decode(ids.tolist(), vocabulary) == text
     one = pieces.Segmenter(vocabulary, 1)
     part = one.ways(one.prepare(["é☃" * 400])[0])[0][0]
     assert abs(pieces.score_of(cost, vocabulary) / pieces.score_of(part, vocabulary) - 100) < 0.5
