@@ -30,6 +30,8 @@ SCRIPTS = [
     ("kana", 0x3040, 0x30FF),
     ("han", 0x3400, 0x9FFF),
 ]
+#: Bytes of text labelled at once: the steps of Viterbi are as many as the longest text's words, so few slices are better.
+TEXT_BYTES = 4 << 20
 #: Hashed character trigrams (a word's ends count as characters).
 BUCKETS = 1 << 15
 UNKNOWN = "und"
@@ -139,7 +141,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TEXT_BYTES):
             words = split_words(part.column("text"))
             if not len(words.codes):
                 continue
@@ -205,7 +207,7 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     span = pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TEXT_BYTES):
             words, path, lettered = _labelled(part.column("text"), model, penalty)
             n = part.num_rows
             row = np.repeat(np.arange(n), words.lengths)
@@ -242,7 +244,7 @@ def filter_known(docs: DataFrame, model: Model, text_col: str = "text", penalty:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
+        for part in slices(batches, text_col, TEXT_BYTES):
             some, _, score = _voted(*_labelled(part.column(text_col), model, penalty), model)
             yield part.filter(pa.array(some & (score >= least)))
 
