@@ -589,6 +589,86 @@ def test_language_spans_and_scripts(docs_of, odd):
     assert right == len(held)
 
 
+def plain_languages(docs, penalty=12.0):
+    """(lang, share) of every text: trigram counts in dictionaries, Viterbi over all label pairs."""
+    import math
+    import zlib
+
+    def words(t):
+        return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+    def grams(w):
+        p = [ord(c) for c in f" {w.lower()} "]
+        out = []
+        for a, b, c in zip(p, p[1:], p[2:], strict=False):
+            h = a * 0x9E3779B1 + b * 0x85EBCA6B + c * 0xC2B2AE35
+            out.append((h ^ (h >> 15)) & (langid.BUCKETS - 1))
+        return out
+
+    def script(w):
+        def one(c):
+            if not c.isalpha():
+                return 0
+            return next((i + 2 for i, (_, low, high) in enumerate(langid.SCRIPTS) if low <= ord(c) <= high), 1)
+
+        return max(map(one, w.lower()))
+
+    count, scripts = {}, {}
+    for i, t, lang in docs:
+        if i is not None and t is not None and lang is not None and zlib.crc32(str(i).encode()) % 5:
+            for w in words(t):
+                for g in grams(w):
+                    count.setdefault(lang, {})[g] = count.setdefault(lang, {}).get(g, 0) + 1
+                scripts.setdefault(lang, {})[script(w)] = scripts.setdefault(lang, {}).get(script(w), 0) + 1
+    langs = sorted(count)
+    total = {x: sum(count[x].values()) + 0.1 * langid.BUCKETS for x in langs}
+    lettered = {x: sum(n for k, n in scripts[x].items() if k) for x in langs}
+    out = []
+    for _, t, _ in docs:
+        rows, real = [], []
+        for w in words(t):
+            k = script(w)
+            real.append(k > 0)
+            score = [sum(math.log((count[x].get(g, 0) + 0.1) / total[x]) for g in grams(w)) for x in langs]
+            can = [scripts[x].get(k, 0) >= 0.01 * max(lettered[x], 1) for x in langs]
+            top = max(score)
+            score = [s - top if c or not any(can) else -50.0 for s, c in zip(score, can, strict=True)]
+            top = max(score)
+            rows.append([max(s - top, -50.0) if k else 0.0 for s in score])
+        if not any(real) or not langs:
+            out.append(("und", 0.0))
+            continue
+        best, back = rows[0], []
+        for row in rows[1:]:
+            came = [max(range(len(langs)), key=lambda a, b=b: (best[a] - penalty * (a != b), a == b, -a)) for b in range(len(langs))]
+            back.append(came)
+            best = [best[a] - penalty * (a != b) + row[b] for b, a in enumerate(came)]
+        path = [best.index(max(best))]
+        for came in reversed(back):
+            path.append(came[path[-1]])
+        votes = [0] * len(langs)
+        for label, yes in zip(reversed(path), real, strict=True):
+            votes[label] += yes
+        out.append((langs[votes.index(max(votes))], max(votes) / sum(votes)))
+    return out
+
+
+def test_languages_against_brute_force(docs_of, odd):
+    draw = random.Random(17)
+    stems = {"aa": "kumo tela riva sando mire palto", "bb": "хата небо зима мова слово", "cc": "thorn wegh stral kronk bluft", "dd": "μέρα νύχτα θάλασσα γη"}
+    word = lambda x: draw.choice(stems[x].split()) + draw.choice(["", "s", ",", "42"])
+    docs = []
+    for i in range(80):
+        lang, other = draw.choice(list(stems)), draw.choice(list(stems))
+        n = draw.randint(1, 30)
+        docs.append((i, " ".join([*(word(lang) for _ in range(n)), *(word(other) for _ in range(draw.choice([0, 0, 1, 8]))), *(["12", "--"] * draw.randint(0, 2))]), lang if draw.random() < 0.9 else None))
+    docs += [(i, t, None) for i, t in odd if t is None or len(t) < 1000]
+    df = docs_of(docs)
+    want = plain_languages(docs)
+    got = langid.label(df, langid.train(df)).collect()
+    assert sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 6)) for r in got) == sorted((str(d[0]), x, round(s, 6)) for d, (x, s) in zip(docs, want, strict=True))
+
+
 # --- op9
 
 
