@@ -75,4 +75,4 @@ def interpolate(df: DataFrame, columns: list[str], longest: int, order: str = "_
         trailing = no.isNull() & (F.lit(final) - po <= longest)
         value = F.when(short, linear).when(trailing, pv)
         out[c] = F.when(missing(c, kind), F.coalesce(restore(value, kind), F.col(f"`{c}`"))).otherwise(F.col(f"`{c}`"))
-    return wide.withColumns(out).select(*df.columns)
+    return wide.withColumns(out).select(*(F.col(f"`{c}`") for c in df.columns))

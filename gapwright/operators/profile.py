@@ -140,7 +140,7 @@ def profile(df: DataFrame) -> dict[str, ColumnProfile]:
 def profile_table(df: DataFrame) -> DataFrame:
     """(column, observed, missing, mean, std) of the numeric columns, as a table."""
     names = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-    wide = profile_row(df.select(*names)).withColumnRenamed(":rows", "rows")
+    wide = profile_row(df.select(*(F.col(f"`{n}`") for n in names))).withColumnRenamed(":rows", "rows")
     parts = [
         F.struct(F.lit(n).alias("column"), F.col(f"`{n}:n`").alias("observed"), (F.col("rows") - F.col(f"`{n}:n`")).alias("missing"),
                  F.col(f"`{n}:mean`").alias("mean"), F.col(f"`{n}:std`").alias("std"))

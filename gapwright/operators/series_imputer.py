@@ -76,10 +76,10 @@ class SeriesImputer(Transformer, Saved):
         if self.calendar:
             features, extra = add_calendar(features, self.time_col)
             made += extra
-        targets = TableImputer._targets(df.select(*names), cols) if cols is not None else names
+        targets = TableImputer._targets(df.drop(self.time_col), cols) if cols is not None else names
         chosen, beside = self._selected(rows, before, after), (self.time_col, "__ord")
         fitted = self.table.fit_table(features, chosen, targets, n_nearest_features, normalize, beside, made)
-        return fitted.apply_beside(features, chosen).select(*df.columns)
+        return fitted.apply_beside(features, chosen).select(*(F.col(f"`{c}`") for c in df.columns))
 
     def _shielded(self, df: DataFrame, clash: list[str], rows: object, cols: object, n_nearest: int | float | None, normalize: bool, before: object, after: object) -> DataFrame:
         """As ``impute`` for columns named as the grid's own ones may be: they have other names meanwhile."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -68,8 +68,7 @@ class Fitted:
         """(target, features): which features each target's models may use."""
         return spark.createDataFrame(list(self.features.items()), "target string, features array<string>")
 
-    def _model_table(self, df: DataFrame, keep: Callable[[str], bool], own: str) -> DataFrame:
-        names = [t for t in self.targets if keep(t)]
+    def _model_table(self, df: DataFrame, names: list[str], own: str) -> DataFrame:
         ridge = pa.struct([("intercept", pa.float64()), ("coef", pa.list_(pa.float64()))])
         tree = pa.struct([("feature", pa.list_(pa.int32())), ("threshold", pa.list_(pa.float64())), ("leaf", pa.list_(pa.int32()))])
         shown = [m for m, found in self.models.items() if any(t in found for t in names)]
@@ -99,10 +98,10 @@ class Fitted:
         order, chosen = df.columns, F.lit(True) if selected is None else selected
         own = free_prefix(order)
         marked = df.withColumn(f"{own}sel", chosen).withColumn(f"{own}mask", masks.mask(df.schema, self.encoding.sources))
-        plain = [t for t in self.targets if t not in self.objects]
+        plain = [t for t in self.targets if t not in self.objects and t in self.encoding.sources]
         values = [F.coalesce(v, F.lit(0.0)) for v in self.encoding.values()]
         if any(t in found for found in self.models.values() for t in plain):
-            marked = marked.join(self._model_table(df, lambda t: t not in self.objects, own), f"{own}mask", "left")
+            marked = marked.join(self._model_table(df, plain, own), f"{own}mask", "left")
             # each feature is computed once a row, whatever the number of targets
             marked = marked.select("*", *(v.alias(f"{own}z{j}") for j, v in enumerate(values)))
         else:
@@ -169,7 +168,7 @@ class Fitted:
                     arrays.append(pa.array(out, mask=np.isnan(out)))
                 yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([*batch.schema, *(pa.field(f"{own}p{i}", pa.float64()) for i, t in enumerate(targets) if t in fitted)]))
 
-        return marked.select(*names).mapInArrow(run, schema)
+        return marked.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)
 
 
 class TableImputer(Transformer, Saved):

@@ -31,7 +31,7 @@ def micros(c: Column) -> Column:
 def step_facts(df: DataFrame, time_col: str) -> DataFrame:
     """One row: points, distinct, nulls, first, last, base (least positive gap) and
     odd (gaps that the base does not divide), times in microseconds."""
-    t = df.select(micros(F.col(time_col)).alias("t"))
+    t = df.select(micros(F.col(f"`{time_col}`")).alias("t"))
     total = t.agg(F.count("*").alias("rows"), F.count("t").alias("points"), F.countDistinct("t").alias("distinct"), F.min("t").alias("first"), F.max("t").alias("last"))
     # gaps between neighbours: buckets by range keep the ordering off a single task
     spread = t.where("t is not null").repartitionByRange("t").sortWithinPartitions("t").withColumn("p", F.spark_partition_id())
@@ -66,7 +66,7 @@ def calendar_order(df: DataFrame, time_col: str) -> Column | None:
     as it is: months have one day of the month, or all are month ends, and one
     time of day; weekdays cross a weekend.  One aggregate tells.
     """
-    t = F.col(time_col)
+    t = F.col(f"`{time_col}`")
     day = F.datediff(t.cast("date"), F.lit("1970-01-05").cast("date"))  # a Monday
     month = F.year(t) * 12 + F.month(t)
     work = F.floor(day / 7) * 5 + F.weekday(t)
@@ -104,17 +104,17 @@ def regularise(df: DataFrame, time_col: str, step: int | str | None = None) -> D
         if order is not None:
             return df.withColumn("__ord", order)
         step = infer_step(df, time_col)
-    first, last = df.agg(F.min(time_col), F.max(time_col)).first()
+    first, last = df.agg(F.min(f"`{time_col}`"), F.max(f"`{time_col}`")).first()
     if first is None:
         return df.withColumn("__ord", F.lit(None).cast("bigint"))
     if isinstance(step, str):
         grid = _calendar_grid(df, time_col, step)
     else:
-        ends = df.agg(F.min(micros(F.col(time_col))).alias("a"), F.max(micros(F.col(time_col))).alias("b")).first()
+        ends = df.agg(F.min(micros(F.col(f"`{time_col}`"))).alias("a"), F.max(micros(F.col(f"`{time_col}`"))).alias("b")).first()
         points = (ends["b"] - ends["a"]) // step + 1
         at = F.timestamp_micros(F.lit(ends["a"]) + F.col("id") * step)
         grid = df.sparkSession.range(points).select(F.col("id").alias("__ord"), at.cast(kind).alias(time_col))
-    return grid.join(df, time_col, "left").select(*df.columns, "__ord")
+    return grid.join(df, time_col, "left").select(*(F.col(f"`{c}`") for c in df.columns), "__ord")
 
 
 def _calendar_grid(df: DataFrame, time_col: str, step: str) -> DataFrame:
@@ -124,14 +124,14 @@ def _calendar_grid(df: DataFrame, time_col: str, step: str) -> DataFrame:
     than nine tenths of another); those beyond the last time are left out.
     """
     kind = df.schema[time_col].dataType
-    row = df.agg(F.min(time_col).alias("a"), F.max(time_col).alias("b"))
+    row = df.agg(F.min(f"`{time_col}`").alias("a"), F.max(f"`{time_col}`").alias("b"))
     found = row.select((micros(F.col("b")) - micros(F.col("a"))).alias("span"), (micros(F.expr(f"a + interval {step}")) - micros(F.col("a"))).alias("one")).first()
     if found["one"] <= 0:
         raise GapValueError(f"the step {step} does not lead onwards")
     most = int(found["span"] / (0.9 * found["one"])) + 2
     point = F.expr(f"cast(a + cast(__ord as int) * interval {step} as {kind.simpleString()})")
     grid = df.sparkSession.range(most).select(F.col("id").alias("__ord")).crossJoin(F.broadcast(row))  # with one row
-    return grid.withColumn(time_col, point).where(F.col(time_col) <= F.col("b")).select("__ord", time_col)
+    return grid.withColumn(time_col, point).where(F.col(f"`{time_col}`") <= F.col("b")).select("__ord", f"`{time_col}`")
 
 
 def with_neighbours(df: DataFrame, columns: dict[str, Column], halo: int, order: str = "__ord", bucket: int = BUCKET) -> DataFrame:

@@ -16,7 +16,8 @@ from gapwright.operators.quality import classification_quality, coverage, numeri
 from gapwright.operators.series_imputer import SeriesImputer
 from gapwright.operators.table_imputer import TableImputer, free_prefix
 from gapwright.operators.timegrid import regularise
-from gapwright.sources.tables import REGISTRY, complete_rows
+from gapwright.sources.datasets import DATASETS
+from gapwright.sources.tables import complete_rows, write
 
 #: Ways to hide cells: name to (kind, arguments).
 PATTERNS: dict[str, tuple[str, dict]] = {
@@ -41,12 +42,12 @@ def score(truth: DataFrame, hidden: DataFrame, filled: DataFrame, order: str, co
     """
     names = lambda df, mark: df.select(F.col(f"`{order}`").alias("__o"), *(F.col(f"`{c}`").alias(f"{mark}{c}") for c in columns))
     wide = names(truth, "t_").join(names(hidden, "h_"), "__o").join(names(filled, "f_"), "__o")
-    gone = {c: F.col(f"h_{c}").isNull() & F.col(f"t_{c}").isNotNull() for c in columns}
+    gone = {c: F.col(f"`h_{c}`").isNull() & F.col(f"`t_{c}`").isNotNull() for c in columns}
     numbers = [c for c in columns if is_numeric(truth.schema[c].dataType)]
     labels = [c for c in columns if c not in numbers]
 
     def pairs(chosen: list[str], kind: str) -> DataFrame:
-        cells = F.array(*(F.struct(gone[c].alias("g"), F.col(f"t_{c}").cast(kind).alias("t"), F.col(f"f_{c}").cast(kind).alias("f")) for c in chosen))
+        cells = F.array(*(F.struct(gone[c].alias("g"), F.col(f"`t_{c}`").cast(kind).alias("t"), F.col(f"`f_{c}`").cast(kind).alias("f")) for c in chosen))
         return wide.select(F.explode(cells).alias("x")).where("x.g").select("x.t", "x.f")
 
     parts = []
@@ -54,7 +55,7 @@ def score(truth: DataFrame, hidden: DataFrame, filled: DataFrame, order: str, co
         parts.append(numeric_quality(pairs(numbers, "double"), F.col("t"), F.col("f")))
     if labels:
         parts.append(classification_quality(pairs(labels, "string"), F.col("t"), F.col("f")))
-    done = coverage(wide, gone, {c: F.col(f"f_{c}") for c in columns})
+    done = coverage(wide, gone, {c: F.col(f"`f_{c}`") for c in columns})
     parts.append(done.agg(F.sum("masked").alias("masked"), F.sum("filled").alias("filled"), F.try_divide(F.sum("filled"), F.sum("masked")).alias("coverage")))
     out = parts[0]
     for p in parts[1:]:
@@ -96,12 +97,19 @@ def _run(truth: DataFrame, order: str, columns: list[str], pattern: str, seed: i
     return out.withColumns({"pattern": F.lit(pattern), "seconds": F.lit(took)})
 
 
-def run_suite(spark, names: list[str] | None = None, seed: int = 0) -> DataFrame:
-    """All patterns over the registered tables that need no file."""
-    out = None
-    for name in names or ["synthetic_mixed"]:
-        kind, load, call = REGISTRY[name]
+def run_suite(spark, names: list[str] | None = None, seed: int = 0, folder: str = "", out: str | None = None, check: bool = True) -> DataFrame:
+    """All patterns over datasets whose files lie in ``folder`` (by default those that need none),
+    one row each; also written as CSV to ``out``."""
+    found = None
+    for name in names or [n for n, d in DATASETS.items() if d.make]:
+        if name not in DATASETS:
+            raise GapValueError(f"unknown dataset {name}; known are {sorted(DATASETS)}")
+        dataset = DATASETS[name]
+        df = dataset.load(spark, folder, check)
         for pattern in PATTERNS:
-            row = run_table(load(spark), pattern, seed, **call).withColumn("dataset", F.lit(name))
-            out = row if out is None else out.unionByName(row, allowMissingColumns=True)
-    return out
+            row = run_series(df, "time", dataset.step, pattern, seed, **dataset.call) if dataset.kind == "series" else run_table(df, pattern, seed, **dataset.call)
+            row = row.withColumn("dataset", F.lit(name))
+            found = row if found is None else found.unionByName(row, allowMissingColumns=True)
+    if out:
+        write(found.coalesce(1), out, "csv")  # some rows a dataset
+    return found

@@ -72,13 +72,13 @@ def synthetic_mixed(spark: SparkSession, seed: int = 0, rows: int = 1200) -> Dat
     return base.select(age, income, points, segment, region, (F.col("u0") + F.col("u4") > 1).alias("is_active"))
 
 
-def checked_file(path: str, sha256: str) -> str:
-    """A local file's path, if its content is the expected one."""
-    digest = hashlib.sha256()
+def checked_file(path: str, expected: str, algorithm: str = "sha256") -> str:
+    """A local file's path, if its content has the expected digest."""
+    digest = hashlib.new(algorithm)
     with open(path, "rb") as f:
         for block in iter(lambda: f.read(1 << 20), b""):
             digest.update(block)
-    if digest.hexdigest() != sha256:
+    if digest.hexdigest() != expected:
         raise GapValueError(f"{path} is not the expected file")
     return path
 

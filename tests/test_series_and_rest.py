@@ -249,3 +249,50 @@ def test_series_imputer_saved_and_loaded(spark, tmp_path):
     s = SeriesImputer("t", lags=(1, -1), interpolate_gaps_less_than=2, rng=4)
     s.write().save(str(tmp_path / "s"))
     assert SeriesImputer.load(str(tmp_path / "s")).get_params() == s.get_params()
+
+
+def test_datasets_from_files(spark, tmp_path):
+    """Small files of the public ones' layout."""
+    import hashlib
+
+    from gapwright.plans.evaluation import run_suite
+    from gapwright.sources.datasets import DATASETS
+
+    draw = np.random.default_rng(0)
+    x = draw.normal(size=(120, 3)) @ draw.normal(size=(3, 12))
+    times = pd.date_range("2024-01-01", periods=120, freq="5min")
+    frame_ = pd.DataFrame(x, columns=[f"c{i}" for i in range(12)])
+    frame_.to_csv(tmp_path / "winequality-red.csv", sep=";", index=False)
+    frame_.iloc[:, :4].where(frame_["c0"] < 2, 0.0).set_index(times).drop(times[7]).to_csv(tmp_path / "METR-LA.csv")
+    hours_ = pd.date_range("2010-01-01", periods=120, freq="h")
+    pd.DataFrame({"No": range(120), "year": hours_.year, "month": hours_.month, "day": hours_.day, "hour": hours_.hour, "pm2.5": x[:, 0], "cbwd": np.where(x[:, 1] > 0, "NW", "cv"), "Is": range(120)}).drop(30).to_csv(tmp_path / "PRSA_data_2010.1.1-2014.12.31.csv", index=False, na_rep="NA")
+    pd.concat([pd.Series(draw.choice(list("MFI"), 120)), frame_.iloc[:, :8]], axis=1).to_csv(tmp_path / "abalone.data", index=False, header=False)
+    load = lambda n: DATASETS[n].load(spark, str(tmp_path), check=False)
+    assert load("wine_quality_red").count() == 120 and len(load("wine_quality_red").columns) == 12
+    metr = load("metr_la")
+    assert metr.count() == 120 and metr.columns[0] == "time" and metr.where("c0 is null").count() == (x[:, 0] >= 2).sum() + (x[7, 0] < 2)
+    pm = load("beijing_pm25")
+    assert pm.columns == ["time", "pm2.5", "cbwd", "Is"] and pm.count() == 120 and pm.where("cbwd is null").count() == 1
+    assert dict(load("abalone").dtypes)["sex"] == "string" and load("abalone").columns[-1] == "rings"
+    with pytest.raises(GapValueError):
+        DATASETS["abalone"].load(spark, str(tmp_path))
+    (tmp_path / "abalone.data").rename(tmp_path / "spambase.data")
+    with pytest.raises(GapValueError):
+        DATASETS["spambase"].load(spark, str(tmp_path), check=False)
+    assert hashlib.md5((tmp_path / "spambase.data").read_bytes()).hexdigest() != DATASETS["spambase"].md5
+    rows = run_suite(spark, ["wine_quality_red"], folder=str(tmp_path), out=str(tmp_path / "out"), check=False).collect()
+    assert {r["dataset"] for r in rows} == {"wine_quality_red"} and all(r["coverage"] == 1.0 for r in rows)
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
+    with pytest.raises(GapValueError):
+        run_suite(spark, ["nope"])
+
+
+def test_names_with_dots(spark):
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), None if h % 5 == 2 else float(h), "a" if h % 2 else "b", float(h * h)) for h in range(60)]
+    df = spark.createDataFrame(rows, "t timestamp_ntz, v double, k string, w double")
+    dotted = df.withColumnsRenamed({"v": "v.1", "t": "t.x", "k": "k 2"})
+    want = SeriesImputer("t", interpolate_gaps_less_than=1).impute(df).orderBy("t").collect()
+    got = SeriesImputer("t.x", interpolate_gaps_less_than=1).impute(dotted).orderBy("`t.x`")
+    assert got.columns == dotted.columns and [tuple(r) for r in got.collect()] == [tuple(r) for r in want]
+    table = TableImputer().impute(dotted.drop("t.x"))
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, TableImputer().impute(df.drop("t")).collect()))

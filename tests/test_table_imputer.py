@@ -359,8 +359,10 @@ def test_elm_on_a_table_and_parameters(spark):
     b = RandomLayerRidge(n_features=40).fit_table(df, ["p", "q", "r"], "y")
     assert np.allclose(a.predict(X), b.predict(X), atol=1e-6)
     assert RandomLayerRidge().width(50) == 10 and RandomLayerRidge(min_samples_per_feature=0).width(50) == 100
-    b.set_params(random_state=1)
-    assert not b.layers
+    old = b.hidden(X, 5)
+    assert np.allclose(b.hidden(X, 9)[:, :5], old) and not np.allclose(b.set_params(random_state=1).hidden(X, 5), old)
+    with pytest.raises(GapValueError):
+        RandomLayerRidge(n_features=0)
     with pytest.raises(GapValueError):
         b.set_params(nope=1)
 
