@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 
@@ -98,3 +99,15 @@ def test_queries_are_registered():
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and langid.UNKNOWN == "und"
+
+
+def test_stages_leave_clashing_columns_alone(spark, folder):
+    """Further columns named as the operators' own ones come back with their values."""
+    names = ["own", "first_id", "first_key", "tkey", "fp", "root", "rank", "text_key", "lang_pred", "__key", "__n"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 41")
+    docs = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        assert out.count() > 15 and all(r[n] == f"{n}{r['doc_id']}" for r in out.collect() for n in names), name
+    assert pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
