@@ -237,6 +237,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = TILE, co
         found = written(found, "matches")
         sent.destroy()
         out = found if out is None else out.unionByName(found)
+    discard(items)
     ids = benchmark.where("text is not null").select("item_id", F.md5("text").alias("text_key"))
     return out.join(ids, "text_key").select("doc_id", "item_id", "coverage", "covered", "tiles", "first_word", "end_word")
 
@@ -274,4 +275,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, shortest: int = TILE, coverage:
         if past is not None:
             discard(past)
         past = kept
-    return keep(kept, blocks - 1)[0]
+    left, _ = keep(kept, blocks - 1)
+    discard(items)
+    return left

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwright.llm.common import scratch, slices, written
+from gapwright.llm.common import discard, scratch, slices, written
 
 #: A package is closed beyond this many bytes of records.
 PACKAGE_BYTES = 256 << 20
@@ -226,7 +226,9 @@ def write_packages(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     # sums are written before they are joined on their own key: Spark can then split a payload of very many pages
     firsts = written(heads.where(F.col("size") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("first is not null and n > 1"), "first_pages")
     later = heads.join(firsts, "sha").where("size >= %d and not (page_id <=> first)" % least).select("page_id", "sha", "first").distinct()
-    later = written(later, "revisits").select(F.col("page_id").alias("later_id"), F.col("sha").alias("later_sha"), "first")
+    later = written(later, "revisits")
+    discard(heads, firsts)
+    later = later.select(F.col("page_id").alias("later_id"), F.col("sha").alias("later_sha"), "first")
     dealt = rows.join(later, F.col("page_id").eqNullSafe(F.col("later_id")) & (F.col("sha") == F.col("later_sha")), "left").select("page_id", "url", "html", "sha", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
